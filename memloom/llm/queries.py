@@ -46,6 +46,18 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm import jaccard_join
+
+    return jaccard_join.linked(table(spark, sf_dir, "documents"), words=4, num=85, den=100)
+
+
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm import suffix_dedup
+
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memloom.llm import warc
 
@@ -89,7 +101,7 @@ FROM p LEFT JOIN g USING (digest)
 
 
 def queries() -> dict:
-    found = [op2_chat_formatting, op3_token_counts, op5_bpe_automaton, op6_quality_rules, op7_sharding, op10_warc]
+    found = [op2_chat_formatting, op3_token_counts, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc]
     return {f.__name__: f for f in found}
 
 

@@ -27,23 +27,21 @@ left alone. Other columns are carried along by `dedup`; a `text` cut within a ch
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.common import by_parts, crc, partitions, scratch, slices, store_of, stored
+from memloom.llm.chunks import CHUNK, chunked, groups, part_of, read_chunk, row_batch, steps
+from memloom.llm.common import by_parts, crc, partitions, scratch
 
 SPAN = 50
 TRIGGER = 16
 WINDOW = SPAN - TRIGGER + 1
 LEFT = WINDOW - 1
-#: Bytes of text in a chunk, and bytes of text that a fragment or bucket stands for.
-CHUNK = 16_000_000
+#: Windows parsed at once.
 PIECE = 1 << 20
 _LAST = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 28) - 1)
@@ -103,9 +101,7 @@ class Chunk:
     """Documents of one chunk file, parsed."""
 
     def __init__(self, uri: str):
-        store, path = store_of(uri)
-        with store.open_input_file(path) as f:
-            self.rows = pq.read_table(f)
+        self.rows = read_chunk(uri)
         text = self.rows.column("text").combine_chunks() if self.rows.num_rows else pa.array([], pa.string())
         text = (text.combine_chunks() if isinstance(text, pa.ChunkedArray) else text).cast(pa.large_string()).fill_null("")
         raw = b"".join(x.as_buffer() for x in text.cast(pa.large_binary())) if text.offset else None
@@ -149,60 +145,6 @@ class Chunk:
         return hit, np.ascontiguousarray(kept["row"]), own, kept["h"].astype(np.uint64)
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Which of equal ranges of the hash a value lies in; rising with it."""
-    return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
-
-
-def chunked(docs: DataFrame, folder: str) -> DataFrame:
-    """Write documents as chunk files below folder; (chunk, n_bytes) of those that the committed table lists."""
-
-    def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, path = store_of(folder)
-        held, size = [], 0
-
-        def put() -> pa.RecordBatch:
-            name = f"{uuid.uuid4().hex}.parquet"
-            with store.open_output_stream(f"{path}/{name}") as f:
-                pq.write_table(pa.Table.from_batches(held), f, compression="zstd")
-            return pa.RecordBatch.from_pydict({"chunk": pa.array([f"{folder}/{name}"]), "n_bytes": pa.array([size], pa.int64())})
-
-        for b in rows:
-            sizes = np.fromiter((len(x or "") for x in b.column("text").to_pylist()), np.int64, b.num_rows)
-            for x, y in slices(sizes, CHUNK // 4):
-                held.append(b.slice(x, y - x))
-                size += int(sizes[x:y].sum())
-                if size >= CHUNK:
-                    yield put()
-                    held, size = [], 0
-        if held:
-            yield put()
-
-    spark = docs.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    return stored(docs.mapInArrow(write, "chunk string, n_bytes long"), "chunks")
-
-
-def groups(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:
-    """Sorted rows, one list for each key."""
-    held: list[dict] = []
-    for b in rows:
-        for r in b.to_pylist():
-            if held and r[key] != held[0][key]:
-                yield held
-                held = []
-            held.append(r)
-    if held:
-        yield held
-
-
-def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    fields = [x.split() for x in schema.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[t]) for k, (_, t) in enumerate(fields)], [n for n, _ in fields])
-
-
 def _send(parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -210,7 +152,7 @@ def _send(parts: int):
                 h, many = Chunk(uri).triggers()
                 cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
                 low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield _batch([(f, uri, int(y - x), low[x:y].tobytes(), np.packbits(many[x:y]).tobytes()) for f, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x or f == 0], _TRIGGERS)
+                yield row_batch([(f, uri, int(y - x), low[x:y].tobytes(), np.packbits(many[x:y]).tobytes()) for f, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x or f == 0], _TRIGGERS)
 
     return run
 
@@ -222,7 +164,7 @@ def _answer(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         _, at, n = np.unique(np.concatenate(low), return_inverse=True, return_counts=True)
         repeated = (n[at] > 1) | many.astype(bool)
         ends = np.cumsum([0, *map(len, low)])
-        yield _batch([(r["frag"], r["chunk"], r["n"], np.packbits(repeated[x:y]).tobytes()) for r, x, y in zip(own, ends, ends[1:], strict=False)], _ANSWERS)
+        yield row_batch([(r["frag"], r["chunk"], r["n"], np.packbits(repeated[x:y]).tobytes()) for r, x, y in zip(own, ends, ends[1:], strict=False)], _ANSWERS)
 
 
 def _send_pairs(parts: int):
@@ -237,7 +179,7 @@ def _send_pairs(parts: int):
             cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
             out = [(b, own[0]["chunk"], 0, pairs[x:y].tobytes(), least[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
             # the chunk's own bits pass through a bucket of their own
-            yield _batch([(-1 - crc(own[0]["chunk"]) % parts, own[0]["chunk"], 1, np.packbits(repeated).tobytes(), len(repeated).to_bytes(8, "little")), *out], _PAIRS)
+            yield row_batch([(-1 - crc(own[0]["chunk"]) % parts, own[0]["chunk"], 1, np.packbits(repeated).tobytes(), len(repeated).to_bytes(8, "little")), *out], _PAIRS)
 
     return run
 
@@ -283,7 +225,7 @@ def _order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for own in groups(rows, "bucket"):
         if own[0]["kind"] == 1:
             for r in own:
-                yield _batch([tuple(r.values())], _PAIRS)
+                yield row_batch([tuple(r.values())], _PAIRS)
             continue
         parts = [np.frombuffer(r["pairs"], _ROW) for r in own]
         kept, at = np.unique(np.concatenate(parts), return_inverse=True)
@@ -295,12 +237,7 @@ def _order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for r, x, y in zip(own, ends, ends[1:], strict=False):
             mine = at[x:y]
             flat = np.repeat(begins[mine], size[mine]) + steps(size[mine])
-            yield _batch([(r["bucket"], r["chunk"], 0, b"", found[flat].tobytes())], _PAIRS)
-
-
-def steps(sizes: np.ndarray) -> np.ndarray:
-    """0, 1, ... for each size, laid end to end."""
-    return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield row_batch([(r["bucket"], r["chunk"], 0, b"", found[flat].tobytes())], _PAIRS)
 
 
 def removed(c: Chunk, hit: np.ndarray, run_pair: np.ndarray, pairs: np.ndarray, smallest: np.ndarray) -> np.ndarray:
@@ -334,7 +271,7 @@ def _cut(make):
 def _passes(docs: DataFrame, make, schema) -> DataFrame:
     spark = docs.sparkSession
     width = partitions(spark)
-    chunks = chunked(docs, scratch(spark, "texts"))
+    chunks = chunked(docs, scratch(spark, "texts"), CHUNK)
     n, size = chunks.selectExpr("count(*)", "coalesce(sum(n_bytes), 0)").first()
     parts = by_parts(int(size), CHUNK, 8)
     bits = chunks.select("chunk").repartition(max(1, n)).mapInArrow(_send(parts), _TRIGGERS).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(_answer, _ANSWERS)

@@ -69,3 +69,62 @@ def test_whole_table(spark):
     rows = duckdb.sql("select doc_id, text from '/root/testdata/sf0.001/documents.parquet'").fetchall()
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     assert sorted(map(tuple, suffix_dedup.digest(df).collect()), key=repr) == brute(rows)
+
+
+def brute_components(rows, words, num, den):
+    def grams(t):
+        w = (t or "").encode().lower().split()
+        return frozenset(tuple(w[i : i + words]) for i in range(len(w) - words + 1)) if len(w) >= words else frozenset([tuple(w)] if w else [])
+
+    sets = [grams(t) for _, t in rows]
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and b and den * len(a & b) >= num * len(a | b):
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return sorted((d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+
+
+@pytest.mark.parametrize(("seed", "words", "num"), [(0, 4, 85), (1, 5, 80), (2, 2, 50)])
+def test_links_are_brute_force(spark, seed, words, num, monkeypatch):
+    from memloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "CHUNK", 20_000)
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    r = random.Random(seed)
+    texts = [None, "", " \n", "one two", "One  TWO", "one two three four", "É É", "é é"]
+    for _ in range(25):
+        base = [f"w{r.randint(0, 60)}" for _ in range(r.randint(1, 90))]
+        for _ in range(r.randint(1, 12)):
+            t = list(base)
+            for _ in range(r.randint(0, 3)):
+                t[r.randrange(len(t))] = f"w{r.randint(0, 60)}"
+            texts.append(" ".join(t))
+    ids = list(range(len(texts)))
+    r.shuffle(ids)
+    rows = list(zip(ids, texts, strict=True))
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, node int").repartition(3)
+    want = brute_components(rows, words, num, 100)
+    assert sorted(map(tuple, jaccard_join.linked(df, words, num, 100).collect())) == want
+    assert len({c for _, _, c in want}) < len(want)
+    kept = jaccard_join.one_of_each(df.unionByName(df.where("doc_id = 1")), words, num, 100)
+    assert sorted(x.doc_id for x in kept.collect()) == sorted({c for _, _, c in want}) and kept.columns == df.columns
+
+
+def test_links_of_odd_tables(spark):
+    from memloom.llm import jaccard_join
+
+    df = spark.createDataFrame([(None, "a b c d e"), (None, "a b c d e"), (7, None), (7, None)], "doc_id long, text string")
+    assert sorted(map(tuple, jaccard_join.linked(df).collect()), key=repr) == [(7, 0, 7), (7, 0, 7), (None, 1, None), (None, 1, None)]
+    assert jaccard_join.linked(df.where("false")).count() == 0
+    assert jaccard_join.one_of_each(df).count() == 2
