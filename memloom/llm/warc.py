@@ -38,14 +38,12 @@ MANIFEST = "path string, n_records long, n_bytes long, crc32 long, first_id long
 RECORD = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def with_first(pages: DataFrame) -> DataFrame:
-    """Pages as (page_id, url, payload, digest, first): `first` is the page that a revisit refers to, else null."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("digest", F.sha2("payload", 256))
-    copies = p.where(F.octet_length("payload") >= MIN_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    copies = copies.where("n > 1").select("digest", "first")
-    p = p.join(copies, "digest", "left")
-    return p.withColumn("first", F.expr("CASE WHEN page_id > first THEN first END"))
+def revisits(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, first) of the pages that revisit another; payloads are hashed where they are read and not shuffled."""
+    p = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("page_id"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    p = p.where(F.octet_length("payload") >= MIN_REVISIT).select("page_id", F.sha2("payload", 256).alias("digest"))
+    copies = p.groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last")).where("first < last").select("digest", "first")
+    return p.join(copies, "digest").where("page_id > first").select("page_id", "digest", "first").distinct()
 
 
 def ranges(pages: DataFrame, range_bytes: int) -> tuple[int, int, list[int]]:
@@ -119,22 +117,32 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, range_bytes: int
     cut = [b for b in range(1, BINS) if of[b] != of[b - 1]]  # first bins of the ranges after the first
     part = F.expr(f"coalesce((page_id - {low}) DIV {each}, 0L)")
     part = F.size(F.filter(F.array(*map(F.lit, cut)), lambda x: x <= part)) if cut else F.lit(0)
-    laid = with_first(pages).withColumn("part", part.cast("int")).repartitionById(len(cut) + 1, "part").sortWithinPartitions("page_id", "digest", "url").drop("part")
+    # A page's marks come before the page: both go to the range of its id.
+    laid = pages.select(F.lit(1).alias("kind"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
+    laid = laid.unionByName(revisits(pages).select(F.lit(0).alias("kind"), "page_id", "digest", "first"), allowMissingColumns=True)
+    laid = laid.repartitionById(len(cut) + 1, part.cast("int")).sortWithinPartitions("page_id", "kind", "html", "url")
 
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, k, own = TaskContext.get().partitionId(), 0, None
+        at, k, own, marks, marked = TaskContext.get().partitionId(), 0, None, {}, None
         for b in rows:
-            for page_id, url, payload, digest, first in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "payload", "digest", "first")), strict=True):
+            for kind, page_id, url, html, digest, first in zip(*(b.column(c).to_pylist() for c in ("kind", "page_id", "url", "html", "digest", "first")), strict=True):
+                if page_id != marked:
+                    marks, marked = {}, page_id
+                if kind == 0:
+                    marks[digest] = first
+                    continue
+                payload = (html or "").encode()
+                digest = hashlib.sha256(payload).hexdigest()
                 if own is None:
                     own = _File(files, f"range-{at:06d}-{k:05d}.warc.gz")
-                own.add(page_id, member(record(page_id, url, payload, digest, first)))
+                own.add(page_id, member(record(page_id, url, payload, digest, marks.get(digest))))
                 if own.size >= roll:
                     yield own.close()
                     own, k = None, k + 1
         if own is not None:
             yield own.close()
 
-    laid.select("page_id", "url", "payload", "digest", "first").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    laid.select("kind", "page_id", "url", "html", "digest", "first").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
