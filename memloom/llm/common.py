@@ -11,7 +11,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Words are runs of anything but the ASCII white space.
@@ -59,6 +59,13 @@ def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of bounded bytes between the JVM and Python, unless the session says otherwise: rows here may hold megabytes."""
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "2000"), ("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))):
+        if not spark.sparkContext.getConf().contains(key):
+            spark.conf.set(key, value)
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -115,3 +122,12 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def running_totals(df: DataFrame, key: str, value: str, group: Column) -> DataFrame:
+    """(key, before): the sum of the values at smaller keys. `group` rises with the key; sums run within groups and then over them."""
+    df = df.select(F.col(key), F.col(value), group.alias("_group"))
+    groups = df.groupBy("_group").agg(F.sum(value).alias("_all"))
+    groups = groups.select("_group", (F.sum("_all").over(Window.orderBy("_group")) - F.col("_all")).alias("_base"))
+    within = Window.partitionBy("_group").orderBy(key)
+    return df.withColumn("_own", F.sum(value).over(within) - F.col(value)).join(groups, "_group").select(key, (F.col("_own") + F.col("_base")).alias("before"))

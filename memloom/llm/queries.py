@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from memloom.llm.common import scratch, table, tokenizer_path
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm import decontamination
+
+    return decontamination.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memloom.llm import chat
 
@@ -24,6 +30,12 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm import token_files
+
+    return token_files.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 def op5_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memloom.llm import bpe_automaton
 
@@ -101,7 +113,7 @@ FROM p LEFT JOIN g USING (digest)
 
 
 def queries() -> dict:
-    found = [op2_chat_formatting, op3_token_counts, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc]
+    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc]
     return {f.__name__: f for f in found}
 
 

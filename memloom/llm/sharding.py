@@ -11,10 +11,10 @@ Null text: no bytes, size 1. Null doc_id: an ordinary value. Empty input: no row
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import by_parts, stored
+from memloom.llm.common import by_parts, running_totals, stored
 
 #: Bytes of text in a bucket, on average, and the seed.
 BUCKET = 8_000_000
@@ -41,11 +41,8 @@ def shard_documents(docs: DataFrame, shards: int = 16, bucket_bytes: int = BUCKE
     buckets = by_parts(size + 64 * n, bucket_bytes, 1)
     written = stored(shuffled(scattered(docs, buckets, seed), seed), "shards")
     # Ranks: the counts of the buckets before, summed within groups of buckets and then over the groups.
-    counts = written.groupBy("bucket").agg(F.max("n").alias("n")).withColumn("group", F.expr("bucket DIV 4096"))
-    groups = counts.groupBy("group").agg(F.sum("n").alias("all"))
-    groups = groups.select("group", (F.sum("all").over(Window.orderBy("group")) - F.col("all")).alias("base"))
-    within = Window.partitionBy("group").orderBy("bucket")
-    before = counts.withColumn("own", F.sum("n").over(within) - F.col("n")).join(groups, "group").select("bucket", (F.col("own") + F.col("base")).alias("before"))
+    counts = written.groupBy("bucket").agg(F.max("n").alias("n"))
+    before = running_totals(counts, "bucket", "n", F.expr("bucket DIV 4096"))
     ranked = written.join(before, "bucket").withColumn("rank", F.col("before") + F.col("at"))
     shard = F.expr(f"CAST(((rank + 1) * {shards} - 1) DIV {max(1, n)} AS INT)")
     first = F.expr(f"(shard * CAST({n} AS BIGINT)) DIV {shards}")

@@ -66,6 +66,9 @@ class Pieces:
             return self.split.findall(text)
         return list(chain.from_iterable([part] if k % 2 else self.split.findall(part) for k, part in enumerate(self.cut.split(text))))
 
+    def ids(self, words: list[str]) -> list[list[int]]:
+        return [e.ids for a in range(0, len(words), 2000) for e in self.library.encode_batch_fast(words[a : a + 2000], add_special_tokens=False)]
+
     def count(self, words: list[str]) -> list[int]:
         return [len(e.ids) for a in range(0, len(words), 2000) for e in self.library.encode_batch_fast(words[a : a + 2000], add_special_tokens=False)]
 
