@@ -24,19 +24,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.chunks import CHUNK, chunked, groups, part_of, read_chunk, row_batch
-from memloom.llm.common import by_parts, partitions, scratch, stored
+from memloom.llm.common import by_parts, partitions, scratch, slices, small_batches, stored
 from memloom.llm.components import components
 
 FRAGMENTS = 4
 BLOCK = 1024
 BLOCK_GRAMS = 400_000
 #: Words kept with their hashes in a worker.
-MEMORY = 2_000_000
+MEMORY = 200_000
+#: Characters of text cut into words at once.
+SLICE = 2_000_000
 
 _SENT = "frag int, chunk string, n int, low binary, counts binary"
 _CLASSES = "frag int, chunk string, classes binary"
@@ -85,7 +88,9 @@ class _Chunk:
     def __init__(self, uri: str, words: int):
         rows = read_chunk(uri)
         self.ids = rows.column("doc_id").cast(pa.int64()).combine_chunks()
-        self.sets = gram_sets([t or "" for t in rows.column("text").to_pylist()], words)
+        self.sets, texts = [], rows.column("text")
+        for a, b in slices(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), SLICE):
+            self.sets += gram_sets([t or "" for t in texts[a:b].to_pylist()], words)
         self.nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in self.sets), np.uint64, len(self.sets)).view(np.int64)
         known: dict[int, int] = {}
         for i, (node, s) in enumerate(zip(self.nodes.tolist(), self.sets, strict=True)):
@@ -112,12 +117,18 @@ def _send(words: int, parts: int):
 
 def _classes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for own in groups(rows, "frag"):
-        low = [np.frombuffer(r["low"], "<u4") for r in own]
-        counts = np.concatenate([np.frombuffer(r["counts"], "u1") for r in own]).astype(np.float64)
-        _, at = np.unique(np.concatenate(low), return_inverse=True)
-        sums = np.bincount(at, counts) if len(at) else np.zeros(0)
-        found = np.log2(np.maximum(sums, 1)).astype("u1")[at]
+        low = [np.frombuffer(r.pop("low"), "<u4") for r in own]
         ends = np.cumsum([0, *map(len, low)])
+        # the n-gram in the high bits, its place in the low ones: one sort without a second array of places
+        both = np.concatenate(low).astype(np.uint64) << np.uint64(32) | np.arange(ends[-1], dtype=np.uint64)
+        both.sort()
+        place = (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        both >>= np.uint64(32)
+        begins = np.flatnonzero(np.r_[True, both[1:] != both[:-1]]) if len(both) else np.zeros(0, np.int64)
+        counts = np.concatenate([np.frombuffer(r.pop("counts"), "u1") for r in own])[place].astype(np.uint32)
+        sums = np.add.reduceat(counts, begins) if len(both) else counts
+        found = np.empty(len(both), "u1")
+        found[place] = np.repeat(np.log2(np.maximum(sums, 1)).astype("u1"), np.diff(np.r_[begins, len(both)]))
         yield row_batch([(r["frag"], r["chunk"], found[x:y].tobytes()) for r, x, y in zip(own, ends, ends[1:], strict=False)], _CLASSES)
 
 
@@ -253,10 +264,11 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     Two sets link when den * |A n B| >= num * |A u B|.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     width = partitions(spark)
     chunks = chunked(docs.select("doc_id", "text"), scratch(spark, "texts"), CHUNK)
     n, size = chunks.selectExpr("count(*)", "coalesce(sum(n_bytes), 0)").first()
-    parts = by_parts(int(size), CHUNK, 8)
+    parts = by_parts(int(size), 2 * CHUNK, 8)
     classes = chunks.select("chunk").repartition(max(1, n)).mapInArrow(_send(words, parts), _SENT).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(_classes, _CLASSES)
     sets = stored(classes.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(_sets(words, num, den), _SETS), "sets")
 
