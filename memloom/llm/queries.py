@@ -76,6 +76,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 #: Words of each text with their places, lines and windows, as SQL has them.
 _OP6_SQL = r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
@@ -113,7 +119,7 @@ FROM p LEFT JOIN g USING (digest)
 
 
 def queries() -> dict:
-    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc]
+    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc, pipeline]
     return {f.__name__: f for f in found}
 
 
