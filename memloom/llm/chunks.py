@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from memloom.llm.common import slices, store_of, stored
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
-CHUNK = 16_000_000
+CHUNK = 8_000_000
 
 
 def part_of(h: np.ndarray, parts: int) -> np.ndarray:
@@ -84,3 +84,54 @@ def read_chunk(uri: str) -> pa.Table:
 def steps(sizes: np.ndarray) -> np.ndarray:
     """0, 1, ... for each size, laid end to end."""
     return np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+
+
+def packed(raw: bytes) -> bytes:
+    """Compressed bytes, led by their length."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True)
+
+
+def row_hash(table: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    wide = np.zeros((len(table), -(-table.shape[1] // 8) * 8), np.uint8)
+    wide[:, : table.shape[1]] = table
+    h = np.zeros(len(table), np.uint64)
+    for k in range(0, wide.shape[1], 8):
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.ascontiguousarray(wide[:, k : k + 8]).view("<u8").ravel()
+    return (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+
+
+def distinct_rows(table: np.ndarray, key: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of distinct rows of bytes, in the order of the key if given, and each row's number among them.
+
+    Rows are put side by side by hash and compared byte by byte; a collision could only leave equal rows apart.
+    """
+    h = row_hash(table)
+    order = np.argsort(h, kind="stable") if key is None else np.lexsort((h, key))
+    t = table[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (t[1:] != t[:-1]).any(axis=1)
+    if key is not None:
+        new[1:] |= key[order][1:] != key[order][:-1]
+    own = np.empty(len(order), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return order[new], own
+
+
+def sorted_rows(table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct rows of bytes in lexicographic order, and each row's rank among them."""
+    wide = np.zeros((len(table), -(-table.shape[1] // 8) * 8), np.uint8)
+    wide[:, : table.shape[1]] = table
+    keys = [np.ascontiguousarray(wide[:, k : k + 8]).view(">u8").ravel().astype(np.uint64) for k in range(0, wide.shape[1], 8)]
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.cumsum(new) - 1
+    return table[order[new]], rank

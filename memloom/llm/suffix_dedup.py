@@ -12,10 +12,11 @@ neighbours in both orders tell which windows are equal. Copies of a passage are
 
 Passes, each over chunks of documents that are written to the shared folder once and read by name:
 
-1. Each chunk sends its distinct triggers (32 bits of hash in a fragment of the hash range); fragments answer with one bit each:
-   does the trigger stand in more than one document? A collision costs work only.
-2. Chunks parse again, and send the distinct pairs of phrases at repeated triggers, with the smallest id that has them, to the
-   trigger's bucket. Buckets order them and answer with each window's smallest id in the corpus.
+1. A window has HALF bytes more before its trigger, or else HALF more behind it; the trigger with these bytes is its anchor, and each
+   run of windows falls into two by this. Chunks send their distinct anchors (32 bits of hash in a fragment of the hash range); fragments
+   answer with one bit each: does the anchor stand in more than one document? A collision costs work only.
+2. Chunks parse again, and send the distinct pairs of phrases at repeated anchors, with the smallest id that has them, to the
+   anchor's bucket. Buckets order them and answer with each window's smallest id in the corpus.
 3. Chunks parse a third time, compare these ids with their own and cut.
 
 No text is shuffled, no group of copies is gathered, and work grows with the input. Chunks hold CHUNK bytes or one document.
@@ -34,39 +35,46 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.chunks import CHUNK, chunked, groups, part_of, read_chunk, row_batch, steps
-from memloom.llm.common import by_parts, crc, partitions, scratch
+from memloom.llm.chunks import CHUNK, chunked, distinct_rows, groups, packed, part_of, read_chunk, row_batch, sorted_rows, steps, unpacked
+from memloom.llm.common import by_parts, crc, partitions, scratch, small_batches
 
 SPAN = 50
 TRIGGER = 16
 WINDOW = SPAN - TRIGGER + 1
 LEFT = WINDOW - 1
+HALF = TRIGGER
 #: Windows parsed at once.
 PIECE = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
 _LAST = np.iinfo(np.int64).max
 _LOW = np.uint64((1 << 28) - 1)
-_ROW = np.dtype((np.void, LEFT + SPAN + 2))
+_ROW = LEFT + SPAN + 2
 
-_TRIGGERS = "frag int, chunk string, n int, low binary, many binary"
+_ANCHORS = "frag int, chunk string, n int, low binary, many binary"
 _ANSWERS = "frag int, chunk string, n int, bits binary"
 _PAIRS = "bucket int, chunk string, kind int, pairs binary, ids binary"
 
 
 def rolling(b: np.ndarray) -> np.ndarray:
-    """Hash of the TRIGGER bytes at each offset: the Karp-Rabin polynomial modulo 2^64, built by doubling, then mixed."""
+    """Hash of the TRIGGER bytes at each offset: the Karp-Rabin polynomial modulo 2^64, built by doubling."""
     h = b.astype(np.uint64) + np.uint64(1)
-    power, width = 0x9E3779B97F4A7C15 | 1, 1
+    width = 1
     while width < TRIGGER:
-        h = h[:-width] * np.uint64(power) + h[width:]
-        power, width = power * power % (1 << 64), 2 * width
-    h ^= h >> np.uint64(31)
+        h = h[:-width] * np.uint64(pow(_BASE, width, 1 << 64)) + h[width:]
+        width *= 2
+    return h
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """Spread the polynomial's value over all bits."""
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
 
 
 class Parse:
-    """The trigger of every run of windows of a buffer of texts: first and last window, trigger offset and hash, text number."""
+    """Every half run of windows of a buffer of texts: first and last window, the trigger's offset, the anchor's hash, the text's number."""
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         ends = np.unique(offsets[1:])
@@ -82,7 +90,7 @@ class Parse:
     @staticmethod
     def _piece(b: np.ndarray, base: int, inside: np.ndarray) -> tuple[np.ndarray, ...]:
         h = rolling(b)
-        m = (h & ~_LOW) | np.arange(len(h), dtype=np.uint64)
+        m = (mixed(h) & ~_LOW) | np.arange(len(h), dtype=np.uint64)
         width = 1
         while 2 * width <= WINDOW:
             m, width = np.minimum(m[:-width], m[width:]), 2 * width
@@ -93,8 +101,14 @@ class Parse:
         new = np.ones(len(v) + 1, bool)
         new[1:-1] = (at[1:] != at[:-1]) | (v[1:] != v[:-1] + 1)
         new = new if len(v) else np.zeros(1, bool)
-        at = at[new[:-1]]
-        return v[new[:-1]] + base, v[new[1:]] + base, at + base, h[at]
+        at, first, last = at[new[:-1]], v[new[:-1]], v[new[1:]]
+        # windows that start HALF bytes or more before the trigger, and the others
+        far, near = at - first >= HALF, at - last < HALF
+        at2 = np.r_[at[far], at[near]]
+        anchor = np.r_[at[far] - HALF, at[near]]
+        first2, last2 = np.r_[first[far], np.maximum(first, at - HALF + 1)[near]], np.r_[np.minimum(last, at - HALF)[far], last[near]]
+        h = mixed(h[anchor] * np.uint64(pow(_BASE, TRIGGER, 1 << 64)) + h[anchor + TRIGGER])
+        return first2 + base, last2 + base, at2 + base, h
 
 
 class Chunk:
@@ -110,49 +124,46 @@ class Chunk:
         self.ids = np.asarray(self.rows.column("doc_id").cast(pa.int64()).fill_null(int(_LAST)).combine_chunks())
         self.parse = Parse(self.data, self.offsets)
 
-    def triggers(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct trigger hashes in rising order, and whether each stands in several texts of the chunk."""
-        p = self.parse
-        order = np.argsort(p.hash, kind="stable")
-        h, text = p.hash[order], p.text[order]
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct anchor hashes in rising order, and whether each stands in several texts of the chunk."""
+        order, new = self._by_hash()
+        h, text = self.parse.hash[order], self.parse.text[order]
+        return h[new[:-1]], text[new[:-1]] != text[new[1:]]
+
+    def _by_hash(self) -> tuple[np.ndarray, np.ndarray]:
+        """Runs in the order of their anchors' hashes, and a mark on each first of a hash and past the end."""
+        order = np.argsort(self.parse.hash, kind="stable")
+        h = self.parse.hash[order]
         new = np.ones(len(h) + 1, bool)
         new[1:-1] = h[1:] != h[:-1]
-        new = new if len(h) else np.zeros(1, bool)
-        return h[new[:-1]], text[new[:-1]] != text[new[1:]]
+        return order, new if len(h) else np.zeros(1, bool)
 
     def pairs(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Runs at repeated triggers, the distinct pairs of phrases in the order of their triggers' hashes, each run's pair, and each pair's hash."""
+        """Runs at repeated anchors, the distinct pairs of phrases in the order of their anchors' hashes, each run's pair, and each pair's hash."""
         p = self.parse
-        hit = np.flatnonzero(repeated[np.searchsorted(np.unique(p.hash), p.hash)]) if len(p.hash) else np.zeros(0, np.int64)
+        order, new = self._by_hash()
+        hit = np.sort(order[repeated[np.cumsum(new[:-1]) - 1]])
         at, far = p.at[hit], p.at[hit] - p.first[hit]  # far: windows start up to so many bytes before the trigger
         near = p.at[hit] - p.last[hit]
-        table = np.zeros((len(hit), LEFT + SPAN + 2), np.uint8)
+        table = np.zeros((len(hit), _ROW), np.uint8)
         n = len(self.data)
         for k in range(LEFT):
             table[:, k] = np.where(k < far, self.data[np.maximum(at - 1 - k, 0)], 0)
         for k in range(SPAN):
             table[:, LEFT + k] = np.where(k < SPAN - near, self.data[np.minimum(at + k, n - 1)], 0)
         table[:, -2], table[:, -1] = near, far
-        keyed = np.empty(len(hit), np.dtype([("h", ">u8"), ("row", "V", _ROW.itemsize)]))
-        keyed["h"], keyed["row"] = p.hash[hit], table.view(_ROW).ravel()
-        flat = keyed.view(np.dtype((np.void, keyed.dtype.itemsize)))
-        order = np.argsort(flat, kind="stable")
-        new = np.ones(len(hit), bool)
-        new[1:] = flat[order][1:] != flat[order][:-1]
-        own = np.empty(len(hit), np.int64)
-        own[order] = np.cumsum(new) - 1
-        kept = keyed[order][new]
-        return hit, np.ascontiguousarray(kept["row"]), own, kept["h"].astype(np.uint64)
+        kept, own = distinct_rows(table, p.hash[hit])
+        return hit, table[kept], own, p.hash[hit][kept]
 
 
 def _send(parts: int):
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             for uri in b.column("chunk").to_pylist():
-                h, many = Chunk(uri).triggers()
+                h, many = Chunk(uri).anchors()
                 cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
                 low = (h & np.uint64(0xFFFFFFFF)).astype("<u4")
-                yield row_batch([(f, uri, int(y - x), low[x:y].tobytes(), np.packbits(many[x:y]).tobytes()) for f, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x or f == 0], _TRIGGERS)
+                yield row_batch([(f, uri, int(y - x), low[x:y].tobytes(), np.packbits(many[x:y]).tobytes()) for f, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x or f == 0], _ANCHORS)
 
     return run
 
@@ -177,7 +188,7 @@ def _send_pairs(parts: int):
             least = np.full(len(pairs), _LAST)
             np.minimum.at(least, run_pair, c.ids[c.parse.text[hit]])
             cut = np.searchsorted(part_of(h, parts), np.arange(parts + 1))
-            out = [(b, own[0]["chunk"], 0, pairs[x:y].tobytes(), least[x:y].tobytes()) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
+            out = [(b, own[0]["chunk"], 0, packed(pairs[x:y].tobytes()), packed(least[x:y].tobytes())) for b, (x, y) in enumerate(zip(cut, cut[1:], strict=False)) if y > x]
             # the chunk's own bits pass through a bucket of their own
             yield row_batch([(-1 - crc(own[0]["chunk"]) % parts, own[0]["chunk"], 1, np.packbits(repeated).tobytes(), len(repeated).to_bytes(8, "little")), *out], _PAIRS)
 
@@ -186,12 +197,9 @@ def _send_pairs(parts: int):
 
 def ranked(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rank of each row among the sorted distinct rows, and each rank's common prefix with the one before (0 for the first)."""
-    rows = np.ascontiguousarray(rows)
-    width = rows.shape[1]
-    kept, rank = np.unique(rows.view(np.dtype((np.void, width))).ravel(), return_inverse=True)
-    t = kept.view(np.uint8).reshape(-1, width)
-    differ = np.ones((len(t), width + 1), bool)
-    differ[1:, :width] = t[1:] != t[:-1]
+    t, rank = sorted_rows(rows)
+    differ = np.ones((len(t), t.shape[1] + 1), bool)
+    np.not_equal(t[1:], t[:-1], out=differ[1:, :-1])
     lcp = differ.argmax(axis=1)
     lcp[:1] = 0
     return rank, lcp
@@ -202,10 +210,9 @@ def smallest_ids(pairs: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.nda
 
     Windows r bytes before their trigger are equal if the left phrases agree in r bytes before it and the right ones in SPAN - r.
     """
-    table = pairs.view(np.uint8).reshape(-1, _ROW.itemsize)
-    near, far = table[:, -2].astype(np.int64), table[:, -1].astype(np.int64)
-    left, left_lcp = ranked(table[:, :LEFT])
-    right, right_lcp = ranked(table[:, LEFT : LEFT + SPAN])
+    near, far = pairs[:, -2].astype(np.int64), pairs[:, -1].astype(np.int64)
+    left, left_lcp = ranked(pairs[:, :LEFT])
+    right, right_lcp = ranked(pairs[:, LEFT : LEFT + SPAN])
     begins = np.r_[0, np.cumsum(far - near + 1)]
     out = np.empty(begins[-1], np.int64)
     for r in range(WINDOW):
@@ -227,32 +234,39 @@ def _order(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for r in own:
                 yield row_batch([tuple(r.values())], _PAIRS)
             continue
-        parts = [np.frombuffer(r["pairs"], _ROW) for r in own]
-        kept, at = np.unique(np.concatenate(parts), return_inverse=True)
-        ids = np.full(len(kept), _LAST)
-        np.minimum.at(ids, at, np.concatenate([np.frombuffer(r["ids"], np.int64) for r in own]))
+        parts = [np.frombuffer(unpacked(r.pop("pairs")), np.uint8).reshape(-1, _ROW) for r in own]
+        both = np.concatenate(parts)
+        kept, at = distinct_rows(both)
+        kept, ids = both[kept], np.full(len(kept), _LAST)
+        np.minimum.at(ids, at, np.concatenate([np.frombuffer(unpacked(r.pop("ids")), np.int64) for r in own]))
         found, begins = smallest_ids(kept, ids)
         size = np.diff(begins)
         ends = np.cumsum([0, *map(len, parts)])
         for r, x, y in zip(own, ends, ends[1:], strict=False):
             mine = at[x:y]
             flat = np.repeat(begins[mine], size[mine]) + steps(size[mine])
-            yield row_batch([(r["bucket"], r["chunk"], 0, b"", found[flat].tobytes())], _PAIRS)
+            yield row_batch([(r["bucket"], r["chunk"], 0, b"", packed(found[flat].tobytes()))], _PAIRS)
 
 
 def removed(c: Chunk, hit: np.ndarray, run_pair: np.ndarray, pairs: np.ndarray, smallest: np.ndarray) -> np.ndarray:
     """A mark on each byte of the chunk that a window covers which a smaller id has too."""
-    table = pairs.view(np.uint8).reshape(-1, _ROW.itemsize)
-    near, far = table[:, -2].astype(np.int64), table[:, -1].astype(np.int64)
+    near, far = pairs[:, -2].astype(np.int64), pairs[:, -1].astype(np.int64)
     size = far - near + 1
     begins = np.cumsum(size) - size
-    n = size[run_pair]
-    step = steps(n)
-    cut = smallest[np.repeat(begins[run_pair], n) + step] < np.repeat(c.ids[c.parse.text[hit]], n)
-    start = (np.repeat(c.parse.at[hit] - near[run_pair], n) - step)[cut]
-    edge = np.bincount(start, minlength=len(c.data) + 1).astype(np.int32)
-    edge -= np.bincount(start + SPAN, minlength=len(c.data) + 1).astype(np.int32)
-    return np.cumsum(edge[:-1]) > 0
+    starts = []
+    for x in range(0, len(hit), 50_000):
+        part = slice(x, x + 50_000)
+        own, runs = run_pair[part], hit[part]
+        n = size[own]
+        step = steps(n)
+        cut = smallest[np.repeat(begins[own], n) + step] < np.repeat(c.ids[c.parse.text[runs]], n)
+        starts.append((np.repeat(c.parse.at[runs] - near[own], n) - step)[cut])
+    mask = np.zeros(len(c.data), bool)
+    s = np.sort(np.concatenate([np.zeros(0, np.int64), *starts]))
+    gap = np.flatnonzero(s[1:] > s[:-1] + SPAN)
+    for a, b in zip(s[np.r_[0, gap + 1]].tolist(), s[np.r_[gap, len(s) - 1]].tolist(), strict=True) if len(s) else ():
+        mask[a : b + SPAN] = True
+    return mask
 
 
 def _cut(make):
@@ -262,7 +276,7 @@ def _cut(make):
             repeated = np.unpackbits(np.frombuffer(own[0]["pairs"], np.uint8), count=int.from_bytes(own[0]["ids"], "little")).astype(bool)
             c = Chunk(own[0]["chunk"])
             hit, pairs, run_pair, _ = c.pairs(repeated)
-            smallest = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(r["ids"], np.int64) for r in own[1:])])
+            smallest = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(unpacked(r["ids"]), np.int64) for r in own[1:])])
             yield from make(c, removed(c, hit, run_pair, pairs, smallest))
 
     return run
@@ -270,11 +284,12 @@ def _cut(make):
 
 def _passes(docs: DataFrame, make, schema) -> DataFrame:
     spark = docs.sparkSession
+    small_batches(spark)
     width = partitions(spark)
     chunks = chunked(docs, scratch(spark, "texts"), CHUNK)
     n, size = chunks.selectExpr("count(*)", "coalesce(sum(n_bytes), 0)").first()
-    parts = by_parts(int(size), CHUNK, 8)
-    bits = chunks.select("chunk").repartition(max(1, n)).mapInArrow(_send(parts), _TRIGGERS).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(_answer, _ANSWERS)
+    parts = by_parts(int(size), 2 * CHUNK, 8)
+    bits = chunks.select("chunk").repartition(max(1, n)).mapInArrow(_send(parts), _ANCHORS).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(_answer, _ANSWERS)
     sent = bits.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(_send_pairs(parts), _PAIRS)
     ids = sent.repartition(width, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_order, _PAIRS)
     return ids.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(_cut(make), schema)
