@@ -34,7 +34,7 @@ from memloom.llm.common import by_parts, partitions, scratch, slices, small_batc
 from memloom.llm.components import components
 
 FRAGMENTS = 4
-BLOCK = 1024
+BLOCK = 384
 BLOCK_GRAMS = 400_000
 #: Words kept with their hashes in a worker.
 MEMORY = 200_000
@@ -195,8 +195,9 @@ def overlaps(sets: list[np.ndarray], rows: int) -> np.ndarray:
     who, col = who[sel], new[col[sel]]
     order = np.argsort(col, kind="stable")
     who, col = who[order], col[order]
-    width = max(1, 4_000_000 // max(1, m))
-    for a in range(0, int(keep.sum()), width):
+    total = int(keep.sum())
+    width = min(max(1, total), max(1, 4_000_000 // max(1, m)))
+    for a in range(0, total, width):
         x, y = np.searchsorted(col, (a, a + width))
         t = np.zeros((m, width), np.float32)
         t[who[x:y], col[x:y] - a] = 1
