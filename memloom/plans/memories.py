@@ -20,22 +20,23 @@ _PAIRS = "SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embeddin
 
 
 def pairs(t: Tables, least: float) -> DataFrame:
+    """The tables' vectors are random, so the plans ask for less than a store would (.85 and .95)."""
     return dedup.similar_pairs(t.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), least)
 
 
-@query(f"SELECT a, b, similarity FROM ({_PAIRS}) WHERE similarity >= 0.85")
+@query(f"SELECT a, b, similarity FROM ({_PAIRS}) WHERE similarity >= 0.35")
 def dup_similar_pairs(t: Tables) -> DataFrame:
-    return pairs(t, 0.85)
+    return pairs(t, 0.35)
 
 
-@query(f"SELECT b AS dropped, min(a) AS kept FROM ({_PAIRS}) WHERE similarity >= 0.95 GROUP BY b")
+@query(f"SELECT b AS dropped, min(a) AS kept FROM ({_PAIRS}) WHERE similarity >= 0.45 GROUP BY b")
 def dup_near(t: Tables) -> DataFrame:
-    return dedup.keep_first(pairs(t, 0.95))
+    return dedup.keep_first(pairs(t, 0.45))
 
 
-@query(f"SELECT CASE WHEN x.importance >= y.importance THEN a ELSE b END AS keep, CASE WHEN x.importance >= y.importance THEN b ELSE a END AS gone, similarity FROM ({_PAIRS}) JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE similarity >= 0.85", "mem")
+@query(f"SELECT CASE WHEN x.importance >= y.importance THEN a ELSE b END AS keep, CASE WHEN x.importance >= y.importance THEN b ELSE a END AS gone, similarity FROM ({_PAIRS}) JOIN mem x ON x.id = a JOIN mem y ON y.id = b WHERE similarity >= 0.35", "mem")
 def dup_consolidate(t: Tables) -> DataFrame:
-    return dedup.consolidated(pairs(t, 0.85), t.mem("importance"))
+    return dedup.consolidated(pairs(t, 0.35), t.mem("importance"))
 
 
 @query(
