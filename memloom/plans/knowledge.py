@@ -69,7 +69,7 @@ for _p in ("(?is)<script[^>]*>.*?</script>", "(?is)<style[^>]*>.*?</style>", "(?
 _HTML = f"regexp_replace({_HTML}, '<[^>]+>', chr(10), 'g')"
 for _k, _v in pages.NAMED.items():
     _HTML = f"replace({_HTML}, '{_k}', '{_v.replace(chr(39), chr(39) * 2)}')"
-_HTML = rf"trim(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), ' ')"
+_HTML = rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({_HTML}, '[ \t\r]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n+', chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
 @query(f"SELECT page_id, {_HTML} AS text FROM pages")

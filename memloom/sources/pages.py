@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +19,7 @@ def html_text(html: Column | str) -> Column:
     for k, v in NAMED.items():
         t = F.replace(t, F.lit(k), F.lit(v))
     t = F.regexp_replace(t, r"[ \t\r]+", " ")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r" ?\n ?", "\n"), r"\n+", "\n"), r"^\s+|\s+$", "")
 
 
 def markdown_text(text: Column | str) -> Column:
@@ -29,10 +30,26 @@ def markdown_text(text: Column | str) -> Column:
     return F.trim(t)
 
 
+#: Encodings in the order in which they are tried.
+ENCODINGS = ("utf-8", "gbk", "gb2312", "big5")
+
+
 def decoded(content: Column | str) -> Column:
-    """Bytes as text: UTF-8 where valid, else GBK."""
-    c = F.col(content) if isinstance(content, str) else content
-    return F.coalesce(F.try_validate_utf8(c.cast("string")), F.decode(c, "GBK"))
+    """Bytes as text, in the first encoding that they are valid in."""
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        def one(raw: bytes | None) -> str | None:
+            for e in ENCODINGS:
+                try:
+                    return None if raw is None else bytes(raw).decode(e)
+                except UnicodeDecodeError:
+                    continue
+            return bytes(raw).decode(errors="replace")
+
+        return batch.map(one)
+
+    return run(content)
 
 
 def text_files(spark: SparkSession, path: str) -> DataFrame:
