@@ -31,7 +31,7 @@ def com_similar_users(t: Tables) -> DataFrame:
     return bought.where("user_id <> 7").join(mine, "product_id", "left_semi").select("user_id").distinct()
 
 
-_REC = """r AS (SELECT u.user_id, p.target AS product_id, round(sum(u.weight * p.weight * CASE p.relation WHEN 'similar' THEN 0.8e0 WHEN 'complementary' THEN 1.2e0 ELSE 0.5e0 END), 6) AS score
+_REC = """r AS (SELECT u.user_id, p.target AS product_id, round(sum(u.weight * p.weight * CASE p.relation WHEN 'similar' THEN 0.8e0 WHEN 'complementary' THEN 1.2e0 ELSE 0.5e0 END), 6) + 0e0 AS score
 FROM (SELECT user_id, product_id, round(sum(weight), 6) AS weight FROM up GROUP BY ALL) u JOIN pp p ON p.source = u.product_id GROUP BY ALL),
 f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.user_id = r.user_id AND up.product_id = r.product_id AND up.relation = 'purchased'))"""
 
