@@ -145,3 +145,26 @@ def resolved_names(mentions: DataFrame, aliases: DataFrame, known: DataFrame) ->
     m = mentions.join(a, F.lower("name") == F.col("_k"), "left").select("name", F.coalesce("canonical", "name").alias("canonical"))
     k = known.select(F.lower("name").alias("_n")).distinct().withColumn("is_existing", F.lit(True))
     return m.join(k, F.lower("canonical") == F.col("_n"), "left").select("name", "canonical", F.coalesce("is_existing", F.lit(False)).alias("is_existing"))
+
+
+def learned_types(defaults: DataFrame, learned: DataFrame) -> DataFrame:
+    """Type table (name, category, opposite, transitive) with learned rows over the built-in ones of the same name."""
+    return learned.unionByName(defaults.join(learned.select("name"), "name", "left_anti"))
+
+
+def with_feedback(kg: DataFrame, feedback: DataFrame) -> DataFrame:
+    """kg after feedback (source, relation, target, correct): confirmed triples have confidence 1 and are added where missing, denied ones go."""
+    keys = ["source", "relation", "target"]
+    denied = feedback.where("NOT correct").select(*keys).distinct()
+    right = feedback.where("correct").select(*keys).distinct().withColumn("confidence", F.lit(1.0))
+    left = kg.join(feedback.select(*keys).distinct(), keys, "left_anti").select(*keys, "confidence")
+    return left.unionByName(right.join(denied, keys, "left_anti"))
+
+
+def self_update(kg: DataFrame, new: DataFrame, aliases: dict[str, str], pairs: DataFrame, least: float = 0.3) -> DataFrame:
+    """One round of upkeep: new triples in, aliases to their names, confidence raised by co-occurrence, doubtful edges out."""
+    both = kg.select("source", "relation", "target", "confidence").unionByName(new.select("source", "relation", "target", "confidence"))
+    if aliases:
+        names = F.create_map(*(F.lit(x) for kv in aliases.items() for x in kv))
+        both = both.withColumns({c: F.coalesce(names[F.col(c)], F.col(c)) for c in ("source", "target")}).where("source <> target")
+    return boosted(best_of(both).drop("seen"), pairs).where(F.col("confidence") >= least)
