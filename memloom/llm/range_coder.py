@@ -56,7 +56,7 @@ class _Model:
         self.conf = tuple(self.confs[:n] + np.minimum(self.sure[k][at], _CONF - 1) for k, at in enumerate(self.at))
         self.has = (self.ids[0] >= 0, (self.ids[1] >= 0) & (self.ids[1] != self.ids[0]))
         self.high = np.where(self.has[0], self.true[0][self.conf[0]], 0)
-        self.mid = np.where(self.has[1], (65536 - self.high) * self.true[1][self.conf[1]] >> 16, 0)
+        self.mid = np.where(self.has[1], np.maximum((65536 - self.high) * self.true[1][self.conf[1]] >> 16, 1), 0)
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)

@@ -21,6 +21,15 @@ def test_coder_round_trip(n, top):
         assert np.array_equal(range_coder.decode(range_coder.encode(ids), n), ids)
 
 
+def test_sure_models_can_be_wrong():
+    """Order 2 is always right and order 1 always wrong, then the other way round."""
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        a, b, c = r.integers(0, 50257, 3)
+        ids = np.concatenate([np.tile([a, b, a, c], 700), np.tile([a, b], 300), r.integers(0, 3, 400), np.tile([a, c, b], 100)])
+        assert np.array_equal(range_coder.decode(range_coder.encode(ids), len(ids)), ids)
+
+
 def test_coder_learns():
     ids = np.tile(np.arange(50) * 900, 2000)
     assert sum(map(len, range_coder.encode(ids))) < len(ids) / 4
