@@ -20,13 +20,13 @@ def com_product_users(t: Tables) -> DataFrame:
     return t.up_edges().where("product_id = 5").groupBy("user_id", "relation").agg(F.count("*").alias("n"))
 
 
-_UU = "(SELECT DISTINCT a.user_id AS source, b.user_id AS target FROM up a JOIN up b ON a.product_id = b.product_id AND a.user_id < b.user_id WHERE a.relation = 'purchased' AND b.relation = 'purchased' AND a.product_id < 10 AND b.product_id < 10)"
+_UU = "(SELECT DISTINCT a.user_id AS source, b.user_id AS target FROM up a JOIN up b ON a.product_id = b.product_id AND a.user_id < b.user_id WHERE a.relation = 'purchased' AND b.relation = 'purchased')"
 
 
 @query(f"SELECT DISTINCT CASE WHEN source = 7 THEN target ELSE source END AS user_id FROM {_UU} WHERE source = 7 OR target = 7", "up")
 def com_similar_users(t: Tables) -> DataFrame:
     """The other end of each user-user edge at a user; edges are purchases of the same product, from that user's side only."""
-    bought = t.up_edges().where("relation = 'purchased' AND product_id < 10").select("user_id", "product_id").distinct()
+    bought = t.up_edges().where("relation = 'purchased'").select("user_id", "product_id").distinct()
     mine = bought.where("user_id = 7").select("product_id")
     return bought.where("user_id <> 7").join(mine, "product_id", "left_semi").select("user_id").distinct()
 
@@ -84,10 +84,10 @@ def com_category(t: Tables) -> DataFrame:
     return p.where(F.array_contains("category", "ECONOMY")).orderBy("product_id").limit(100).select("product_id", "name")
 
 
-@query("SELECT d.id AS user_id, coalesce(name, '') AS name, coalesce(total_orders, 0) AS total_orders, coalesce(total_spent, 0e0) AS total_spent, name IS NULL AS is_default FROM (SELECT unnest(range(0, 3000, 100)) AS id) d LEFT JOIN users ON user_id = id", "users")
+@query("SELECT d.id AS user_id, coalesce(name, '') AS name, coalesce(total_orders, 0) AS total_orders, coalesce(total_spent, 0e0) AS total_spent, name IS NULL AS is_default FROM (SELECT DISTINCT user_id + 1400 AS id FROM events) d LEFT JOIN users ON user_id = id", "users")
 def com_user_profile(t: Tables) -> DataFrame:
-    """Asked-for profiles, with defaults for users who have none; the few asked for are broadcast to the aggregation's result."""
-    asked = t.spark.range(0, 3000, 100).select(F.col("id").alias("user_id"))
+    """Profiles of all users with events, with defaults for those who have none (ids are shifted past the last profile to make some)."""
+    asked = t.base("events").select((F.col("user_id") + 1400).alias("user_id")).distinct()
     u = asked.join(t.users(), "user_id", "left")
     return u.select("user_id", F.coalesce("name", F.lit("")).alias("name"), F.coalesce("total_orders", F.lit(0)).alias("total_orders"), F.coalesce("total_spent", F.lit(0.0)).alias("total_spent"), F.col("name").isNull().alias("is_default"))
 
@@ -98,15 +98,15 @@ def com_profile_text(t: Tables) -> DataFrame:
     return p.select(F.col("p_partkey").alias("product_id"), commerce.labelled([("", F.col("p_name")), ("类目:", F.col("p_type")), ("品牌:", F.col("p_brand"))]).alias("text"))
 
 
-_OLD = "(SELECT user_id, segment, [segment, 'x'] AS tags FROM users WHERE user_id % 2 = 0)"
-_NEW = "(SELECT user_id, CASE WHEN user_id % 3 = 0 THEN 'NEW' END AS segment, ['x', 'y'] AS tags FROM users WHERE user_id % 5 = 0)"
+_OLD = "(SELECT user_id, segment, [segment, 'x'] AS tags FROM users)"
+_NEW = "(SELECT o_custkey AS user_id, CASE WHEN count(*) > 12 THEN 'VIP' END AS segment, ['x', 'buyer'] AS tags FROM orders GROUP BY 1)"
 
 
 @query(f"SELECT user_id, coalesce(n.segment, o.segment) AS segment, array_to_string(list_sort(list_distinct(list_concat(coalesce(o.tags, []), coalesce(n.tags, [])))), ',') AS tags FROM {_OLD} o FULL JOIN {_NEW} n USING (user_id)", "users")
 def com_profile_merge(t: Tables) -> DataFrame:
-    c = t.base("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"))
-    old = c.where("user_id % 2 = 0").withColumn("tags", F.array("segment", F.lit("x")))
-    new = c.where("user_id % 5 = 0").select("user_id", F.when(F.col("user_id") % 3 == 0, "NEW").alias("segment"), F.array(F.lit("x"), F.lit("y")).alias("tags"))
+    """Customers' profiles with a batch from their orders."""
+    old = t.base("customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment")).withColumn("tags", F.array("segment", F.lit("x")))
+    new = t.base("orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.when(F.count("*") > 12, "VIP").alias("segment")).withColumn("tags", F.array(F.lit("x"), F.lit("buyer")))
     return commerce.merged(old, new, "user_id", ("tags",)).withColumn("tags", F.array_join("tags", ","))
 
 
@@ -156,8 +156,8 @@ def com_import_behaviors(t: Tables) -> DataFrame:
     return t.base("events").groupBy("user_id").agg(F.count("*").alias("relations"), F.count_if(bought).alias("purchases"), F.round(F.sum(F.when(bought, F.col("value"))), 2).alias("spent"))
 
 
-@query("SELECT count(*) FILTER (k IS NOT NULL AND k % 2 = 1) AS imported, count(*) FILTER (k % 2 = 0) AS updated, count(*) FILTER (k IS NULL) AS failed, count(*) AS total FROM (SELECT CASE WHEN c_custkey % 7 > 0 THEN c_custkey END AS k FROM customer)")
+@query("SELECT count(*) FILTER (k IS NOT NULL AND k NOT IN (SELECT o_custkey FROM orders)) AS imported, count(*) FILTER (k IN (SELECT o_custkey FROM orders)) AS updated, count(*) FILTER (k IS NULL) AS failed, count(*) AS total FROM (SELECT CASE WHEN c_acctbal >= 0 THEN c_custkey END AS k FROM customer)")
 def com_batch_import(t: Tables) -> DataFrame:
-    c = t.base("customer").select(F.col("c_custkey").alias("user_id"))
-    new = c.select(F.when(F.col("user_id") % 7 > 0, F.col("user_id")).alias("user_id"))
-    return commerce.import_counts(c.where("user_id % 2 = 0"), new, "user_id")
+    """Customers as the batch, those in debt without an id; buyers are known already."""
+    new = t.base("customer").select(F.when(F.col("c_acctbal") >= 0, F.col("c_custkey")).alias("user_id"))
+    return commerce.import_counts(t.base("orders").select(F.col("o_custkey").alias("user_id")), new, "user_id")

@@ -213,14 +213,13 @@ def kg_infer_type(t: Tables) -> DataFrame:
     return t.base("part").select(F.col("p_name").alias("name"), ent.infer_type("p_name").alias("type"), ent.valid_entity("p_name").alias("valid"))
 
 
-@query("SELECT source, relation, target, round(1 - distance, 6) AS score FROM (SELECT k.*, d.distance FROM (SELECT *, row_number() OVER (ORDER BY source, relation, target) - 1 AS rid FROM kg) k JOIN dist d ON d.id = k.rid) ORDER BY score DESC, source LIMIT 10", "mem", "qvec", "dist", "kg")
+@query("SELECT source, relation, target, round(1 - distance, 6) AS score FROM kg JOIN dist ON id = regexp_extract(source, '[0-9]+$')::BIGINT ORDER BY score DESC, source, relation, target LIMIT 10", "mem", "qvec", "dist", "kg")
 def kg_search(t: Tables) -> DataFrame:
-    """Nearest triples: each triple gets the vector whose id is its rank by name (the tables hold no vectors of triples)."""
-    from pyspark.sql import Window
-
-    k = t.kg().withColumn("id", F.row_number().over(Window.orderBy("source", "relation", "target")) - 1)
-    near = vector.with_distance(k.join(t.base("embeddings").select(F.col("vec_id").alias("id"), "embedding"), "id"), t.query_vector())
-    return vector.top_k(near.select("source", "relation", "target", F.round(1 - F.col("distance"), 6).alias("score")), 10, F.desc("score"), tie="source")
+    """Nearest triples: a triple has the vector of the number in its source's name (the tables hold no vectors of triples)."""
+    k = t.kg().withColumn("id", F.regexp_extract("source", "[0-9]+$", 0).cast("long"))
+    near = vector.with_distance(k.join(t.vectors().select("id", "embedding"), "id"), t.query_vector())
+    scored = near.select("source", "relation", "target", F.round(1 - F.col("distance"), 6).alias("score"))
+    return scored.orderBy(F.desc("score"), "source", "relation", "target").limit(10)
 
 
 @query("SELECT DISTINCT name FROM (SELECT source AS name FROM kg UNION ALL SELECT target FROM kg) WHERE contains(lower(name), 'tion_1') ORDER BY name LIMIT 20", "kg")

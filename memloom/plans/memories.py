@@ -40,13 +40,13 @@ def dup_consolidate(t: Tables) -> DataFrame:
 
 
 @query(
-    "SELECT DISTINCT n.id FROM mem n JOIN mem h ON substr(n.content, 1, 20) = substr(h.content, 1, 20) AND n.id <> h.id WHERE n.id % 2 = 1 AND h.id % 2 = 0 AND (contains(substr(n.content, 1, 100), substr(h.content, 1, 100)) OR contains(substr(h.content, 1, 100), substr(n.content, 1, 100))) AND round(1 - list_dot_product(n.embedding::DOUBLE[], h.embedding::DOUBLE[]) / (sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[])) * sqrt(list_dot_product(h.embedding::DOUBLE[], h.embedding::DOUBLE[]))), 6) < 1.15",
+    "SELECT DISTINCT n.id FROM mem n JOIN mem h ON substr(n.content, 1, 20) = substr(h.content, 1, 20) AND n.id <> h.id WHERE n.id IN (SELECT doc_id FROM labels) AND h.id NOT IN (SELECT doc_id FROM labels) AND (contains(substr(n.content, 1, 100), substr(h.content, 1, 100)) OR contains(substr(h.content, 1, 100), substr(n.content, 1, 100))) AND round(1 - list_dot_product(n.embedding::DOUBLE[], h.embedding::DOUBLE[]) / (sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[])) * sqrt(list_dot_product(h.embedding::DOUBLE[], h.embedding::DOUBLE[]))), 6) < 1.15",
     "mem",
 )
 def dedup_insert(t: Tables) -> DataFrame:
-    """Odd ids as the insert batch, even ids as the store; a wide distance, as the tables' vectors don't follow their texts."""
-    m = t.vectors().select("id", "content", "embedding")
-    return dedup.insert_duplicates(m.where("id % 2 = 1"), m.where("id % 2 = 0"), distance=1.15)
+    """Rated memories as the insert batch, the others as the store; a wide distance, as the tables' vectors don't follow their texts."""
+    m, rated = t.vectors().select("id", "content", "embedding"), t.base("labels").select(F.col("doc_id").alias("id"))
+    return dedup.insert_duplicates(m.join(rated, "id", "left_semi"), m.join(rated, "id", "left_anti"), distance=1.15)
 
 
 @query("SELECT id, importance, CASE WHEN r <= 100 THEN 'keep_recent' WHEN importance < 0.3 THEN 'delete' ELSE 'keep' END AS action FROM (SELECT id, importance, CASE WHEN ts IS NULL THEN 1000000 ELSE row_number() OVER (ORDER BY ts DESC NULLS LAST, id) END AS r FROM mem)", "mem")
@@ -54,10 +54,11 @@ def retention_cleanup(t: Tables) -> DataFrame:
     return dedup.retention(t.mem("ts", "importance")).select("id", "importance", "action")
 
 
-@query("SELECT id, CASE WHEN id % 10 = 0 AND id % 7 / 5e0 BETWEEN 0 AND 1 THEN id % 7 / 5e0 ELSE importance END AS importance FROM mem", "mem")
+@query("SELECT id, CASE WHEN quality - 0.5e0 * toxic BETWEEN 0 AND 1 THEN quality - 0.5e0 * toxic ELSE importance END AS importance FROM mem LEFT JOIN labels ON doc_id = id", "mem")
 def upd_importance(t: Tables) -> DataFrame:
+    """Ratings as a batch of changes; values out of range change nothing."""
     m = t.mem("importance").select("id", "importance")
-    new = t.base("documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), dedup.valid_importance(F.col("doc_id") % 7 / 5).alias("importance"))
+    new = t.base("labels").select(F.col("doc_id").alias("id"), dedup.valid_importance(F.expr("quality - 0.5D * toxic")).alias("importance"))
     return dedup.patched(m, new)
 
 

@@ -147,13 +147,14 @@ def cmp_tags(t: Tables) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE m AS (SELECT row_number() OVER (ORDER BY id) AS i, id, length(CASE WHEN length(content) <= 120 THEN content ELSE substr(content, 1, 120) || '...' END) AS a, length(CASE WHEN length(content) <= 60 THEN content ELSE substr(content, 1, 60) || '...' END) AS b FROM mem WHERE id < 60),
-f AS (SELECT 0::BIGINT AS i, -1::BIGINT AS id, 0::BIGINT AS total, 0::BIGINT AS used, true AS going
-UNION ALL SELECT m.i, m.id, f.total + CASE WHEN f.total + m.a <= 1500 THEN m.a WHEN f.total + m.b <= 1500 THEN m.b ELSE 0 END, CASE WHEN f.total + m.a <= 1500 THEN m.a WHEN f.total + m.b <= 1500 THEN m.b ELSE 0 END, f.total + m.b <= 1500 OR f.total + m.a <= 1500 FROM f JOIN m ON m.i = f.i + 1 WHERE f.going)
-SELECT id, used, total FROM f WHERE i > 0 AND going""",
-    "mem",
+    """WITH RECURSIVE m AS (SELECT row_number() OVER (PARTITION BY session_id ORDER BY turn) AS i, session_id, turn, length(CASE WHEN length(content) <= 120 THEN content ELSE substr(content, 1, 120) || '...' END) AS a, length(CASE WHEN length(content) <= 60 THEN content ELSE substr(content, 1, 60) || '...' END) AS b FROM msg),
+f AS (SELECT session_id, 0::BIGINT AS i, -1::BIGINT AS id, 0::BIGINT AS used, 0::BIGINT AS total, true AS going FROM (SELECT DISTINCT session_id FROM msg)
+UNION ALL SELECT m.session_id, m.i, m.turn, CASE WHEN f.total + m.a <= 300 THEN m.a WHEN f.total + m.b <= 300 THEN m.b ELSE 0 END, f.total + CASE WHEN f.total + m.a <= 300 THEN m.a WHEN f.total + m.b <= 300 THEN m.b ELSE 0 END, f.total + m.b <= 300 OR f.total + m.a <= 300 FROM f JOIN m ON m.i = f.i + 1 AND m.session_id = f.session_id WHERE f.going)
+SELECT session_id, id AS turn, used, total FROM f WHERE i > 0 AND going""",
+    "msg",
 )
 def cmp_budget(t: Tables) -> DataFrame:
-    """The budget's fold over a ranked page of sixty memories: compress, retry harder, stop."""
-    page = t.mem().where("id < 60").select("id", "content")
-    return compress.budget(page, 1500, F.col("id"), compress.truncate("content", 120), compress.truncate("content", 60)).select("id", F.length("text").cast("long").alias("used"), "total")
+    """The budget's fold over each session's messages: compress, retry harder, stop."""
+    page = t.msg().select("session_id", F.col("turn").alias("id"), "content")
+    folded = compress.budget(page, 300, F.col("id"), compress.truncate("content", 120), compress.truncate("content", 60), "session_id")
+    return folded.select("session_id", F.col("id").alias("turn"), F.length("text").cast("long").alias("used"), "total")

@@ -49,7 +49,7 @@ class Tables:
         n, r, c, s = self.base("nation"), self.base("region"), self.base("customer"), self.base("supplier")
         named = n.select("n_nationkey", "n_name")
         part = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("source"), F.lit("PartOf").alias("relation"), F.col("r_name").alias("target"), F.lit(0.9).alias("confidence"))
-        cust = c.where("c_custkey < 200").join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("source"), F.lit("LocatedIn").alias("relation"), F.col("n_name").alias("target"), F.lit(0.7).alias("confidence"))
+        cust = c.join(F.broadcast(named), F.col("c_nationkey") == F.col("n_nationkey")).select(F.col("c_name").alias("source"), F.lit("LocatedIn").alias("relation"), F.col("n_name").alias("target"), F.lit(0.7).alias("confidence"))
         supp = s.join(F.broadcast(named), F.col("s_nationkey") == F.col("n_nationkey")).select(F.col("s_name").alias("source"), F.lit("LocatedIn").alias("relation"), F.col("n_name").alias("target"), F.lit(0.8).alias("confidence"))
         return part.unionByName(cust).unionByName(supp)
 
@@ -66,7 +66,9 @@ class Tables:
         return e.select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("product_id"), rel.alias("relation"), F.coalesce(weight[rel], F.lit(0.1)).alias("weight"))
 
     def pp_edges(self) -> DataFrame:
-        p = self.base("part").where("p_partkey < 100").select("p_partkey", "p_brand", "p_type")
+        """Relations between products that users have dealt with: of one brand, or of one type with neighbouring keys."""
+        seen = self.base("events").select(F.get_json_object("props", "$.k").cast("long").alias("p_partkey")).distinct()
+        p = self.base("part").select("p_partkey", "p_brand", "p_type").join(seen, "p_partkey", "left_semi")
         a, b = (p.select(*(F.col(c).alias(f"{s}_{c}") for c in p.columns)) for s in "ab")
         same = a.join(b, (F.col("a_p_brand") == F.col("b_p_brand")) & (F.col("a_p_partkey") != F.col("b_p_partkey")))
         near = a.join(b, (F.col("a_p_type") == F.col("b_p_type")) & (F.abs(F.col("a_p_partkey") - F.col("b_p_partkey")) == 1))
@@ -98,10 +100,10 @@ SQL = {
     "st": "SELECT count(*) AS n, avg(dl) AS a, [count(*) FILTER (f[1] > 0), count(*) FILTER (f[2] > 0), count(*) FILTER (f[3] > 0)] AS df FROM tf",
     "bm25": "SELECT id, round(" + " + ".join(f"ln(1e0 + (n - df[{k}] + 0.5e0) / (df[{k}] + 0.5e0)) * f[{k}] * 2.2e0 / (f[{k}] + 1.2e0 * (0.25e0 + 0.75e0 * dl / a))" for k in (1, 2, 3)) + ", 6) AS score FROM tf, st WHERE f[1] + f[2] + f[3] > 0",
     "msg": "SELECT conv_id AS session_id, turn, role, text AS content, TIMESTAMP '2024-01-01 00:00:00' + to_hours(conv_id::INT) + to_minutes(turn::INT) AS ts FROM conversations",
-    "kg": "SELECT n_name AS source, 'PartOf' AS relation, r_name AS target, 0.9e0 AS confidence FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT c_name, 'LocatedIn', n_name, 0.7e0 FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey < 200 UNION ALL SELECT s_name, 'LocatedIn', n_name, 0.8e0 FROM supplier JOIN nation ON s_nationkey = n_nationkey",
+    "kg": "SELECT n_name AS source, 'PartOf' AS relation, r_name AS target, 0.9e0 AS confidence FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT c_name, 'LocatedIn', n_name, 0.7e0 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_name, 'LocatedIn', n_name, 0.8e0 FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "kg_ev": "SELECT 'u' || user_id AS source, event_type AS relation, 'k' || (props->>'$.k') AS target, max(round(least(value / 500, 1e0), 6)) AS confidence FROM events GROUP BY ALL",
     "up": "SELECT event_id, ts, user_id, (props->>'$.k')::BIGINT AS product_id, CASE event_type WHEN 'view' THEN 'viewed' WHEN 'click' THEN 'cart_added' WHEN 'purchase' THEN 'purchased' WHEN 'signup' THEN 'favorited' WHEN 'error' THEN 'returned' END AS relation, CASE event_type WHEN 'view' THEN 0.1e0 WHEN 'click' THEN 0.3e0 WHEN 'purchase' THEN 1e0 WHEN 'signup' THEN 0.4e0 WHEN 'error' THEN -0.5e0 ELSE 0.1e0 END AS weight FROM events",
-    "pp": "SELECT a.p_partkey AS source, 'similar' AS relation, b.p_partkey AS target, 1e0 AS weight FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey < 100 AND b.p_partkey < 100 UNION ALL SELECT a.p_partkey, 'complementary', b.p_partkey, 1e0 FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_partkey - b.p_partkey) = 1 WHERE a.p_partkey < 100 AND b.p_partkey < 100",
+    "pp": "SELECT a.p_partkey AS source, 'similar' AS relation, b.p_partkey AS target, 1e0 AS weight FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey IN (SELECT product_id FROM up) AND b.p_partkey IN (SELECT product_id FROM up) UNION ALL SELECT a.p_partkey, 'complementary', b.p_partkey, 1e0 FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_partkey - b.p_partkey) = 1 WHERE a.p_partkey IN (SELECT product_id FROM up) AND b.p_partkey IN (SELECT product_id FROM up)",
     "products": "SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand, [p_type] AS category, p_retailprice AS price, p_size / 10e0 AS avg_rating, coalesce(s.q, 0e0) AS monthly_sales FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey",
     "users": "SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation, coalesce(o.n, 0) AS total_orders, coalesce(o.s, 0e0) AS total_spent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY 1) o ON o_custkey = c_custkey",
 }
