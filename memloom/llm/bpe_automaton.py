@@ -21,12 +21,14 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.common import texts_of
+from memloom.llm.common import lean, slices, small_batches, texts_of
 
 #: White space as Unicode's property White_Space has it.
 SPACE = r"\t-\r\x85\p{Z}"
@@ -138,7 +140,9 @@ class Automaton:
 
 
 #: Words kept with their codes in a worker; past that the memory starts anew.
-MEMORY = 400_000
+MEMORY = 200_000
+#: Characters of text in an output batch.
+SLICE = 2_000_000
 _LOADED: dict[str, "WordBpe"] = {}
 
 
@@ -207,35 +211,43 @@ def loaded(path: str) -> WordBpe:
     return _LOADED[path]
 
 
+def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of about SLICE characters, so that what comes out of one stays small."""
+    for b in rows:
+        for x, y in slices(np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)), SLICE):
+            yield b.slice(x, y - x)
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` (array of int) and `decoded`. Null text: empty text, no ids. Columns of these names are replaced."""
+    small_batches(docs.sparkSession)
     docs = docs.drop("ids", "decoded")
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
         bpe = loaded(path)
-        for b in rows:
+        for b in cut(rows):
             got = [bpe.text(t) for t in texts_of(b)]
             ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)])
             flat = pa.array(np.frombuffer(b"".join(g[0] for g in got), "<i4"))
             ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*b.columns, ids, pa.array([g[1] for g in got], pa.string())], [*b.schema.names, "ids", "decoded"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
     """Counts and digests of the same ids and decoded texts, without shipping them out of the workers."""
 
+    small_batches(docs.sparkSession)
+
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
-        for b in rows:
+        for b in cut(rows):
             got = [bpe.text(t) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id").cast(pa.int64()), pa.array([len(g[0]) // 4 for g in got], pa.int64()), pa.array([hashlib.sha256(g[0]).hexdigest() for g in got]), pa.array([hashlib.sha256(g[1].encode()).hexdigest() for g in got])],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm.bpe_automaton import byte_symbols
-from memloom.llm.common import partitions
+from memloom.llm.common import lean, partitions
 
 USER, ASSISTANT, SYSTEM, OTHER, END_ROLE, END_TURN = range(6)
 SAID = ("### User: ", "### Assistant: ", "### System: ", "### Other: ", "</role>", "</turn>")
@@ -130,8 +130,8 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
             yield piece()
 
     turns = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    coded = turns.mapInArrow(encode, TURN).repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
-    return coded.mapInArrow(assemble, FORMATTED)
+    coded = turns.mapInArrow(lean(encode), TURN).repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "ids")
+    return coded.mapInArrow(lean(assemble), FORMATTED)
 
 
 def turns_of(c: Codec, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str]]:
@@ -174,7 +174,7 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
             done.append(own)
         yield _digests(done)
 
-    return formatted.mapInArrow(read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return formatted.mapInArrow(lean(read), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def _digests(done: list[dict]) -> pa.RecordBatch:

@@ -11,10 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
-from memloom.llm.common import slices, store_of, stored
+from memloom.llm.common import lean, slices, store_of, stored
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK = 8_000_000
@@ -39,7 +40,7 @@ def chunked(docs: DataFrame, folder: str, chunk_bytes: int = CHUNK) -> DataFrame
             return pa.RecordBatch.from_pydict({"chunk": pa.array([f"{folder}/{name}"]), "n_bytes": pa.array([size], pa.int64())})
 
         for b in rows:
-            sizes = np.fromiter((len(x or "") for x in b.column("text").to_pylist()), np.int64, b.num_rows)
+            sizes = np.asarray(pc.fill_null(pc.binary_length(b.column("text")), 0)).astype(np.int64)
             for x, y in slices(sizes, max(1, chunk_bytes // 4)):
                 held.append(b.slice(x, y - x))
                 size += int(sizes[x:y].sum())
@@ -52,7 +53,7 @@ def chunked(docs: DataFrame, folder: str, chunk_bytes: int = CHUNK) -> DataFrame
     spark = docs.sparkSession
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-    return stored(docs.mapInArrow(write, "chunk string, n_bytes long"), "chunks")
+    return stored(docs.mapInArrow(lean(write), "chunk string, n_bytes long"), "chunks")
 
 
 def groups(rows: Iterator[pa.RecordBatch], key: str) -> Iterator[list[dict]]:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,6 +67,30 @@ def small_batches(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+def _give_back() -> None:
+    """Return freed memory to the system: Arrow's pool, and the C library's heap where it can."""
+    pa.default_memory_pool().release_unused()
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 4 << 20)  # M_MMAP_THRESHOLD: large arrays are maps of their own, gone when freed
+        libc.malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def lean(f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """f for a worker that serves many tasks: what a task has freed isn't held through the next."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
+        try:
+            yield from f(rows)
+        finally:
+            _give_back()
+
+    return run
+
+
 def partitions(spark: SparkSession) -> int:
     """Shuffle partitions of this session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

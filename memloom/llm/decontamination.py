@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import by_parts, slices, stored, texts_of
+from memloom.llm.common import by_parts, lean, slices, small_batches, stored, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -222,11 +222,12 @@ def _pass(docs: DataFrame, items: list[tuple], radius: int, similarity: float) -
                     out += [(ids[x + k], bench.ids[item], round(v, 6), f) for item, (v, f) in best.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], [c.split()[0] for c in FOUND.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, FOUND)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
 
 
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, similarity, first_word) for each item that a document holds."""
+    small_batches(docs.sparkSession)
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = int(b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
     blocks = by_parts(size, BLOCK_BYTES, 1)
@@ -241,4 +242,4 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
 def decontaminate(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
     """docs without those that hold an item."""
     bad = stored(find_contaminated(docs, benchmark, radius, similarity).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad.withColumnRenamed("doc_id", "_bad"), docs["doc_id"].eqNullSafe(F.col("_bad")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm.chunks import CHUNK, chunked, groups, part_of, read_chunk, row_batch
-from memloom.llm.common import by_parts, partitions, scratch, slices, small_batches, stored
+from memloom.llm.common import by_parts, lean, partitions, scratch, slices, small_batches, stored
 from memloom.llm.components import components
 
 FRAGMENTS = 4
@@ -38,13 +38,14 @@ BLOCK = 384
 BLOCK_GRAMS = 400_000
 #: Words kept with their hashes in a worker.
 MEMORY = 200_000
+_LAST = (1 << 63) - 1
 #: Characters of text cut into words at once.
 SLICE = 2_000_000
 
 _SENT = "frag int, chunk string, n int, low binary, counts binary"
 _CLASSES = "frag int, chunk string, classes binary"
 #: grams and prefix (little-endian 64-bit hashes) are null where the set links to nothing, or the chunk has it already.
-_SETS = "doc_id long, node long, n long, prefix binary, grams binary"
+_SETS = "doc_id long, chunk string, row int, node long, n long, prefix binary, grams binary"
 _SEGMENTS = "cluster long, one int, two int, frag int, node long, side int, n long, grams binary"
 _PARTIAL = "cluster long, one int, two int, frag int, nodes binary, sizes binary, rows int, at binary, counts binary"
 
@@ -149,7 +150,7 @@ def _sets(words: int, num: int, den: int):
                     length = len(s) - -(-num * len(s) // den) + 1
                     prefix[i] = s[np.lexsort((s, k))[alone:length]].tobytes()
                     grams[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([c.ids, pa.array(c.nodes, pa.int64()), pa.array([len(s) for s in c.sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array(grams, pa.binary())], [x.split()[0] for x in _SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array([own[0]["chunk"]] * len(c.sets), pa.string()), pa.array(range(len(c.sets)), pa.int32()), pa.array(c.nodes, pa.int64()), pa.array([len(s) for s in c.sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array(grams, pa.binary())], [x.split()[0] for x in _SETS.split(", ")])
 
     return run
 
@@ -264,16 +265,24 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
 
     Two sets link when den * |A n B| >= num * |A u B|.
     """
-    spark = docs.sparkSession
-    small_batches(spark)
-    width = partitions(spark)
-    chunks = chunked(docs.select("doc_id", "text"), scratch(spark, "texts"), CHUNK)
+    rows = _linked(_chunks(docs.select("doc_id", "text")), words, num, den)
+    return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _chunks(docs: DataFrame) -> DataFrame:
+    small_batches(docs.sparkSession)
+    return chunked(docs, scratch(docs.sparkSession, "texts"), CHUNK)
+
+
+def _linked(chunks: DataFrame, words: int, num: int, den: int) -> DataFrame:
+    """Each row of the chunks: doc_id, chunk, row, n, and for sets with elements root (the component's node) and component_id."""
+    width = partitions(chunks.sparkSession)
     n, size = chunks.selectExpr("count(*)", "coalesce(sum(n_bytes), 0)").first()
     parts = by_parts(int(size), 2 * CHUNK, 8)
-    classes = chunks.select("chunk").repartition(max(1, n)).mapInArrow(_send(words, parts), _SENT).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(_classes, _CLASSES)
-    sets = stored(classes.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(_sets(words, num, den), _SETS), "sets")
+    classes = chunks.select("chunk").repartition(max(1, n)).mapInArrow(lean(_send(words, parts)), _SENT).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(lean(_classes), _CLASSES)
+    sets = stored(classes.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(_sets(words, num, den)), _SETS), "sets")
 
-    pre = sets.where("prefix IS NOT NULL").select("node", "prefix").mapInArrow(_explode, "gram long, node long").where("gram IS NOT NULL")
+    pre = sets.where("prefix IS NOT NULL").select("node", "prefix").mapInArrow(lean(_explode), "gram long, node long").where("gram IS NOT NULL")
     stars = stored(pre.distinct(), "prefixes")
     pivots = stars.groupBy("gram").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot <> last").select("gram", "pivot")
     cluster = components(stars.join(pivots, "gram").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")))
@@ -285,21 +294,31 @@ def linked(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> Da
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pair = ["cluster", "one", "two"]
-    segments = placed.mapInArrow(_segments, _SEGMENTS).repartition(width, *pair, "frag").sortWithinPartitions(*pair, "frag", "side", "node")
-    partial = segments.mapInArrow(_partial, _PARTIAL).repartition(width, *pair).sortWithinPartitions(*pair, "frag")
-    roots = components(partial.mapInArrow(_links(num, den), "a long, b long"))
+    segments = placed.mapInArrow(lean(_segments), _SEGMENTS).repartition(width, *pair, "frag").sortWithinPartitions(*pair, "frag", "side", "node")
+    partial = segments.mapInArrow(lean(_partial), _PARTIAL).repartition(width, *pair).sortWithinPartitions(*pair, "frag")
+    roots = components(partial.mapInArrow(lean(_links(num, den)), "a long, b long"))
 
     labels = stored(sets.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("label")), "labels")
     named = roots.join(labels, "node")
-    named = named.join(named.groupBy("root").agg(F.min("label").alias("component")), "root").select("node", "component")
-    names = stored(labels.join(named, "node", "left").select("node", F.coalesce("component", "label").alias("component_id")), "names")
-    return sets.select("doc_id", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n").join(names, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    )
+    named = named.join(named.groupBy("root").agg(F.min("label").alias("component")), "root").select("node", "root", "component")
+    names = labels.join(named, "node", "left").select("node", F.coalesce("root", "node").alias("root"), F.coalesce("component", "label").alias("component_id"))
+    rows = sets.select("doc_id", "chunk", "row", F.when(F.col("n") > 0, F.col("node")).alias("node"), "n")
+    return rows.join(stored(names, "names"), "node", "left")
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """docs without near copies: of each component the document with the smallest id stays; rows with that id stay once."""
-    found = linked(docs, words, num, den)
-    keep = stored(found.where("component_id = doc_id OR doc_id IS NULL OR component_id IS NULL").select("doc_id").distinct(), "kept")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").dropDuplicates(["doc_id"])
+    """docs without near copies: of each component the row with the smallest doc_id stays (null last, then any one).
+
+    Of rows without words one stays for each doc_id. The rows are read from the chunks; no text is shuffled.
+    """
+    schema, chunks = docs.schema, _chunks(docs)
+    rows = _linked(chunks, words, num, den)
+    group = F.struct(F.col("root").alias("root"), F.when(F.col("n") == 0, F.coalesce("doc_id", F.lit(_LAST))).alias("lone"))
+    first = F.min(F.struct(F.coalesce("doc_id", F.lit(_LAST)).alias("d"), "chunk", "row"))
+    kept = rows.groupBy(group.alias("g")).agg(first.alias("r")).select("r.chunk", "r.row")
+
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in groups(batches, "chunk"):
+            yield from read_chunk(own[0]["chunk"]).take(pa.array([r["row"] for r in own])).to_batches()
+
+    return kept.repartition(partitions(docs.sparkSession), "chunk").sortWithinPartitions("chunk", "row").mapInArrow(lean(take), schema)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from memloom.llm.common import WORD_PATTERN, texts_of
+from memloom.llm.common import WORD_PATTERN, lean, small_batches, texts_of
 
 _WORD = re.compile(WORD_PATTERN)
 _LETTER = re.compile(r"[^\W\d_]")
@@ -180,6 +180,7 @@ def run_cascade(features: list[Features], plan: list[Measured]) -> list[str | No
 
 def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = (BASE, *RULES), sample: int = SAMPLE) -> DataFrame:
     """docs with `rejected_by` (null: kept)."""
+    small_batches(docs.sparkSession)
     plan = plan_cascade(sampled(docs, sample), rules)
     docs = docs.drop("rejected_by")
     schema = T.StructType([*docs.schema.fields, T.StructField("rejected_by", T.StringType())])
@@ -189,7 +190,7 @@ def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = (BASE, *RULES), sam
             verdict = run_cascade([Features(t) for t in texts_of(b)], plan)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdict, pa.string())], [*b.schema.names, "rejected_by"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run), schema)
 
 
 METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean"
@@ -197,6 +198,7 @@ METRICS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lin
 
 def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The base counts of every document with the cascade's verdict; rules run only on what the base rule leaves."""
+    small_batches(docs.sparkSession)
     plan = plan_cascade(sampled(docs, sample), RULES)
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,4 +212,4 @@ def judge(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             counts = [pa.array([getattr(x, k) for x in fs], pa.int64()) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), *counts, pa.array(failed, pa.bool_()), pa.array(kept, pa.bool_())], [x.split()[0] for x in METRICS.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, METRICS)
+    return docs.select("doc_id", "text").mapInArrow(lean(run), METRICS)

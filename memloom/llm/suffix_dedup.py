@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from memloom.llm.chunks import CHUNK, chunked, distinct_rows, groups, packed, part_of, read_chunk, row_batch, sorted_rows, steps, unpacked
-from memloom.llm.common import by_parts, crc, partitions, scratch, small_batches
+from memloom.llm.common import by_parts, crc, lean, partitions, scratch, small_batches
 
 SPAN = 50
 TRIGGER = 16
@@ -289,10 +289,10 @@ def _passes(docs: DataFrame, make, schema) -> DataFrame:
     chunks = chunked(docs, scratch(spark, "texts"), CHUNK)
     n, size = chunks.selectExpr("count(*)", "coalesce(sum(n_bytes), 0)").first()
     parts = by_parts(int(size), 2 * CHUNK, 8)
-    bits = chunks.select("chunk").repartition(max(1, n)).mapInArrow(_send(parts), _ANCHORS).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(_answer, _ANSWERS)
-    sent = bits.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(_send_pairs(parts), _PAIRS)
-    ids = sent.repartition(width, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(_order, _PAIRS)
-    return ids.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(_cut(make), schema)
+    bits = chunks.select("chunk").repartition(max(1, n)).mapInArrow(lean(_send(parts)), _ANCHORS).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(lean(_answer), _ANSWERS)
+    sent = bits.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(_send_pairs(parts)), _PAIRS)
+    ids = sent.repartition(width, "bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(lean(_order), _PAIRS)
+    return ids.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(_cut(make)), schema)
 
 
 DIGEST = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import batches, partitions, slices, texts_of
+from memloom.llm.common import batches, lean, partitions, slices, texts_of
 
 #: The splitter of byte-level BPE files, as the vocabularies' documentation gives it; \s is Unicode's White_Space.
 SPACE = r"\t-\r\x85\p{Z}"
@@ -180,6 +180,6 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, buckets: int |
         if block is not None:
             yield done()
 
-    parts = docs.select("doc_id", "text").mapInArrow(split, _SCHEMA).repartition(width, "bucket")
-    sums = parts.mapInArrow(count, _SCHEMA).repartition(width, "block").sortWithinPartitions("block", F.desc("kind"))
-    return sums.mapInArrow(add, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    parts = docs.select("doc_id", "text").mapInArrow(lean(split), _SCHEMA).repartition(width, "bucket")
+    sums = parts.mapInArrow(lean(count), _SCHEMA).repartition(width, "block").sortWithinPartitions("block", F.desc("kind"))
+    return sums.mapInArrow(lean(add), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

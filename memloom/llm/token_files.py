@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.llm import range_coder
-from memloom.llm.common import by_parts, running_totals, scratch, slices, small_batches, store_of, stored, texts_of, total_bytes
+from memloom.llm.common import by_parts, lean, running_totals, scratch, slices, small_batches, store_of, stored, texts_of, total_bytes
 from memloom.llm.token_counts import pieces
 
 MAGIC = b"MLTOKEN1"
@@ -128,7 +128,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Dat
             yield put()
 
     laid = docs.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return stored(laid.mapInArrow(write, MANIFEST), "manifest")
+    return stored(laid.mapInArrow(lean(write), MANIFEST), "manifest")
 
 
 def read_tokens(manifest: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 crcs = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends - counts + before, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], [x.split()[0] for x in DOCUMENTS.split(", ")])
 
-    return manifest.join(starts, "seq").select("path", "before").repartition(n, "path").mapInArrow(read, DOCUMENTS)
+    return manifest.join(starts, "seq").select("path", "before").repartition(n, "path").mapInArrow(lean(read), DOCUMENTS)
 
 
 def tokens_of(manifest: DataFrame) -> DataFrame:
@@ -162,7 +162,7 @@ def tokens_of(manifest: DataFrame) -> DataFrame:
                 flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(tokens.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), flat], ["doc_id", "ids"])
 
-    return manifest.mapInArrow(read, "doc_id long, ids array<int>")
+    return manifest.mapInArrow(lean(read), "doc_id long, ids array<int>")
 
 
 def round_trip(docs: DataFrame, path: str, folder: str | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import scratch, store_of
+from memloom.llm.common import lean, scratch, store_of
 
 MIN_REVISIT = 100
 #: Compressed bytes after which a file rolls, and raw bytes of a range.
@@ -142,7 +142,7 @@ def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, range_bytes: int
         if own is not None:
             yield own.close()
 
-    laid.select("kind", "page_id", "url", "html", "digest", "first").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    laid.select("kind", "page_id", "url", "html", "digest", "first").mapInArrow(lean(write), MANIFEST).write.parquet(f"{folder}/manifest")
     return spark.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 
@@ -195,7 +195,7 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             out = []
                 yield _rows(out)
 
-    return manifest.select("path").repartition(n, "path").mapInArrow(read, RECORD)
+    return manifest.select("path").repartition(n, "path").mapInArrow(lean(read), RECORD)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:
