@@ -52,25 +52,40 @@ class _Model:
         one = self.slots[:n] + ((self.last[:n] * 0x9E3779B1 >> 7) & (_SLOTS - 1))
         two = self.slots[:n] + (((self.last[:n] * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) >> 9) & (_SLOTS - 1))
         self.at = (two, one)
-        self.ids = (self.said[0][two], self.said[1][one])
-        self.conf = tuple(self.confs[:n] + np.minimum(self.sure[k][at], _CONF - 1) for k, at in enumerate(self.at))
+        self.ids = (self.said[0].take(two), self.said[1].take(one))
+        self.been = (self.sure[0].take(two), self.sure[1].take(one))
+        self.conf = tuple(self.confs[:n] + np.minimum(b, _CONF - 1) for b in self.been)
+        self.odds = (self.true[0].take(self.conf[0]), self.true[1].take(self.conf[1]))
         self.has = (self.ids[0] >= 0, (self.ids[1] >= 0) & (self.ids[1] != self.ids[0]))
-        self.high = np.where(self.has[0], self.true[0][self.conf[0]], 0)
-        self.mid = np.where(self.has[1], np.maximum((65536 - self.high) * self.true[1][self.conf[1]] >> 16, 1), 0)
+        self.high = np.where(self.has[0], self.odds[0], 0)
+        self.mid = np.where(self.has[1], np.maximum((65536 - self.high) * self.odds[1] >> 16, 1), 0)
 
     def learn(self, x: np.ndarray) -> None:
         n = len(x)
         for k in range(2):
             at, right = self.at[k], self.ids[k] == x
-            seen = self.true[k][self.conf[k]]
+            seen, sure = self.odds[k], self.been[k]
             self.true[k][self.conf[k]] = np.clip(np.where(self.has[k], seen + (np.where(right, 65535 - seen, -seen) >> 4), seen), 64, 65000)
-            sure = self.sure[k][at]
             self.sure[k][at] = np.where(right, np.minimum(sure + 1, 250), sure >> 2)
             self.said[k][at] = np.where(right | (sure < 2), x, self.ids[k])
         self.before[:n] = self.last[:n]
         self.last[:n] = x
 
 
+#: Running sums of sixteen (or _CLASSES) counts as a product; sums below 2^24 are exact.
+_SUMS = {k: np.triu(np.ones((k, k), np.float32)) for k in (16, _CLASSES)}
+
+
+def _ends(counts: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Running sums of the counts in the given rows."""
+    return counts.take(row, axis=0).astype(np.float32) @ _SUMS[counts.shape[1]]
+
+
+def _at(x: np.ndarray, lane: np.ndarray | slice) -> np.ndarray:
+    """A copy of the lanes' values."""
+    return x[lane].copy() if isinstance(lane, slice) else x.take(lane)
+
+
 class _Writer:
     def __init__(self, lanes: int, room: int):
         self.low = np.zeros(lanes, _U)
@@ -80,7 +95,7 @@ class _Writer:
 
     def put(self, lane: np.ndarray | slice, start: np.ndarray, share: np.ndarray, total: np.ndarray | None) -> None:
         """Code the interval [start, start + share) of total (None: 65536)."""
-        low, wide = self.low[lane], self.range[lane]
+        low, wide = _at(self.low, lane), _at(self.range, lane)
         unit = wide >> _U(16) if total is None else wide // total
         low = low + start.astype(_U) * unit
         wide = unit * share.astype(_U)
@@ -89,9 +104,9 @@ class _Writer:
             move = np.flatnonzero(same | (wide < _BOTTOM))
             if not len(move):
                 break
-            lo, wi = low[move], wide[move]
-            wi = np.where(same[move], wi, (~lo + _U(1)) & (_BOTTOM - _U(1)))
-            rows = move if isinstance(lane, slice) else lane[move]
+            lo, wi = low.take(move), wide.take(move)
+            wi = np.where(same.take(move), wi, (~lo + _U(1)) & (_BOTTOM - _U(1)))
+            rows = move if isinstance(lane, slice) else lane.take(move)
             self.out[rows, self.n[rows]] = (lo >> _U(32)).astype(np.uint16)
             self.n[rows] += 1
             low[move] = (lo << _U(16)) & _MASK
@@ -120,22 +135,22 @@ class _Reader:
 
     def place(self, lane: np.ndarray | slice, total: np.ndarray | None) -> np.ndarray:
         """Where in [0, total) the coded interval lies."""
-        wide = self.range[lane]
+        wide = _at(self.range, lane)
         self.unit = wide >> _U(16) if total is None else wide // total
-        return np.minimum((self.code[lane] - self.low[lane]) // self.unit, (_BOTTOM if total is None else total) - _U(1)).astype(np.int64)
+        return np.minimum((_at(self.code, lane) - _at(self.low, lane)) // self.unit, (_BOTTOM if total is None else total) - _U(1)).astype(np.int64)
 
     def take(self, lane: np.ndarray | slice, start: np.ndarray, share: np.ndarray) -> None:
-        low, code = self.low[lane] + start.astype(_U) * self.unit, self.code[lane]
+        low, code = _at(self.low, lane) + start.astype(_U) * self.unit, _at(self.code, lane)
         wide = self.unit * share.astype(_U)
         while True:
             same = (low ^ (low + wide)) < _TOP
             move = np.flatnonzero(same | (wide < _BOTTOM))
             if not len(move):
                 break
-            lo, wi = low[move], wide[move]
-            wi = np.where(same[move], wi, (~lo + _U(1)) & (_BOTTOM - _U(1)))
-            rows = move if isinstance(lane, slice) else lane[move]
-            code[move] = ((code[move] << _U(16)) & _MASK) | self.words[np.minimum(self.at[rows], len(self.words) - 1)]
+            lo, wi = low.take(move), wide.take(move)
+            wi = np.where(same.take(move), wi, (~lo + _U(1)) & (_BOTTOM - _U(1)))
+            rows = move if isinstance(lane, slice) else lane.take(move)
+            code[move] = ((code.take(move) << _U(16)) & _MASK) | self.words.take(np.minimum(self.at.take(rows), len(self.words) - 1))
             self.at[rows] += 1
             low[move] = (lo << _U(16)) & _MASK
             wide[move] = wi << _U(16)
@@ -193,20 +208,18 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
 
 
 def _code_symbol(out: _Writer, lane: np.ndarray, counts: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
-    ends = np.cumsum(counts[row], axis=1, dtype=np.uint32)
-    own = np.arange(len(row))
-    share = counts[row, symbol]
-    out.put(lane, ends[own, symbol] - share, share, ends[:, -1].astype(_U))
+    ends, width = _ends(counts, row), counts.shape[1]
+    share = counts.ravel().take(row * width + symbol)
+    out.put(lane, ends.ravel().take(np.arange(len(row)) * width + symbol) - share, share, ends[:, -1].astype(_U))
     counts[row, symbol] += _STEP
 
 
 def _read_symbol(read: _Reader, lane: np.ndarray, counts: np.ndarray, row: np.ndarray) -> np.ndarray:
-    ends = np.cumsum(counts[row], axis=1, dtype=np.uint32)
+    ends, width = _ends(counts, row), counts.shape[1]
     at = read.place(lane, ends[:, -1].astype(_U))
-    symbol = (ends <= at[:, None]).sum(axis=1)
-    own = np.arange(len(row))
-    share = counts[row, symbol]
-    read.take(lane, ends[own, symbol] - share, share)
+    symbol = (ends <= at[:, None].astype(np.float32)).sum(axis=1)
+    share = counts.ravel().take(row * width + symbol)
+    read.take(lane, ends.ravel().take(np.arange(len(row)) * width + symbol) - share, share)
     counts[row, symbol] += _STEP
     return symbol
 
