@@ -139,8 +139,10 @@ class Automaton:
         return out[::-1]
 
 
-#: Words kept with their codes in a worker; past that the memory starts anew.
-MEMORY = 200_000
+#: Words kept with their codes in a worker, in two generations: words met again move to the young one, and the old one is dropped when it is full.
+MEMORY = 300_000
+#: Cells of the table kept.
+CELLS = 1_000_000
 #: Characters of text in an output batch.
 SLICE = 2_000_000
 _LOADED: dict[str, "WordBpe"] = {}
@@ -163,8 +165,11 @@ class WordBpe:
         self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
         self.byte = byte_symbols()
         self.words: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
 
     def _code(self, word: str) -> tuple[bytes, str]:
+        if len(self.automaton.cells) > CELLS:
+            self.automaton.cells.clear()
         ids = self.automaton.encode("".join([self.byte[b] for b in word.encode()]))
         return b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.automaton.label[i] for i in ids])
 
@@ -181,10 +186,10 @@ class WordBpe:
             for w in words:
                 got = known.get(w)
                 if got is None:
-                    if len(known) >= MEMORY:
-                        known.clear()
-                        self.automaton.cells.clear()
-                    got = known[w] = self._code(w)
+                    if len(known) >= MEMORY // 2:
+                        self.older, self.words = known, {}
+                        known = self.words
+                    got = known[w] = self.older.get(w) or self._code(w)
                 ids.append(got[0])
                 said.append(got[1])
         return b"".join(ids), " ".join(said)
