@@ -38,12 +38,13 @@ f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.user_id = r.us
 
 @query(f"WITH {_REC} SELECT user_id, product_id, score FROM f", "up", "pp")
 def com_recommend(t: Tables) -> DataFrame:
-    return commerce.recommend(t.up_edges(), t.pp_edges())
+    return commerce.recommend(t.up_edges(), t.pp_edges(t.up_edges()))
 
 
 @query(f"WITH {_REC} SELECT f.product_id, score, name, brand, price FROM f LEFT JOIN products USING (product_id) WHERE user_id = 7 ORDER BY score DESC, product_id LIMIT 10", "up", "pp", "products")
 def com_recommend_enriched(t: Tables) -> DataFrame:
-    best = vector.top_k(commerce.recommend(t.up_edges(), t.pp_edges(), F.col("user_id") == 7).select("product_id", "score"), 10, F.desc("score"), tie="product_id")
+    mine = F.col("user_id") == 7
+    best = vector.top_k(commerce.recommend(t.up_edges(), t.pp_edges(t.up_edges().where(mine)), mine).select("product_id", "score"), 10, F.desc("score"), tie="product_id")
     return best.join(t.base("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price")), "product_id", "left")
 
 
@@ -59,10 +60,9 @@ def com_user_interests(t: Tables) -> DataFrame:
 
 @query("SELECT product_id, count(*) AS interactions, count(DISTINCT user_id) AS users, count(*) FILTER (relation = 'purchased') AS purchased, count(*) FILTER (relation = 'viewed') AS viewed, any_value(k.n) AS related FROM up LEFT JOIN (SELECT source, count(*) AS n FROM pp GROUP BY source) k ON k.source = product_id GROUP BY product_id", "up", "pp")
 def com_product_perf(t: Tables) -> DataFrame:
-    related = t.pp_edges().groupBy(F.col("source").alias("product_id")).agg(F.count("*").alias("related"))
     by = lambda r: F.count_if(F.col("relation") == r)
     perf = t.up_edges().groupBy("product_id").agg(F.count("*").alias("interactions"), F.count_distinct("user_id").alias("users"), by("purchased").alias("purchased"), by("viewed").alias("viewed"))
-    return perf.join(related, "product_id", "left")
+    return perf.join(t.pp_counts(), "product_id", "left")
 
 
 @query("SELECT brand, c AS category, count(*) AS n, round(avg(avg_rating) FILTER (avg_rating > 0), 6) AS rating, round(sum(monthly_sales), 2) AS sales FROM (SELECT *, unnest(category) AS c FROM products) GROUP BY ALL", "products")

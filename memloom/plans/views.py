@@ -65,16 +65,26 @@ class Tables:
         weight = F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv))
         return e.select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("product_id"), rel.alias("relation"), F.coalesce(weight[rel], F.lit(0.1)).alias("weight"))
 
-    def pp_edges(self) -> DataFrame:
-        """Relations between products that users have dealt with: of one brand, or of one type with neighbouring keys."""
-        seen = self.base("events").select(F.get_json_object("props", "$.k").cast("long").alias("p_partkey")).distinct()
-        p = self.base("part").select("p_partkey", "p_brand", "p_type").join(seen, "p_partkey", "left_semi")
+    def pp_edges(self, sources: DataFrame | None = None) -> DataFrame:
+        """Relations between products: of one brand, or of one type with neighbouring keys. `sources` (product_id) bounds the source end alone."""
+        p = self.base("part").select("p_partkey", "p_brand", "p_type")
         a, b = (p.select(*(F.col(c).alias(f"{s}_{c}") for c in p.columns)) for s in "ab")
+        if sources is not None:
+            a = a.join(sources.select(F.col("product_id").alias("a_p_partkey")).distinct(), "a_p_partkey", "left_semi")
         same = a.join(b, (F.col("a_p_brand") == F.col("b_p_brand")) & (F.col("a_p_partkey") != F.col("b_p_partkey")))
-        near = a.join(b, (F.col("a_p_type") == F.col("b_p_type")) & (F.abs(F.col("a_p_partkey") - F.col("b_p_partkey")) == 1))
+        beside = a.withColumn("beside", F.explode(F.array(F.col("a_p_partkey") - 1, F.col("a_p_partkey") + 1)))
+        near = beside.join(b, (F.col("a_p_type") == F.col("b_p_type")) & (F.col("beside") == F.col("b_p_partkey")))
         pick = lambda d, r: d.select(F.col("a_p_partkey").alias("source"), F.lit(r).alias("relation"), F.col("b_p_partkey").alias("target"), F.lit(1.0).alias("weight"))
         return pick(same, "similar").unionByName(pick(near, "complementary"))
 
+    def pp_counts(self) -> DataFrame:
+        """(product_id, related): how many pp_edges leave each product, from brands' sizes and neighbours; no pairs of a brand are listed."""
+        p = self.base("part").select("p_partkey", "p_brand", "p_type")
+        same = p.join(p.groupBy("p_brand").agg((F.count("*") - 1).alias("n")), "p_brand").select("p_partkey", "n")
+        beside = p.select((F.col("p_partkey") + 1).alias("p_partkey"), "p_type").unionAll(p.select((F.col("p_partkey") - 1).alias("p_partkey"), "p_type"))
+        near = p.join(beside, ["p_partkey", "p_type"]).select("p_partkey", F.lit(1).cast("long").alias("n"))
+        return same.unionByName(near).groupBy(F.col("p_partkey").alias("product_id")).agg(F.sum("n").alias("related")).where("related > 0")
+
     def products(self) -> DataFrame:
         sold = self.base("lineitem").groupBy(F.col("l_partkey").alias("product_id")).agg(F.sum("l_quantity").alias("monthly_sales"))
         p = self.base("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.array("p_type").alias("category"), F.col("p_retailprice").alias("price"), (F.col("p_size") / 10.0).alias("avg_rating"))
