@@ -28,12 +28,13 @@ def min_max(df: DataFrame, column: str, high_first: bool) -> DataFrame:
     return df.crossJoin(s).select("id", v.alias(column))
 
 
-def relative_score(vector: DataFrame, lexical: DataFrame, alpha: float, limit: int) -> DataFrame:
-    """alpha * scaled vector score + (1 - alpha) * scaled lexical score, over the union of ids."""
+def relative_score(vector: DataFrame, lexical: DataFrame, alpha: float, limit: int | None) -> DataFrame:
+    """alpha * scaled vector score + (1 - alpha) * scaled lexical score, over the union of ids; without a limit, all of them unordered."""
     v, b = min_max(vector.select("id", "distance"), "distance", False), min_max(lexical.select("id", "score"), "score", True)
     both = v.withColumnRenamed("distance", "v").join(b.withColumnRenamed("score", "b"), "id", "full_outer")
     score = alpha * F.coalesce("v", F.lit(0.0)) + (1 - alpha) * F.coalesce("b", F.lit(0.0))
-    return both.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)
+    scored = both.select("id", F.round(score, 6).alias("score"))
+    return scored if limit is None else scored.orderBy(F.desc("score"), "id").limit(limit)
 
 
 def recall(vector: DataFrame, lexical: DataFrame, ages: DataFrame, ref: Column, limit: int, compat: bool = False) -> DataFrame:

@@ -202,10 +202,10 @@ def ret_time_rerank(t: Tables) -> DataFrame:
 
 @query("WITH " + _HYBRID.format(n=200) + f" SELECT id, score, {_WEIGHT} AS time_weight FROM h JOIN mem USING (id) WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00' ORDER BY score DESC, id LIMIT 10", *BOTH)
 def ret_time_search(t: Tables) -> DataFrame:
-    """Rows of a time range among the best of the hybrid list."""
-    best = fusion.relative_score(near(t), words(t), 0.5, 200)
+    """The best rows of a time range by their hybrid score; scores are scaled over all rows, and nothing is cut before the range."""
+    scored = fusion.relative_score(near(t), words(t), 0.5, None)
     ranged = filters.within(t.mem("ts").select("id", "ts"), NOW.replace(day=1), NOW.replace(day=15))
-    hits = best.join(ranged.select("id"), "id", "left_semi")
+    hits = vector.top_k(scored.join(ranged.select("id"), "id", "left_semi"), 10, F.desc("score"))
     return vector.top_k(with_weight(t, hits), 10, F.desc("score"))
 
 

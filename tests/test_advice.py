@@ -5,6 +5,7 @@ import datetime as dt
 import json
 import random
 
+import numpy as np
 import pytest
 
 from memloom.plans import registry
@@ -54,3 +55,15 @@ def test_related_counts_all_products(spark, shop):
     n = collections.Counter(a for a, _, _ in edges)
     got = {r.product_id: r.related for r in registry.queries()["com_product_perf"](spark, sf).collect()}
     assert got == {k: n[k] or None for _, k, _ in touched} and got[40] is None
+
+
+def test_time_range_is_searched_whole(spark, tmp_path):
+    """The twelve rows of the range are the farthest of 260."""
+    a = [np.pi * k / 300 for k in range(260)]
+    spark.createDataFrame([(k, "quiet prose", "en", "src") for k in range(260)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, [float(np.cos(x)), float(np.sin(x))], 0) for k, x in enumerate(a)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    spark.createDataFrame([(k, dt.datetime(2024, 1, 5 if k >= 248 else 20)) for k in range(260)], "event_id long, ts timestamp").write.parquet(f"{tmp_path}/events.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    got = {r.id: r.score for r in registry.queries()["ret_time_search"](spark, str(tmp_path)).collect()}
+    far = 1 - np.cos(a)
+    assert got == pytest.approx({k: 0.5 * (1 - far[k] / far[-1]) for k in range(248, 258)}, abs=2e-6)
