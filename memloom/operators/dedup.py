@@ -59,17 +59,76 @@ def keep_first(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(F.col("b").alias("dropped")).agg(F.min("a").alias("kept"))
 
 
+def _cut(df: DataFrame) -> DataFrame:
+    """df computed once, in the shared folder if one is set, so that plans of rounds stay short."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
 def insert_duplicates(new: DataFrame, held: DataFrame, distance: float = 0.15, head: int = 100) -> DataFrame:
-    """Ids of new rows to leave out: a held row is nearer than `distance` and the first `head` characters of one text hold the other's.
+    """Ids of new rows to leave out: a held row, or a new row before it (by id) that is inserted, is nearer than `distance` and the first
+    `head` characters of one text hold the other's, at any place. Rows are (id, content, embedding); empty heads match nothing.
 
-    Rows are (id, content, embedding). The texts' heads meet first by equality of their first 20 characters, which containment at the
-    start implies for duplicates as they come; then distances are taken. `new` is an insert batch.
+    Later copies of a new row (head and vector) share its fate or fall to it, so they go first. The others meet all held and all new rows in
+    tiles, as in similar_pairs; a head of full length is held by equal ones only, so that only shorter ones are looked for in others.
+    Which new rows are inserted is settled in rounds: a row that none before it may still rule out stays and rules out its matches.
     """
-    n = new.select(F.col("id").alias("n_id"), F.substring("content", 1, head).alias("n_head"), F.col("embedding").alias("n_v"), F.substring("content", 1, 20).alias("block"))
-    h = held.select(F.col("id").alias("h_id"), F.substring("content", 1, head).alias("h_head"), F.col("embedding").alias("h_v"), F.substring("content", 1, 20).alias("block"))
-    near = F.round(1 - vector.cosine("n_v", "h_v"), 6) < distance
-    hit = n.join(h, "block").where((F.col("n_id") != F.col("h_id")) & (F.col("n_head").contains(F.col("h_head")) | F.col("h_head").contains(F.col("n_head"))) & near)
-    return hit.select(F.col("n_id").alias("id")).distinct()
+    import numpy as np
+    import pandas as pd
+
+    def rows(df: DataFrame) -> DataFrame:
+        return df.select("id", F.substring("content", 1, head).alias("head"), F.col("embedding").alias("v")).where("head <> '' AND v IS NOT NULL")
+
+    fresh, old = _cut(rows(new)), _cut(rows(held))
+    first = fresh.where(F.round(1 - vector.cosine("v", "v"), 6) < distance).groupBy("head", "v").agg(F.min("id").alias("first"))
+    copies = fresh.join(first, ["head", "v"]).where("id > first").select("id")
+    fresh = _cut(fresh.join(copies, "id", "left_anti"))
+    n_tiles, h_tiles = (max(1, -(-df.count() // TILE)) for df in (fresh, old))
+    at = lambda df, tiles: df.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
+    to = lambda tiles: F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
+    fresh, old = at(fresh, n_tiles), at(old, h_tiles)
+    among = fresh.withColumn("o", to(n_tiles)).select("id", "head", "v", F.lit(False).alias("against"), F.least("t", "o").alias("one"), F.greatest("t", "o").alias("two"), (F.col("t") <= F.col("o")).alias("left"))
+    ours = fresh.withColumn("o", to(h_tiles)).select("id", "head", "v", F.lit(True).alias("against"), F.col("t").alias("one"), F.col("o").alias("two"), F.lit(True).alias("left"))
+    theirs = old.withColumn("o", to(n_tiles)).select("id", "head", "v", F.lit(True).alias("against"), F.col("o").alias("one"), F.col("t").alias("two"), F.lit(False).alias("left"))
+
+    def tile(met: pd.DataFrame) -> pd.DataFrame:
+        against, alone = bool(met["against"].iloc[0]), not met["against"].iloc[0] and met["one"].iloc[0] == met["two"].iloc[0]
+        ids, on_left = met["id"].to_numpy(), met["left"].to_numpy(bool)
+        left, right = np.flatnonzero(on_left), np.flatnonzero(on_left if alone else ~on_left)
+        code, names = pd.factorize(met["head"])
+        a, b = code[left], code[right]
+        hit = a[:, None] == b[None, :]
+        for c, short in enumerate(names):
+            if len(short) < head:
+                holds = np.fromiter((short in x for x in names), bool, len(names))
+                hit[np.ix_(a == c, holds[b])] = True
+                hit[np.ix_(holds[a], b == c)] = True
+        width = met["v"].map(len).to_numpy()
+        m = np.zeros((len(met), max(1, width.max())))
+        for k, x in enumerate(met["v"]):
+            m[k, : len(x)] = x
+        norms = np.linalg.norm(m, axis=1, keepdims=True)
+        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+        hit &= (width[left][:, None] == width[right][None, :]) & ((1 - m[left] @ m[right].T).round(6) < distance)
+        x, y = ids[left], ids[right]
+        if against:
+            out = x[(hit & (x[:, None] != y[None, :])).any(axis=1)]
+            return pd.DataFrame({"id": out, "by": out})
+        i, j = np.nonzero(hit)
+        x, y = x[i], y[j]
+        keep = x > y if alone else x != y
+        return pd.DataFrame({"id": np.maximum(x, y)[keep], "by": np.minimum(x, y)[keep]})
+
+    kind = dict(fresh.dtypes)["id"]
+    found = _cut(among.unionByName(ours).unionByName(theirs).groupBy("against", "one", "two").applyInPandas(tile, f"id {kind}, by {kind}"))
+    fell = _cut(found.where("id = by").select("id").distinct())
+    gone, left = copies.unionByName(fell), found.where("id <> by")
+    while True:
+        left = _cut(left.join(fell, "id", "left_anti").join(fell.select(F.col("id").alias("by")), "by", "left_anti"))
+        if left.isEmpty():
+            return gone.distinct()
+        stays = left.select("by").distinct().join(left.select(F.col("id").alias("by")).distinct(), "by", "left_anti")
+        fell = _cut(left.join(stays, "by", "left_semi").select("id").distinct())
+        gone = gone.unionByName(fell)
 
 
 def retention(df: DataFrame, least: float = 0.3, recent: int = 100) -> DataFrame:

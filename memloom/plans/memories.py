@@ -45,7 +45,9 @@ def dup_consolidate(t: Tables) -> DataFrame:
 )
 def dedup_insert(t: Tables) -> DataFrame:
     """Rated memories as the insert batch, the others as the store; a wide distance, as the tables' vectors don't follow their texts."""
-    m, rated = t.vectors().select("id", "content", "embedding"), t.base("labels").select(F.col("doc_id").alias("id"))
+    heads = t.base("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("content"))  # cut before texts are joined
+    m = heads.join(t.base("embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    rated = t.base("labels").select(F.col("doc_id").alias("id"))
     return dedup.insert_duplicates(m.join(rated, "id", "left_semi"), m.join(rated, "id", "left_anti"), distance=1.15)
 
 

@@ -8,6 +8,7 @@ import random
 import numpy as np
 import pytest
 
+from memloom.operators import dedup
 from memloom.plans import registry
 from memloom.plans.views import EVENT_RELATIONS, WEIGHTS
 
@@ -67,3 +68,30 @@ def test_time_range_is_searched_whole(spark, tmp_path):
     got = {r.id: r.score for r in registry.queries()["ret_time_search"](spark, str(tmp_path)).collect()}
     far = 1 - np.cos(a)
     assert got == pytest.approx({k: 0.5 * (1 - far[k] / far[-1]) for k in range(248, 258)}, abs=2e-6)
+
+
+def test_insert_duplicates_are_brute_force(spark, monkeypatch):
+    """Heads inside others at any place, texts under 20 characters, copies and chains within the batch, row by row as the service inserts."""
+    r = random.Random(3)
+    v = lambda: r.choice([[1.0, 0.0], [0.9, 0.1], [0.6, 0.8], [0.0, 1.0], [0.0, 0.0], [1.0], None])
+    long = "the server was restarted twice on monday and the report about it went out to all of the teams the next day"
+    texts = [long, long + " again", "Re: " + long, long[:60], "Re: " + long[:60], long[4:60], "the server", "server", "a", "", None, "été" * 8, "x été" * 8]
+    batch, store = ([(k, r.choice(texts), v()) for k in range(a, b)] for a, b in ((0, 90), (100, 112)))
+    batch += [(91, "zz only here", [1.0, 0.0]), (92, "Re: zz only here", [0.9, 0.1]), (93, "zz only here", [1.0, 0.0])]
+    df = [spark.createDataFrame(x, "id long, content string, embedding array<float>") for x in (batch, store[:4])]
+
+    def near(a, b):
+        if len(a) != len(b):
+            return False
+        n = np.linalg.norm(a) * np.linalg.norm(b)
+        return round(1 - (float(np.dot(a, b)) / n if n else 0.0), 6) < 0.15
+
+    kept, want = list(store[:4]), set()
+    for i, t, x in batch:
+        t = (t or "")[:100]
+        if any(t and s and x and y and ((s or "")[:100] in t or t in s[:100]) and near(x, y) for _, s, y in kept):
+            want.add(i)
+        else:
+            kept.append((i, t, x))
+    monkeypatch.setattr(dedup, "TILE", 25)
+    assert {x.id for x in dedup.insert_duplicates(*df).collect()} == want and {92, 93} <= want
