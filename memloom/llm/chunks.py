@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 
-from memloom.llm.common import lean, slices, store_of, stored
+from memloom.llm.common import lean, make_dir, slices, store_of, stored
 
 #: Bytes of text in a chunk; a longer document is a chunk of its own.
 CHUNK = 8_000_000
@@ -51,8 +51,7 @@ def chunked(docs: DataFrame, folder: str, chunk_bytes: int = CHUNK) -> DataFrame
             yield put()
 
     spark = docs.sparkSession
-    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+    make_dir(spark, folder)
     return stored(docs.mapInArrow(lean(write), "chunk string, n_bytes long"), "chunks")
 
 

@@ -46,6 +46,12 @@ def stored(df: DataFrame, name: str, **options) -> DataFrame:
     return spark.read.schema(df.schema).parquet(to)
 
 
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder of the shared store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder of the shared store."""
     jvm = spark.sparkContext._jvm
@@ -96,9 +102,9 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def by_parts(n_bytes: int, each: int, least: int) -> int:
-    """Parts of about `each` bytes: the count grows with the input, never below `least`."""
-    return max(least, -(-n_bytes // each))
+def by_parts(n_bytes: int, each: int, least: int, most: int = 100_000) -> int:
+    """Parts of about `each` bytes: the count grows with the input, never below `least`; past `most` the parts grow instead."""
+    return max(least, min(most, -(-n_bytes // each)))
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
@@ -139,6 +145,13 @@ def total_bytes(df: DataFrame, column: str = "text") -> int:
     return int(df.agg(F.sum(F.octet_length(column))).first()[0] or 0)
 
 
+def plan_bytes(df: DataFrame) -> int:
+    """Bytes that a plan's tables have as files, without a pass over the rows; for tables of unknown size, a pass."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    n = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return n if n < 1 << 60 else total_bytes(df)
+
+
 def tokenizer_path(name: str) -> str:
     """Place of a public tokenizer's file; MEMLOOM_TOKENIZERS names another folder."""
     folder = os.environ.get("MEMLOOM_TOKENIZERS")

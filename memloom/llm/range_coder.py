@@ -1,266 +1,39 @@
-"""Adaptive context mixing with a range coder, many blocks in step.
+"""Adaptive context mixing with a range coder, in blocks that start from nothing.
 
-Each block starts from nothing, so blocks are coded side by side: step t codes the t-th id of every block with array operations.
+The coder is a kernel in the JVM (java/Coder.java). Its model of a block mixes three predictions of the next id to one distribution:
 
-The model of a block: order 2 and order 1 each keep, for a hash of the last two ids or the last id, the id that followed last
-and how often in a row it was right; order 0 keeps adaptive counts of the ids' bit lengths, by length of the four bits after the leading
-one, and by both of the four bits after these. Order 2 proposes an id with the probability that proposals of its confidence came true so far in the
-block; order 1 shares what is left in the same way; the rest goes to order 0. So the three predictions are mixed to one
-distribution, and the range coder (carryless, 48 bits wide, 16 bits out at a time) codes the id in up to five parts of it.
+* order 0, a binary tree over an id's bits whose nodes count adaptively how often each way was taken;
+* order 1, the two ids that followed the last id most lately;
+* order 2, the id that followed the last two ids.
 
-Ids are integers from 0 to 2^20 - 1. A block's bytes are followed by their CRC-32 in the file's table (see token_files).
+Each pair of the confidences that order 1 and order 2 have (how often in a row they were right) has weights of its own. An id's probability
+is the weighted sum of what the orders give it, and after each id its weights move by 1/32 towards the part that each order had in that
+sum. The range coder (56 bits, bytes, with carries) codes the id as one interval of the mixed distribution. 2^-10 of it is
+spread evenly, so that any id can be coded.
+
+Ids are integers of 1 to 20 bits; others raise. A null block gives null, an empty one no ids. Coding is deterministic, in integers.
 """
 
 from __future__ import annotations
 
-import numpy as np
-
-#: Ids in a block.
-BLOCK = 4096
-_SLOTS = 2048
-_CONF = 8
-_CLASSES = 21
-_STEP = 14
-_U = np.uint64
-_MASK = _U((1 << 48) - 1)
-_TOP = _U(1 << 32)
-_BOTTOM = _U(1 << 16)
-_LENGTH = np.zeros(1 << 20, np.uint8)
-for _k in range(20):
-    _LENGTH[1 << _k : 2 << _k] = _k + 1
-
-
-class _Model:
-    """The state of every block."""
-
-    def __init__(self, lanes: int):
-        self.lanes = lanes
-        self.slots = np.arange(lanes, dtype=np.int64) * _SLOTS
-        self.confs = np.arange(lanes, dtype=np.int64) * _CONF
-        self.said = [np.full(lanes * _SLOTS, -1, np.int32) for _ in range(2)]
-        self.sure = [np.zeros(lanes * _SLOTS, np.uint8) for _ in range(2)]
-        self.true = [np.tile((np.arange(_CONF) * 5000 + 12000).astype(np.int64), lanes) for _ in range(2)]
-        # counts stay below 65536: a block adds _STEP for each id
-        self.length = np.ones((lanes, _CLASSES), np.uint16)
-        self.head = np.ones((lanes * _CLASSES, 16), np.uint16)
-        self.tail = np.ones((lanes * _CLASSES * 16, 16), np.uint16)
-        self.last = np.zeros(lanes, np.int64)
-        self.before = np.zeros(lanes, np.int64)
-
-    def predict(self, n: int) -> None:
-        """Proposals of the first n blocks: ids, and their shares of 65536."""
-        one = self.slots[:n] + ((self.last[:n] * 0x9E3779B1 >> 7) & (_SLOTS - 1))
-        two = self.slots[:n] + (((self.last[:n] * 0x9E3779B1 + self.before[:n] * 0x85EBCA6B) >> 9) & (_SLOTS - 1))
-        self.at = (two, one)
-        self.ids = (self.said[0].take(two), self.said[1].take(one))
-        self.been = (self.sure[0].take(two), self.sure[1].take(one))
-        self.conf = tuple(self.confs[:n] + np.minimum(b, _CONF - 1) for b in self.been)
-        self.odds = (self.true[0].take(self.conf[0]), self.true[1].take(self.conf[1]))
-        self.has = (self.ids[0] >= 0, (self.ids[1] >= 0) & (self.ids[1] != self.ids[0]))
-        self.high = np.where(self.has[0], self.odds[0], 0)
-        self.mid = np.where(self.has[1], np.maximum((65536 - self.high) * self.odds[1] >> 16, 1), 0)
-
-    def learn(self, x: np.ndarray) -> None:
-        n = len(x)
-        for k in range(2):
-            at, right = self.at[k], self.ids[k] == x
-            seen, sure = self.odds[k], self.been[k]
-            self.true[k][self.conf[k]] = np.clip(np.where(self.has[k], seen + (np.where(right, 65535 - seen, -seen) >> 4), seen), 64, 65000)
-            self.sure[k][at] = np.where(right, np.minimum(sure + 1, 250), sure >> 2)
-            self.said[k][at] = np.where(right | (sure < 2), x, self.ids[k])
-        self.before[:n] = self.last[:n]
-        self.last[:n] = x
-
-
-#: Running sums of sixteen (or _CLASSES) counts as a product; sums below 2^24 are exact.
-_SUMS = {k: np.triu(np.ones((k, k), np.float32)) for k in (16, _CLASSES)}
-
-
-def _ends(counts: np.ndarray, row: np.ndarray) -> np.ndarray:
-    """Running sums of the counts in the given rows."""
-    return counts.take(row, axis=0).astype(np.float32) @ _SUMS[counts.shape[1]]
-
+from pyspark.sql import Column, SparkSession
 
-def _at(x: np.ndarray, lane: np.ndarray | slice) -> np.ndarray:
-    """A copy of the lanes' values."""
-    return x[lane].copy() if isinstance(lane, slice) else x.take(lane)
+from memloom.llm import kernels
 
-
-class _Writer:
-    def __init__(self, lanes: int, room: int):
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, _MASK, _U)
-        self.out = np.zeros((lanes, room), np.uint16)
-        self.n = np.zeros(lanes, np.int64)
-
-    def put(self, lane: np.ndarray | slice, start: np.ndarray, share: np.ndarray, total: np.ndarray | None) -> None:
-        """Code the interval [start, start + share) of total (None: 65536)."""
-        low, wide = _at(self.low, lane), _at(self.range, lane)
-        unit = wide >> _U(16) if total is None else wide // total
-        low = low + start.astype(_U) * unit
-        wide = unit * share.astype(_U)
-        while True:
-            same = (low ^ (low + wide)) < _TOP
-            move = np.flatnonzero(same | (wide < _BOTTOM))
-            if not len(move):
-                break
-            lo, wi = low.take(move), wide.take(move)
-            wi = np.where(same.take(move), wi, (~lo + _U(1)) & (_BOTTOM - _U(1)))
-            rows = move if isinstance(lane, slice) else lane.take(move)
-            self.out[rows, self.n[rows]] = (lo >> _U(32)).astype(np.uint16)
-            self.n[rows] += 1
-            low[move] = (lo << _U(16)) & _MASK
-            wide[move] = wi << _U(16)
-        self.low[lane], self.range[lane] = low, wide
-
-    def done(self) -> list[bytes]:
-        for k in (32, 16, 0):
-            self.out[np.arange(len(self.n)), self.n] = ((self.low >> _U(k)) & _U(0xFFFF)).astype(np.uint16)
-            self.n += 1
-        return [self.out[i, :n].tobytes() for i, n in enumerate(self.n.tolist())]
-
-
-class _Reader:
-    def __init__(self, blocks: list[bytes]):
-        self.words = np.frombuffer(b"".join(blocks) + bytes(16), "<u2").astype(_U)
-        ends = np.cumsum([0, *(len(b) // 2 for b in blocks)])
-        self.at = ends[:-1].copy()
-        lanes = len(blocks)
-        self.low = np.zeros(lanes, _U)
-        self.range = np.full(lanes, _MASK, _U)
-        self.code = np.zeros(lanes, _U)
-        for _ in range(3):
-            self.code = (self.code << _U(16)) | self.words[np.minimum(self.at, len(self.words) - 1)]
-            self.at += 1
-
-    def place(self, lane: np.ndarray | slice, total: np.ndarray | None) -> np.ndarray:
-        """Where in [0, total) the coded interval lies."""
-        wide = _at(self.range, lane)
-        self.unit = wide >> _U(16) if total is None else wide // total
-        return np.minimum((_at(self.code, lane) - _at(self.low, lane)) // self.unit, (_BOTTOM if total is None else total) - _U(1)).astype(np.int64)
-
-    def take(self, lane: np.ndarray | slice, start: np.ndarray, share: np.ndarray) -> None:
-        low, code = _at(self.low, lane) + start.astype(_U) * self.unit, _at(self.code, lane)
-        wide = self.unit * share.astype(_U)
-        while True:
-            same = (low ^ (low + wide)) < _TOP
-            move = np.flatnonzero(same | (wide < _BOTTOM))
-            if not len(move):
-                break
-            lo, wi = low.take(move), wide.take(move)
-            wi = np.where(same.take(move), wi, (~lo + _U(1)) & (_BOTTOM - _U(1)))
-            rows = move if isinstance(lane, slice) else lane.take(move)
-            code[move] = ((code.take(move) << _U(16)) & _MASK) | self.words.take(np.minimum(self.at.take(rows), len(self.words) - 1))
-            self.at[rows] += 1
-            low[move] = (lo << _U(16)) & _MASK
-            wide[move] = wi << _U(16)
-        self.low[lane], self.range[lane], self.code[lane] = low, wide, code
-
-
-def _active(sizes: np.ndarray) -> np.ndarray:
-    """How many blocks (sorted, longest first) still have an id at each step."""
-    return np.searchsorted(-sizes, -np.arange(int(sizes.max(initial=0))), "left")
-
-
-def encode(ids: np.ndarray, block: int = BLOCK) -> list[bytes]:
-    """The ids' blocks, coded."""
-    n = len(ids)
-    if not n:
-        return []
-    if int(ids.min()) < 0 or int(ids.max()) >= 1 << 20:
-        raise ValueError("ids must lie between 0 and 2^20 - 1")
-    lanes = -(-n // block)
-    sizes = np.full(lanes, block)
-    sizes[-1] = n - block * (lanes - 1)
-    table = np.zeros(lanes * block, np.int64)
-    table[:n] = ids
-    steps = np.ascontiguousarray(table.reshape(lanes, block).T)
-    model, out = _Model(lanes), _Writer(lanes, 4 * block + 8)
-    for t, k in enumerate(_active(sizes).tolist()):
-        x = steps[t, :k]
-        model.predict(k)
-        hit2 = model.has[0] & (model.ids[0] == x)
-        hit1 = model.has[1] & (model.ids[1] == x)
-        start = np.where(hit2, 0, np.where(hit1, model.high, model.high + model.mid))
-        share = np.where(hit2, model.high, np.where(hit1, model.mid, 65536 - model.high - model.mid))
-        out.put(slice(0, k), start, share, None)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            y = x[miss]
-            c = _LENGTH[y].astype(np.int64)
-            _code_symbol(out, miss, model.length, miss, c)
-            bits = np.maximum(c - 1, 0)
-            rest = bits - np.minimum(bits, 4)
-            low = y - np.where(c > 0, 1 << bits, 0)
-            row = miss * _CLASSES + c
-            _code_symbol(out, miss, model.head, row, low >> rest)
-            more = np.flatnonzero(rest)
-            if len(more):
-                lane, low, row, rest = miss[more], low[more], row[more] * 16 + (low >> rest)[more], rest[more]
-                last = rest - np.minimum(rest, 4)
-                _code_symbol(out, lane, model.tail, row, (low & ((1 << rest) - 1)) >> last)
-                raw = np.flatnonzero(last)
-                if len(raw):
-                    r = last[raw]
-                    out.put(lane[raw], low[raw] & ((1 << r) - 1), np.ones(len(raw), np.int64), (1 << r).astype(_U))
-        model.learn(x)
-    return out.done()
+#: Ids in a block.
+BLOCK = 1 << 15
 
 
-def _code_symbol(out: _Writer, lane: np.ndarray, counts: np.ndarray, row: np.ndarray, symbol: np.ndarray) -> None:
-    ends, width = _ends(counts, row), counts.shape[1]
-    share = counts.ravel().take(row * width + symbol)
-    out.put(lane, ends.ravel().take(np.arange(len(row)) * width + symbol) - share, share, ends[:, -1].astype(_U))
-    counts[row, symbol] += _STEP
+def bits_of(vocabulary: int) -> int:
+    """Bits of the ids of a vocabulary of this size."""
+    return max(1, (vocabulary - 1).bit_length())
 
 
-def _read_symbol(read: _Reader, lane: np.ndarray, counts: np.ndarray, row: np.ndarray) -> np.ndarray:
-    ends, width = _ends(counts, row), counts.shape[1]
-    at = read.place(lane, ends[:, -1].astype(_U))
-    symbol = (ends <= at[:, None].astype(np.float32)).sum(axis=1)
-    share = counts.ravel().take(row * width + symbol)
-    read.take(lane, ends.ravel().take(np.arange(len(row)) * width + symbol) - share, share)
-    counts[row, symbol] += _STEP
-    return symbol
+def coded(spark: SparkSession, ids: Column, n: Column, bits: Column) -> Column:
+    """n ids, little-endian 32-bit integers in a binary, to a coded block."""
+    return kernels.coded(spark, ids, n, bits)
 
 
-def decode(blocks: list[bytes], n: int, block: int = BLOCK) -> np.ndarray:
-    """The n ids of the blocks."""
-    if not n:
-        return np.zeros(0, np.int64)
-    lanes = -(-n // block)
-    sizes = np.full(lanes, block)
-    sizes[-1] = n - block * (lanes - 1)
-    steps = np.zeros((block, lanes), np.int64)
-    model, read = _Model(lanes), _Reader(blocks)
-    for t, k in enumerate(_active(sizes).tolist()):
-        model.predict(k)
-        every = slice(0, k)
-        at = read.place(every, None)
-        hit2 = at < model.high
-        hit1 = ~hit2 & (at < model.high + model.mid)
-        read.take(every, np.where(hit2, 0, np.where(hit1, model.high, model.high + model.mid)), np.where(hit2, model.high, np.where(hit1, model.mid, 65536 - model.high - model.mid)))
-        x = np.where(hit2, model.ids[0], model.ids[1]).astype(np.int64)
-        miss = np.flatnonzero(~(hit2 | hit1))
-        if len(miss):
-            c = _read_symbol(read, miss, model.length, miss)
-            bits = np.maximum(c - 1, 0)
-            rest = bits - np.minimum(bits, 4)
-            row = miss * _CLASSES + c
-            head = _read_symbol(read, miss, model.head, row)
-            low = head << rest
-            more = np.flatnonzero(rest)
-            if len(more):
-                lane, r = miss[more], rest[more]
-                last = r - np.minimum(r, 4)
-                tail = _read_symbol(read, lane, model.tail, row[more] * 16 + head[more]) << last
-                raw = np.flatnonzero(last)
-                if len(raw):
-                    got = read.place(lane[raw], (1 << last[raw]).astype(_U))
-                    read.take(lane[raw], got, np.ones(len(raw), np.int64))
-                    tail[raw] |= got
-                low[more] |= tail
-            x[miss] = low + np.where(c > 0, 1 << bits, 0)
-        model.learn(x)
-        steps[t, :k] = x
-    return steps.T.reshape(-1)[:n]
+def decoded(spark: SparkSession, block: Column, n: Column, bits: Column) -> Column:
+    """The n ids of a coded block."""
+    return kernels.decoded(spark, block, n, bits)

@@ -1,49 +1,56 @@
 """Token counts without token ids.
 
-A text's tokens are counted from its pre-tokens: the splitter cuts each text, every distinct pre-token of the corpus is
-given its piece count once, and a document's count is the sum of frequency times pieces.
+A text's tokens are counted from its pre-tokens: the kernel (java/Split.java) cuts each text where it is read, every distinct pre-token of the
+corpus is given its piece count once, and a document's count is the sum of frequency times pieces.
 
 1. Each task gathers its documents in blocks and keeps, for each distinct pre-token of the block, in which documents it
-   stands and how often: postings, dealt to buckets by the pre-token's hash. A frequent pre-token is one entry of a block,
+   stands and how often: postings, dealt to buckets by the pre-token's hash. Buckets grow with the square root of the input, as its
+   vocabulary does. A frequent pre-token is one entry of a block,
    so no key gets more than a row from each block.
-2. A bucket's task counts the pieces of a pre-token when it first meets it and sums its postings to one number for each
+2. A bucket's task counts the pieces of a pre-token when it first meets it (again only past KNOWN of them) and sums its postings to one number for each
    document of the block.
 3. The numbers of a block come together and are added up.
 
 Null text: empty, 0 tokens. Every input row gives one row, repeated ones too. Special strings inside a text are cut out first
-and count as one token, as the library does by default. Extra columns are ignored.
+and count as one token, as the library does by default. Null doc_id: kept. Extra columns are ignored. Empty table: no rows. Rows are
+matched by their place in a block, so docs should be a table, whose tasks give the same rows in the same order when they run again; other
+input is noticed and raises.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import batches, lean, partitions, slices, texts_of
+from memloom.llm import kernels, splitter
+from memloom.llm.bpe_automaton import byte_symbols
+from memloom.llm.common import batches, lean, partitions, plan_bytes, slices, small_batches
 
-#: The splitter of byte-level BPE files, as the vocabularies' documentation gives it; \s is Unicode's White_Space.
-SPACE = r"\t-\r\x85\p{Z}"
-SPLIT = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
 #: Bytes of text in one block.
 BLOCK = 12_000_000
 LIMIT = 1024
+#: Pre-tokens whose counts a bucket's task keeps.
+KNOWN = 2_000_000
 
 _SCHEMA = "bucket int, block string, kind int, rows long, words binary, counts binary, docs binary, freqs binary"
 _PIECES: dict[str, "Pieces"] = {}
 
 
+class _Token(NamedTuple):
+    id: int
+
+
 class Pieces:
-    """A byte-level BPE file: its splitter, its special strings, and the piece count of a pre-token."""
+    """A byte-level BPE file: its special strings, and the pieces of a pre-token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -54,23 +61,28 @@ class Pieces:
         if spec["normalizer"] or pre["type"] != "ByteLevel" or pre["add_prefix_space"] or not pre["use_regex"] or any(x["single_word"] or x["lstrip"] or x["rstrip"] for x in spec["added_tokens"]):
             raise ValueError("a tokenizer of this kind is not covered")
         self.special = {x["content"] for x in spec["added_tokens"]}
-        cut = "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))
-        self.cut = regex.compile(f"({cut})") if cut else None
-        self.split = regex.compile(SPLIT)
         pre["use_regex"] = False  # a pre-token isn't split again
         self.library = Tokenizer.from_str(json.dumps(spec))
-
-    def pre_tokens(self, text: str) -> list[str]:
-        """The text's pre-tokens; a special string is one."""
-        if self.cut is None or not any(s in text for s in self.special):
-            return self.split.findall(text)
-        return list(chain.from_iterable([part] if k % 2 else self.split.findall(part) for k, part in enumerate(self.cut.split(text))))
-
-    def ids(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for a in range(0, len(words), 2000) for e in self.library.encode_batch_fast(words[a : a + 2000], add_special_tokens=False)]
-
-    def count(self, words: list[str]) -> list[int]:
-        return [len(e.ids) for a in range(0, len(words), 2000) for e in self.library.encode_batch_fast(words[a : a + 2000], add_special_tokens=False)]
+        self.size = max(self.library.get_vocab(with_added_tokens=True).values()) + 1
+        self.special_ids = {x["content"].encode(): x["id"] for x in spec["added_tokens"]}
+        #: what stands for each byte in the vocabulary, and a mark between words
+        self.signs = np.array([ord(c) for c in byte_symbols()[:255]] + [0], "<u4")
+
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The library's ids of pre-tokens (in UTF-8) end to end, and how many each has."""
+        if not words:
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        said = self.signs[np.frombuffer(b"\xff".join(words), "u1")].tobytes().decode("utf-32-le").split("\0")
+        found = list(map(self.library.model.tokenize, said))
+        if not self.special_ids.keys().isdisjoint(words):
+            for k, w in enumerate(words):
+                if w in self.special_ids:
+                    found[k] = [_Token(self.special_ids[w])]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter((t.id for x in found for t in x), "<u4", int(sizes.sum())), sizes
+
+    def count(self, words: list[bytes]) -> list[int]:
+        return self.ids(words)[1].tolist()
 
 
 def pieces(path: str) -> Pieces:
@@ -79,30 +91,28 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def _block(key: str, texts: list[str], ids: pa.Array, cut: Pieces, buckets: int) -> Iterator[tuple]:
+def _block(key: str, cuts: list[bytes], sizes: np.ndarray, ids: pa.Array, buckets: int) -> Iterator[tuple]:
     """Rows of one block: its documents (kind 1), and the postings of each bucket (kind 0)."""
-    words: list[str] = []
-    freqs: list[int] = []
-    per_doc = np.zeros(len(texts), np.int64)
-    for i, t in enumerate(texts):
-        c = Counter(cut.pre_tokens(t))
-        words.extend(c.keys())
-        freqs.extend(c.values())
-        per_doc[i] = len(c)
-    sizes = np.fromiter((len(t.encode()) for t in texts), np.int64, len(texts))
+    words: list[bytes] = []
+    freqs = [np.zeros(0, np.int64)]
+    per_doc = np.zeros(len(cuts), np.int64)
+    for i, c in enumerate(cuts):
+        _, own, places = splitter.unpacked(c)
+        words += own
+        freqs.append(np.bincount(places, minlength=len(own)))
+        per_doc[i] = len(own)
     known = np.asarray(ids.is_valid())
-    yield zlib.crc32(key.encode()) % buckets, key, 1, len(texts), np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), known.astype("u1").tobytes(), sizes.astype("<i8").tobytes(), b""
+    yield zlib.crc32(key.encode()) % buckets, key, 1, len(cuts), np.asarray(ids.fill_null(0)).astype("<i8").tobytes(), known.astype("u1").tobytes(), sizes.astype("<i8").tobytes(), b""
     vocab = list(dict.fromkeys(words))
     at = dict(zip(vocab, range(len(vocab)), strict=True))
-    raw = [w.encode() for w in vocab]
-    home = np.fromiter(map(zlib.crc32, raw), np.int64, len(raw)) % buckets
+    home = np.fromiter(map(zlib.crc32, vocab), np.int64, len(vocab)) % buckets
     rank = np.empty(len(vocab), np.int64)
     by_home = np.argsort(home, kind="stable")
     rank[by_home] = np.arange(len(vocab))
     post = rank[np.fromiter(map(at.__getitem__, words), np.int64, len(words))]
     order = np.argsort(post, kind="stable")
-    docs = np.repeat(np.arange(len(texts)), per_doc)[order].astype("<u4")
-    freq = np.asarray(freqs, "<u4")[order]
+    docs = np.repeat(np.arange(len(cuts)), per_doc)[order].astype("<u4")
+    freq = np.concatenate(freqs).astype("<u4")[order]
     counts = np.bincount(post, minlength=len(vocab)).astype("<u4")
     word_ends = np.searchsorted(home[by_home], np.arange(buckets + 1))
     post_ends = np.r_[0, np.cumsum(counts)][word_ends]
@@ -111,7 +121,7 @@ def _block(key: str, texts: list[str], ids: pa.Array, cut: Pieces, buckets: int)
         if w1 > w0:
             p0, p1 = post_ends[b : b + 2]
             # bytes 0xFF never stand in UTF-8
-            yield b, key, 0, w1 - w0, b"\xff".join([raw[k] for k in by_home[w0:w1]]), counts[w0:w1].tobytes(), docs[p0:p1].tobytes(), _narrow(freq[p0:p1])
+            yield b, key, 0, w1 - w0, b"\xff".join([vocab[k] for k in by_home[w0:w1]]), counts[w0:w1].tobytes(), docs[p0:p1].tobytes(), _narrow(freq[p0:p1])
 
 
 def _narrow(x: np.ndarray) -> bytes:
@@ -128,17 +138,18 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, buckets: int |
     """doc_id, n_bytes, n_tokens and over_limit of every row of docs, for the byte-level BPE file at `path`."""
     spark = docs.sparkSession
     width = partitions(spark)
-    buckets = buckets or 2 * width
+    small_batches(spark)
+    buckets = buckets or max(2 * width, math.isqrt(plan_bytes(docs) // 1_000_000))
 
     def split(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cut, k, part = pieces(path), 0, TaskContext.get().partitionId()
+        k, part = 0, TaskContext.get().partitionId()
         for t in batches(rows, BLOCK):
-            texts, ids = texts_of(t), t.column("doc_id").cast(pa.int64()).combine_chunks()
-            for a, b in slices(np.fromiter(map(len, texts), np.int64, len(texts)), BLOCK):
+            cuts, ids, sizes = t.column("cut").to_pylist(), t.column("doc_id").cast(pa.int64()).combine_chunks(), np.asarray(t.column("n_bytes"))
+            for a, b in slices(sizes, BLOCK):
                 own = ids[a:b]
                 key = f"{part}-{k}-{zlib.crc32(repr(own.to_pylist()).encode()):08x}-{b - a}"
                 k += 1
-                yield _table(list(_block(key, texts[a:b], own, cut, buckets)))
+                yield _table(list(_block(key, cuts[a:b], sizes[a:b], own, buckets)))
 
     def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, known = pieces(path), {}
@@ -149,8 +160,10 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, buckets: int |
                     out.append(tuple(r.values()))
                     continue
                 words = r["words"].split(b"\xff")
+                if len(known) > KNOWN:
+                    known.clear()
                 fresh = [w for w in words if w not in known]
-                known.update(zip(fresh, cut.count([w.decode() for w in fresh]), strict=True))
+                known.update(zip(fresh, cut.count(fresh), strict=True))
                 n = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
                 at = np.frombuffer(r["docs"], "<u4")
                 freq = np.frombuffer(r["freqs"], "u1" if len(r["freqs"]) == len(at) else "<u4")
@@ -180,6 +193,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, buckets: int |
         if block is not None:
             yield done()
 
-    parts = docs.select("doc_id", "text").mapInArrow(lean(split), _SCHEMA).repartition(width, "bucket")
+    text = F.col("text").cast("string")
+    cut = kernels.split(spark, text, splitter.packed(), sorted(pieces(path).special))
+    parts = docs.select("doc_id", F.octet_length(F.coalesce(text, F.lit(""))).cast("long").alias("n_bytes"), cut.alias("cut")).mapInArrow(lean(split), _SCHEMA).repartition(width, "bucket")
     sums = parts.mapInArrow(lean(count), _SCHEMA).repartition(width, "block").sortWithinPartitions("block", F.desc("kind"))
     return sums.mapInArrow(lean(add), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

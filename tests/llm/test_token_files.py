@@ -1,9 +1,11 @@
 """Range coder round trips, and token files against the library."""
 
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from memloom.llm import range_coder, token_files
@@ -13,43 +15,77 @@ from tests.llm.test_tokens import odd_texts
 PATH = tokenizer_path("byte_bpe_50k.json")
 
 
-@pytest.mark.parametrize("n", [0, 1, 2, 7, 4095, 4096, 4097, 30000])
+def through(spark, blocks, bits=20):
+    """Each block's ids coded, and the code."""
+    df = spark.createDataFrame([(i, bytearray(np.asarray(b, "<u4").tobytes()), len(b)) for i, b in enumerate(blocks)], "i int, ids binary, n int")
+    c = df.withColumn("c", range_coder.coded(spark, F.col("ids"), F.col("n"), F.lit(bits)))
+    rows = c.withColumn("d", range_coder.decoded(spark, F.col("c"), F.col("n"), F.lit(bits))).orderBy("i").collect()
+    assert [bytes(r.d) for r in rows] == [bytes(r.ids) for r in rows]
+    return [bytes(r.c) for r in rows]
+
+
 @pytest.mark.parametrize("top", [1, 2, 300, 50257, 1 << 20])
-def test_coder_round_trip(n, top):
-    r = np.random.default_rng(n + top)
-    for ids in (r.integers(0, top, n), np.minimum(r.zipf(1.2, n) - 1, top - 1) if n else np.zeros(0, np.int64), np.tile(r.integers(0, top, 7), n // 7 + 1)[:n]):
-        assert np.array_equal(range_coder.decode(range_coder.encode(ids), n), ids)
+def test_coder_round_trip(spark, top):
+    blocks = []
+    for n in (0, 1, 2, 7, 4095, 32768, 40000):
+        r = np.random.default_rng(n + top)
+        blocks += [r.integers(0, top, n), np.minimum(r.zipf(1.2, n) - 1, top - 1) if n else [], np.tile(r.integers(0, top, 7), n // 7 + 1)[:n], np.zeros(n, int), np.full(n, top - 1)]
+    through(spark, blocks)
+    through(spark, blocks, range_coder.bits_of(top))
 
 
-def test_sure_models_can_be_wrong():
+def test_sure_models_can_be_wrong(spark):
     """Order 2 is always right and order 1 always wrong, then the other way round."""
     r = np.random.default_rng(0)
+    blocks = []
     for _ in range(20):
         a, b, c = r.integers(0, 50257, 3)
-        ids = np.concatenate([np.tile([a, b, a, c], 700), np.tile([a, b], 300), r.integers(0, 3, 400), np.tile([a, c, b], 100)])
-        assert np.array_equal(range_coder.decode(range_coder.encode(ids), len(ids)), ids)
+        blocks.append(np.concatenate([np.tile([a, b, a, c], 700), np.tile([a, b], 300), r.integers(0, 3, 400), np.tile([a, c, b], 100)]))
+    through(spark, blocks)
 
 
-def test_coder_learns():
+def test_coder_learns(spark):
     ids = np.tile(np.arange(50) * 900, 2000)
-    assert sum(map(len, range_coder.encode(ids))) < len(ids) / 4
-    with pytest.raises(ValueError):
-        range_coder.encode(np.array([1 << 20]))
+    assert len(through(spark, [ids])[0]) < len(ids) / 50
+    skewed = np.random.default_rng(0).choice(50257, 32768, p=1 / np.arange(1, 50258) / (1 / np.arange(1, 50258)).sum())
+    p = np.bincount(skewed) / len(skewed)
+    entropy = -(p[p > 0] * np.log2(p[p > 0])).sum()
+    assert 8 * len(through(spark, [skewed], 16)[0]) / len(skewed) < 1.35 * entropy  # new ids cost more than the counts of the whole tell
+    assert 8 * len(through(spark, [np.random.default_rng(0).integers(0, 1 << 16, 32768)], 16)[0]) / 32768 < 17.5
+
 
+def test_ids_out_of_range_raise(spark):
+    with pytest.raises(Exception, match="more than 16 bits"):
+        through(spark, [[1 << 16]], 16)
 
-def test_blocks_are_independent():
-    ids = np.random.default_rng(1).integers(0, 5000, 3 * range_coder.BLOCK)
-    blocks = range_coder.encode(ids)
-    assert np.array_equal(range_coder.decode(blocks[1:2], range_coder.BLOCK), ids[range_coder.BLOCK : 2 * range_coder.BLOCK])
+
+def test_blocks_are_independent(spark):
+    ids = np.random.default_rng(1).integers(0, 5000, (3, range_coder.BLOCK))
+    assert through(spark, [*ids])[1] == through(spark, [ids[1]])[0]
 
 
 def test_damage_is_found():
-    data = bytearray(token_files.file_bytes([1, None], np.array([3, 2]), np.array([5, 6, 7, 8, 9])))
-    ids, counts, tokens = token_files.read_file(bytes(data))
-    assert (ids, counts.tolist(), tokens.tolist()) == ([1, None], [3, 2], [5, 6, 7, 8, 9])
-    data[-1] ^= 1
-    with pytest.raises(ValueError):
-        token_files.read_file(bytes(data))
+    index = token_files.index_bytes([1, None], np.array([3, 2]))
+    data = bytearray(token_files.file_bytes(index, 5, 16, [b"block"]))
+    h, got, blocks = token_files.read_file(bytes(data))
+    ids, counts = token_files.read_index(got)
+    assert (h["ids"], h["bits"], ids, counts.tolist(), blocks) == (5, 16, [1, None], [3, 2], [b"block"])
+    for at in (-1, len(data) - 20):
+        data[at] ^= 1
+        with pytest.raises(ValueError, match="damaged"):
+            token_files.read_file(bytes(data))
+        data[at] ^= 1
+
+
+def test_long_texts(spark, monkeypatch):
+    """A text of many blocks between short ones."""
+    monkeypatch.setattr(range_coder, "BLOCK", 1000)
+    texts = ["a b", "".join(random.Random(1).choices("abcdefgh  ", k=200_000)), "", "c"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lib = Tokenizer.from_file(PATH)
+    want = {i: [*lib.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts)}
+    manifest = token_files.write_tokens(df, PATH, scratch(spark, "t"))
+    assert {r.doc_id: r.ids for r in token_files.tokens_of(manifest).collect()} == want
 
 
 def test_files(spark, monkeypatch):

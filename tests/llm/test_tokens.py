@@ -3,12 +3,15 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from memloom.llm import bpe_automaton, chat, token_counts
+from memloom.llm import bpe_automaton, chat, splitter, token_counts
 from memloom.llm.common import tokenizer_path
 from memloom.llm.queries import op2_chat_formatting
+from memloom.llm.token_files import cut_texts
 
 BYTES, WORDS = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 ODD = [None, "", " ", "\n\n  x", "aaaa aaaaaaaaaaa", "Hello ΣΑΣ İstanbul don't we'll 123 <|endoftext|>x<|startoftext|> \x1c\x85　é ﬁ ☃☃ !!??", "a" * 3000, "漢字かな" * 50, " " * 2000 + "x" * 5000, "x<|endoftext|><|endoftext|>\n", "\r\n\t\x0b\x0c \xa0y", "\x00\x00z"]
@@ -37,11 +40,37 @@ def test_counts_of_an_empty_table(spark):
     assert token_counts.count_tokens(rows(spark, [""]).where("false"), BYTES).count() == 0
 
 
-def test_splitter_is_the_librarys():
-    lib, own = Tokenizer.from_file(BYTES), token_counts.Pieces(BYTES)
-    for t in odd_texts():
-        if t and "<|" not in t:
-            assert [t[a:b] for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(t)] == own.pre_tokens(t)
+def test_splitter_is_the_librarys(spark):
+    lib = Tokenizer.from_file(BYTES)
+    texts = [t for t in odd_texts(2000) if t and "<|" not in t]
+    texts += [a + c + b for c in (" ", "  ", "\n", "\t ", "\u3000", "'", "''", "'s", "'re", "'ll'", "'v", " 's", "1'd") for a in ("", "a", "1", "!", " ") for b in ("", "a", "1", "!", " ", "\n")]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, text string").withColumn("cut", cut_texts(spark, BYTES, F.col("text"))).collect()
+    dictionaries = {}
+    for r in got:
+        (d, before), fresh, places = splitter.unpacked(bytes(r.cut))
+        words = dictionaries.setdefault(d, [])
+        assert len(words) == before
+        words += fresh
+        assert [words[k].decode() for k in places] == [r.text[a:b] for _, (a, b) in lib.pre_tokenizer.pre_tokenize_str(r.text)]
+
+
+def test_kinds_are_the_librarys_for_every_character():
+    """Against one question for each code point."""
+    from tokenizers.pre_tokenizers import ByteLevel
+
+    split = ByteLevel(add_prefix_space=False).pre_tokenize_str
+    kinds = np.full(0x110000, "O")
+    for k, pairs in splitter.ranges().items():
+        for x, y in pairs:
+            kinds[x : y + 1] = k
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for a in range(0, len(points), 20_000):
+        own = points[a : a + 20_000]
+        text = "".join(f"a{chr(c)}\n1{chr(c)}\n!{chr(c)}\n" for c in own)
+        ends = dict(x for _, x in split(text))
+        for i, c in enumerate(own):
+            stays = [k for n, k in enumerate("LNO") if ends.get(9 * i + 3 * n) == 9 * i + 3 * n + 2]
+            assert kinds[c] == (stays or ["S"])[0], hex(c)
 
 
 def test_automaton_is_the_library(spark):
