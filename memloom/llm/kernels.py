@@ -68,11 +68,11 @@ def split(spark: SparkSession, text: Column, classes: str, special: list[str], r
     return F.call_function(name, F.coalesce(text.cast("binary"), F.lit(b"")))
 
 
-def coded(spark: SparkSession, ids: Column, n: Column, bits: Column) -> Column:
-    """n ids, as little-endian 32-bit integers, to a coded block."""
-    return F.call_function(_function(spark, "memloom_code", "Coder", False), ids, n, bits)
+def coded(spark: SparkSession, one: Column, n: Column, two: Column, m: Column, bits: Column) -> Column:
+    """n ids and m ids, as Coder.java has them, to two coded blocks; the second may be null."""
+    return F.call_function(_function(spark, "memloom_code", "Coder", False), one, n, two, m, bits)
 
 
-def decoded(spark: SparkSession, block: Column, n: Column, bits: Column) -> Column:
-    """The n ids of a coded block."""
-    return F.call_function(_function(spark, "memloom_decode", "Coder", True), block, n, bits)
+def decoded(spark: SparkSession, one: Column, n: Column, two: Column, m: Column, bits: Column) -> Column:
+    """The n ids and m ids of two coded blocks."""
+    return F.call_function(_function(spark, "memloom_decode", "Coder", True), one, n, two, m, bits)

@@ -11,7 +11,8 @@ is the weighted sum of what the orders give it, and after each id its weights mo
 sum. The range coder (56 bits, bytes, with carries) codes the id as one interval of the mixed distribution. 2^-10 of it is
 spread evenly, so that any id can be coded.
 
-Ids are integers of 1 to 20 bits; others raise. A null block gives null, an empty one no ids. Coding is deterministic, in integers.
+Two blocks are coded side by side, which hides the waits of each. Ids are integers of 1 to 20 bits; others raise. A null block gives null, an
+empty one no ids. Coding is deterministic, in integers.
 """
 
 from __future__ import annotations
@@ -29,11 +30,22 @@ def bits_of(vocabulary: int) -> int:
     return max(1, (vocabulary - 1).bit_length())
 
 
-def coded(spark: SparkSession, ids: Column, n: Column, bits: Column) -> Column:
-    """n ids, little-endian 32-bit integers in a binary, to a coded block."""
-    return kernels.coded(spark, ids, n, bits)
+def kind(bits: int) -> str:
+    """numpy's type of the ids that the coder takes and gives."""
+    return "<u2" if bits <= 16 else "<u4"
 
 
-def decoded(spark: SparkSession, block: Column, n: Column, bits: Column) -> Column:
-    """The n ids of a coded block."""
-    return kernels.decoded(spark, block, n, bits)
+def coded(spark: SparkSession, one: Column, n: Column, two: Column, m: Column, bits: Column) -> Column:
+    """Two runs of n and m ids, n >= m, each id of kind(bits), to two coded blocks in one binary; see apart. The second may be null."""
+    return kernels.coded(spark, one, n, two, m, bits)
+
+
+def decoded(spark: SparkSession, one: Column, n: Column, two: Column, m: Column, bits: Column) -> Column:
+    """The ids of two coded blocks in one binary; see apart."""
+    return kernels.decoded(spark, one, n, two, m, bits)
+
+
+def apart(both: bytes) -> tuple[bytes, bytes]:
+    """The two parts of what the coder gives."""
+    n = 4 + int.from_bytes(both[:4], "little")
+    return both[4:n], both[n:]

@@ -43,21 +43,22 @@ FILE_IDS = 6_000_000
 SLICE = 4_000_000
 MANIFEST = "seq long, path string, n_docs long, n_ids long, n_bytes long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
-#: kind 0: a block of n ids; kind 1: the file's index, n its ids, first (when reading) or last (when writing) of the file's rows.
-_BLOCKS = "seq long, kind int, n int, bits int, data binary"
+#: kind 0: blocks of n and m ids; kind 1: the file's index, n its ids, first (when reading) or last (when writing) of the file's rows.
+_BLOCKS = "seq long, kind int, n int, m int, bits int, data binary, more binary"
 _NAMES = [x.split()[0] for x in _BLOCKS.split(", ")]
+_CODED = ("data", "n", "more", "m", "bits")
 
 
 class Codes:
     """The ids of the words of a task's dictionary, end to end."""
 
-    def __init__(self, cut: Pieces):
-        self.cut = cut
+    def __init__(self, cut: Pieces, kind: str):
+        self.cut, self.kind = cut, kind
         self._clear(None)
 
     def _clear(self, dictionary: int | None) -> None:
         self.dictionary, self.n = dictionary, 0
-        self.flat, self.ends = np.zeros(1 << 16, "<u4"), np.zeros((1 << 16) + 1, np.int64)
+        self.flat, self.ends = np.zeros(1 << 16, self.kind), np.zeros((1 << 16) + 1, np.int64)
 
     def _learn(self, words: list[bytes]) -> None:
         flat, sizes = self.cut.ids(words)
@@ -66,14 +67,14 @@ class Codes:
         if m >= len(self.ends):
             self.ends = np.r_[self.ends, np.zeros(max(m, len(self.ends)), np.int64)]
         while ends[-1] > len(self.flat):
-            self.flat = np.r_[self.flat, np.zeros(len(self.flat), "<u4")]
+            self.flat = np.r_[self.flat, np.zeros(len(self.flat), self.kind)]
         self.flat[self.ends[self.n] : ends[-1]] = flat
         self.ends[self.n + 1 : m + 1] = ends
         self.n = m
 
     def ids(self, cuts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of cut texts end to end, and how many each has."""
-        flats, counts, at, words = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)], [], []
+        flats, counts, at, words = [np.zeros(0, self.kind)], [np.zeros(0, np.int64)], [], []
         n = self.n
 
         def gather() -> None:
@@ -152,10 +153,15 @@ def read_file(data: bytes) -> tuple[dict, bytes, list[bytes]]:
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
+    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], _NAMES)
 
 
+def _pair(seq: int, own: list[np.ndarray], bits: int) -> tuple:
+    raw = [x.tobytes() for x in own]
+    return seq, 0, len(own[0]), len(own[1]) if raw[1:] else 0, bits, raw[0], raw[1] if raw[1:] else None
+
+
 def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> DataFrame:
     """Write the files below `folder`; the committed manifest, `seq` giving the files' order."""
     spark = docs.sparkSession
@@ -164,22 +170,24 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Dat
     ranges = by_parts(plan_bytes(docs), RANGE, 1)
     make_dir(spark, folder)
     bits = range_coder.bits_of(max(pieces(path).size, end + 1))
+    kind = range_coder.kind(bits)
 
     def gather(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Documents to blocks of ids, each file's index after its blocks."""
-        table, block = Codes(pieces(path)), range_coder.BLOCK
+        table, block = Codes(pieces(path), kind), range_coder.BLOCK
         seq = TaskContext.get().partitionId() << 24
-        ids, counts, held, n = [], [], np.zeros(0, "<u4"), 0
+        ids, counts, held, n = [], [], np.zeros(0, kind), 0
 
         def blocks(whole: bool) -> Iterator[pa.RecordBatch]:
             nonlocal held, n
-            stop = len(held) if whole else len(held) // block * block
-            for a in range(0, stop, 32 * block):
-                yield _rows([(seq, 0, min(block, stop - x), bits, held[x : min(x + block, stop)].tobytes()) for x in range(a, min(a + 32 * block, stop), block)])
+            stop = len(held) if whole else len(held) // (2 * block) * 2 * block
+            own = [held[x : min(x + block, stop)] for x in range(0, stop, block)]
+            for a in range(0, len(own), 32):
+                yield _rows([_pair(seq, own[k : k + 2], bits) for k in range(a, min(a + 32, len(own)), 2)])
             n, held = n + stop, held[stop:]
 
         def index() -> pa.RecordBatch:
-            return _rows([(seq, 1, n, bits, index_bytes(ids, np.concatenate(counts)))])
+            return _rows([(seq, 1, n, 0, bits, index_bytes(ids, np.concatenate(counts)), None)])
 
         for b in rows:
             cuts, own = b.column("cut"), b.column("doc_id").to_pylist()
@@ -188,7 +196,7 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Dat
                 flat, k = table.ids(cuts[x:y].to_pylist())
                 ids += own[x:y]
                 counts.append(k + 1)
-                held = np.concatenate([held, np.insert(flat, np.cumsum(k), end).astype("<u4")])
+                held = np.concatenate([held, np.insert(flat, np.cumsum(k), end)])
                 yield from blocks(False)
                 if n >= FILE_IDS:
                     yield from blocks(True)
@@ -201,9 +209,9 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Dat
     def write(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, blocks = store_of(folder), []
         for b in rows:
-            for seq, kind, n, data in zip(*(b.column(k).to_pylist() for k in ("seq", "kind", "n", "data")), strict=True):
+            for seq, kind, n, m, data in zip(*(b.column(k).to_pylist() for k in ("seq", "kind", "n", "m", "data")), strict=True):
                 if kind == 0:
-                    blocks.append(data)
+                    blocks += range_coder.apart(data)[: 1 + (m > 0)]
                     continue
                 name, made = f"{uuid.uuid4().hex}.tokens", file_bytes(data, n, bits, blocks)
                 with store[0].open_output_stream(f"{store[1]}/{name}") as f:
@@ -215,8 +223,8 @@ def write_tokens(docs: DataFrame, path: str, folder: str, end: int = END) -> Dat
     laid = docs.repartitionByRange(ranges, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     cut = laid.select("doc_id", cut_texts(spark, path, F.col("text")).alias("cut"))
     blocks = cut.mapInArrow(lean(gather), _BLOCKS)
-    code = F.when(F.col("kind") == 0, range_coder.coded(spark, F.col("data"), F.col("n"), F.col("bits"))).otherwise(F.col("data"))
-    return stored(blocks.withColumn("data", code).mapInArrow(lean(write), MANIFEST), "manifest")
+    code = F.when(F.col("kind") == 0, range_coder.coded(spark, *map(F.col, _CODED))).otherwise(F.col("data"))
+    return stored(blocks.withColumn("data", code).drop("more").mapInArrow(lean(write), MANIFEST), "manifest")
 
 
 def _opened(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,30 +234,31 @@ def _opened(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             store, path = store_of(uri)
             with store.open_input_file(path) as f:
                 h, index, blocks = read_file(f.read())
-            yield _rows([(seq, 1, h["ids"], h["bits"], index)])
-            sizes = [min(h["block"], h["ids"] - k * h["block"]) for k in range(len(blocks))]
-            for a in range(0, len(blocks), 32):
-                yield _rows([(seq, 0, n, h["bits"], x) for n, x in zip(sizes[a : a + 32], blocks[a : a + 32], strict=True)])
+            yield _rows([(seq, 1, h["ids"], 0, h["bits"], index, None)])
+            sizes = [min(h["block"], h["ids"] - k * h["block"]) for k in range(len(blocks))] + [0]
+            blocks.append(None)
+            for a in range(0, len(blocks) - 1, 32):
+                yield _rows([(seq, 0, sizes[k], sizes[k + 1], h["bits"], blocks[k], blocks[k + 1]) for k in range(a, min(a + 32, len(blocks) - 1), 2)])
 
 
 def _ids(files: DataFrame) -> DataFrame:
     """Rows of _opened, the blocks decoded."""
     spark = files.sparkSession
     rows = files.mapInArrow(lean(_opened), _BLOCKS)
-    return rows.withColumn("data", F.when(F.col("kind") == 0, range_coder.decoded(spark, F.col("data"), F.col("n"), F.col("bits"))).otherwise(F.col("data")))
+    return rows.withColumn("data", F.when(F.col("kind") == 0, range_coder.decoded(spark, *map(F.col, _CODED))).otherwise(F.col("data"))).drop("more")
 
 
 def _documents(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int | None], np.ndarray, np.ndarray]]:
     """seq, and some documents' doc_ids, counts and ids at a time, in order."""
     ids, counts, held, at, seq = [], np.zeros(0, np.int64), b"", 0, 0
     for b in rows:
-        for own, kind, data in zip(b.column("seq").to_pylist(), b.column("kind").to_pylist(), b.column("data"), strict=True):
+        for own, kind, bits, data in zip(*(b.column(k).to_pylist() for k in ("seq", "kind", "bits")), b.column("data"), strict=True):
             if kind:
                 seq, (ids, counts), at, held = own, read_index(data.as_py()), 0, []
                 ends = np.cumsum(counts)
                 done = 0
                 continue
-            held.append(np.frombuffer(data.as_buffer(), "<u4"))
+            held.append(np.frombuffer(data.as_buffer()[4:], range_coder.kind(bits)))  # the two blocks follow each other
             done += len(held[-1])
             to = int(np.searchsorted(ends, done, "right"))
             if to > at:
@@ -270,7 +279,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
         for start, ids, counts, flat in _documents(rows):
             if start != now:
                 now = at = start
-            raw = memoryview(flat.tobytes())
+            raw = memoryview(flat.astype("<u4").tobytes())
             ends = np.cumsum(counts)
             crcs = [zlib.crc32(raw[4 * a : 4 * e]) for a, e in zip((ends - counts).tolist(), ends.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ends - counts + at, pa.int64()), pa.array(counts, pa.int64()), pa.array(crcs, pa.int64())], [x.split()[0] for x in DOCUMENTS.split(", ")])

@@ -16,12 +16,21 @@ PATH = tokenizer_path("byte_bpe_50k.json")
 
 
 def through(spark, blocks, bits=20):
-    """Each block's ids coded, and the code."""
-    df = spark.createDataFrame([(i, bytearray(np.asarray(b, "<u4").tobytes()), len(b)) for i, b in enumerate(blocks)], "i int, ids binary, n int")
-    c = df.withColumn("c", range_coder.coded(spark, F.col("ids"), F.col("n"), F.lit(bits)))
-    rows = c.withColumn("d", range_coder.decoded(spark, F.col("c"), F.col("n"), F.lit(bits))).orderBy("i").collect()
-    assert [bytes(r.d) for r in rows] == [bytes(r.ids) for r in rows]
-    return [bytes(r.c) for r in rows]
+    """Each block's ids coded, two at a time and the last or a shorter one by itself, and the code."""
+    raw = [bytearray(np.asarray(b).astype(range_coder.kind(bits)).tobytes()) for b in blocks]
+    pairs, k = [], 0
+    while k < len(blocks):
+        two = k + 1 < len(blocks) and len(blocks[k]) >= len(blocks[k + 1]) > 0
+        pairs.append((k, raw[k], len(blocks[k]), raw[k + 1] if two else None, len(blocks[k + 1]) if two else 0))
+        k += 1 + two
+    df = spark.createDataFrame(pairs, "i int, a binary, n int, b binary, m int")
+    df = df.withColumn("c", range_coder.coded(spark, *map(F.col, "anbm"), F.lit(bits)))
+    rows = df.orderBy("i").collect()
+    parts = [range_coder.apart(bytes(r.c))[: 1 + (r.b is not None)] for r in rows]
+    back = spark.createDataFrame([(r.i, bytearray(p[0]), r.n, bytearray(p[1]) if p[1:] else None, r.m) for r, p in zip(rows, parts, strict=True)], "i int, a binary, n int, b binary, m int")
+    back = back.withColumn("d", range_coder.decoded(spark, *map(F.col, "anbm"), F.lit(bits))).orderBy("i").collect()
+    assert [bytes(r.d)[4:] for r in back] == [bytes(r.a) + bytes(r.b or b"") for r in rows]
+    return [x for p in parts for x in p]
 
 
 @pytest.mark.parametrize("top", [1, 2, 300, 50257, 1 << 20])
@@ -55,13 +64,17 @@ def test_coder_learns(spark):
 
 
 def test_ids_out_of_range_raise(spark):
-    with pytest.raises(Exception, match="more than 16 bits"):
-        through(spark, [[1 << 16]], 16)
+    with pytest.raises(Exception, match="more than 12 bits"):
+        through(spark, [[1 << 12]], 12)
+    with pytest.raises(Exception, match="more than 18 bits"):
+        through(spark, [[1 << 18]], 18)
+    with pytest.raises(Exception, match="1 to 20 bits"):
+        through(spark, [[1]], 21)
 
 
 def test_blocks_are_independent(spark):
     ids = np.random.default_rng(1).integers(0, 5000, (3, range_coder.BLOCK))
-    assert through(spark, [*ids])[1] == through(spark, [ids[1]])[0]
+    assert through(spark, [*ids]) == [through(spark, [x])[0] for x in ids]
 
 
 def test_damage_is_found():
