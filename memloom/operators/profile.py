@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from memloom.functions import text as fn
 
 #: Signs of a fact and of an experience, a point each.
-FACTS = (r"是\s*\w+", r"使用\s*\w+", r"用\s*\w+", r"基于\s*\w+", r"版本\s*[0-9]", r"[0-9]+\.[0-9]+", r"配置\s*\w+", r"参数\s*\w+", r"地址\s*\w+", r"端口\s*[0-9]", r" IP ", r"URL", r"公司名|产品名|技术栈", r"数据库|框架|语言")
-EXPERIENCES = (r"做过", r"开发过|参与过|负责过", r"工作经验|项目经验", r"曾经|以前|之前", r"学习|研究|探索", r"解决|处理|修复", r"完成|实现|构建", r"遇到|碰到|发现")
+FACTS = (r"是\s*\w+", r"使用\s*\w+", r"用\s*\w+", r"基于\s*\w+", r"版本\s*\d", r"\d+\.\d+", r"配置\s*\w+", r"参数\s*\w+", r"地址\s*\w+", r"端口\s*\d", r" IP ", r"URL", r"公司名|产品名|技术栈", r"数据库|框架|语言")
+EXPERIENCES = (r"做过|做过\s*\w+", r"开发过|参与过|负责过", r"工作经验|项目经验", r"曾经|以前|之前", r"学习|研究|探索", r"解决|处理|修复", r"完成|实现|构建", r"遇到|碰到|发现")
 #: Styles of work with their signs.
 STYLES = {"高效优先": ("快速", "高效"), "简洁风格": ("简洁", "简单"), "自动化": ("自动化",), "重视质量": ("测试",)}
 TECH = r"(Python|JavaScript|Go|Rust|React|Vue|Node\.js|PostgreSQL|Redis|Docker)"
