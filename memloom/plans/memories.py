@@ -39,10 +39,18 @@ def dup_consolidate(t: Tables) -> DataFrame:
     return dedup.consolidated(pairs(t, 0.35), t.mem("importance"))
 
 
-@query(
-    "SELECT DISTINCT n.id FROM mem n JOIN mem h ON substr(n.content, 1, 20) = substr(h.content, 1, 20) AND n.id <> h.id WHERE n.id IN (SELECT doc_id FROM labels) AND h.id NOT IN (SELECT doc_id FROM labels) AND (contains(substr(n.content, 1, 100), substr(h.content, 1, 100)) OR contains(substr(h.content, 1, 100), substr(n.content, 1, 100))) AND round(1 - list_dot_product(n.embedding::DOUBLE[], h.embedding::DOUBLE[]) / (sqrt(list_dot_product(n.embedding::DOUBLE[], n.embedding::DOUBLE[])) * sqrt(list_dot_product(h.embedding::DOUBLE[], h.embedding::DOUBLE[]))), 6) < 1.15",
-    "mem",
-)
+#: Matches of new rows (rated ones) with held rows and with new rows before them; then row by row, a row falls to one that is inserted.
+_INSERT = """WITH RECURSIVE c AS (SELECT id, substr(content, 1, 100) AS head, embedding::DOUBLE[] AS v, id IN (SELECT doc_id FROM labels) AS fresh FROM mem WHERE embedding IS NOT NULL AND content <> ''),
+p AS (SELECT n.id, h.id AS other, h.fresh FROM c n JOIN c h ON n.fresh AND n.id <> h.id AND (NOT h.fresh OR h.id < n.id) AND (contains(n.head, h.head) OR contains(h.head, n.head))
+  AND round(1 - list_dot_product(n.v, h.v) / (sqrt(list_dot_product(n.v, n.v)) * sqrt(list_dot_product(h.v, h.v))), 6) < 1.15),
+f AS (SELECT DISTINCT id FROM p WHERE NOT fresh),
+r AS (SELECT id, list(other) AS others, row_number() OVER (ORDER BY id) AS k FROM p WHERE fresh AND id NOT IN (SELECT id FROM f) AND other NOT IN (SELECT id FROM f) GROUP BY id),
+s AS (SELECT 0::BIGINT AS k, []::BIGINT[] AS gone UNION ALL
+  SELECT r.k, CASE WHEN len(list_filter(others, lambda x: NOT list_contains(gone, x))) > 0 THEN list_append(gone, r.id::BIGINT) ELSE gone END FROM s JOIN r ON r.k = s.k + 1)
+SELECT id FROM f UNION SELECT unnest(gone) FROM (SELECT gone FROM s ORDER BY k DESC LIMIT 1)"""
+
+
+@query(_INSERT, "mem")
 def dedup_insert(t: Tables) -> DataFrame:
     """Rated memories as the insert batch, the others as the store; a wide distance, as the tables' vectors don't follow their texts."""
     heads = t.base("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("content"))  # cut before texts are joined

@@ -200,7 +200,7 @@ def ret_time_rerank(t: Tables) -> DataFrame:
     return fusion.rerank(filters.within(similar(t, "ts", "importance"), lo, hi), ref(), 10).select("id", "score")
 
 
-@query("WITH " + _HYBRID.format(n=200) + f" SELECT id, score, {_WEIGHT} AS time_weight FROM h JOIN mem USING (id) WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00' ORDER BY score DESC, id LIMIT 10", *BOTH)
+@query("WITH " + _HYBRID.replace(" ORDER BY score DESC, id LIMIT {n}", "") + f" SELECT id, score, {_WEIGHT} AS time_weight FROM h JOIN mem USING (id) WHERE ts BETWEEN TIMESTAMP '2024-01-01 00:00:00' AND TIMESTAMP '2024-01-15 00:00:00' ORDER BY score DESC, id LIMIT 10", *BOTH)
 def ret_time_search(t: Tables) -> DataFrame:
     """The best rows of a time range by their hybrid score; scores are scaled over all rows, and nothing is cut before the range."""
     scored = fusion.relative_score(near(t), words(t), 0.5, None)

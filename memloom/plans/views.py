@@ -113,7 +113,7 @@ SQL = {
     "kg": "SELECT n_name AS source, 'PartOf' AS relation, r_name AS target, 0.9e0 AS confidence FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT c_name, 'LocatedIn', n_name, 0.7e0 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT s_name, 'LocatedIn', n_name, 0.8e0 FROM supplier JOIN nation ON s_nationkey = n_nationkey",
     "kg_ev": "SELECT 'u' || user_id AS source, event_type AS relation, 'k' || (props->>'$.k') AS target, max(round(least(value / 500, 1e0), 6)) AS confidence FROM events GROUP BY ALL",
     "up": "SELECT event_id, ts, user_id, (props->>'$.k')::BIGINT AS product_id, CASE event_type WHEN 'view' THEN 'viewed' WHEN 'click' THEN 'cart_added' WHEN 'purchase' THEN 'purchased' WHEN 'signup' THEN 'favorited' WHEN 'error' THEN 'returned' END AS relation, CASE event_type WHEN 'view' THEN 0.1e0 WHEN 'click' THEN 0.3e0 WHEN 'purchase' THEN 1e0 WHEN 'signup' THEN 0.4e0 WHEN 'error' THEN -0.5e0 ELSE 0.1e0 END AS weight FROM events",
-    "pp": "SELECT a.p_partkey AS source, 'similar' AS relation, b.p_partkey AS target, 1e0 AS weight FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey WHERE a.p_partkey IN (SELECT product_id FROM up) AND b.p_partkey IN (SELECT product_id FROM up) UNION ALL SELECT a.p_partkey, 'complementary', b.p_partkey, 1e0 FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_partkey - b.p_partkey) = 1 WHERE a.p_partkey IN (SELECT product_id FROM up) AND b.p_partkey IN (SELECT product_id FROM up)",
+    "pp": "SELECT a.p_partkey AS source, 'similar' AS relation, b.p_partkey AS target, 1e0 AS weight FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey UNION ALL SELECT a.p_partkey, 'complementary', b.p_partkey, 1e0 FROM part a JOIN part b ON a.p_type = b.p_type AND abs(a.p_partkey - b.p_partkey) = 1",
     "products": "SELECT p_partkey AS product_id, p_name AS name, p_brand AS brand, [p_type] AS category, p_retailprice AS price, p_size / 10e0 AS avg_rating, coalesce(s.q, 0e0) AS monthly_sales FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1) s ON l_partkey = p_partkey",
     "users": "SELECT c_custkey AS user_id, c_name AS name, c_mktsegment AS segment, c_nationkey AS nation, coalesce(o.n, 0) AS total_orders, coalesce(o.s, 0e0) AS total_spent FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, round(sum(o_totalprice), 2) AS s FROM orders GROUP BY 1) o ON o_custkey = c_custkey",
 }
