@@ -14,10 +14,9 @@ def _one(df: DataFrame, *aggs: Column) -> DataFrame:
 
 def composite(near: DataFrame, limit: int) -> DataFrame:
     """The nearest 3 * limit rows, scored importance * .4 + (1 - d / max d) * .6, best `limit`."""
-    c = near.orderBy("distance", "id").limit(3 * limit)
-    top = _one(c, F.max("distance").alias("m"))
+    c = near.orderBy("distance", "id").limit(3 * limit).withColumn("m", F.max("distance").over(Window.partitionBy(F.lit(0))))  # a bounded list
     s = F.col("importance") * 0.4 + F.when(F.col("m") > 0, 1 - F.col("distance") / F.col("m")).otherwise(1.0) * 0.6
-    return c.crossJoin(top).withColumn("score", F.round(s, 6)).drop("m").orderBy(F.desc("score"), "id").limit(limit)
+    return c.withColumn("score", F.round(s, 6)).drop("m").orderBy(F.desc("score"), "id").limit(limit)
 
 
 def min_max(df: DataFrame, column: str, high_first: bool) -> DataFrame:
@@ -45,9 +44,11 @@ def recall(vector: DataFrame, lexical: DataFrame, ages: DataFrame, ref: Column,
     """
     v = vector.orderBy("distance", "id").limit(2 * limit).select("id", (1 - F.col("distance")).alias("v"))
     b = lexical.orderBy(F.desc("score"), "id").limit(2 * limit)
-    b = b.crossJoin(_one(b, F.max("score").alias("m"))).select("id", F.when(F.col("m") > 0, F.least(F.col("score") / F.col("m"), F.lit(1.0))).otherwise(0.0).alias("b"))
-    mean = _one(b, F.coalesce(F.avg("b"), F.lit(0.0)).alias("mean"))
-    both = v.join(b, "id", "full_outer").crossJoin(mean).join(ages, "id", "left")
+    every = Window.partitionBy(F.lit(0))  # over bounded lists
+    m = F.max("score").over(every)
+    b = b.select("id", F.when(m > 0, F.least(F.col("score") / m, F.lit(1.0))).otherwise(0.0).alias("b"))
+    both = v.join(b, "id", "full_outer").withColumn("mean", F.coalesce(F.avg("b").over(every), F.lit(0.0)))
+    both = ages.join(F.broadcast(both), "id", "right")  # at most 4 * limit rows
     t = F.lit(0.5) if compat else decay.recall_time(F.col("ts"), ref)
     score = 0.3 * F.coalesce("b", 0.5 * F.col("mean")) + 0.6 * F.coalesce("v", F.lit(0.0)) + 0.1 * t
     return both.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(limit)

@@ -21,7 +21,8 @@ def by_rank(hits: DataFrame, limit: int) -> DataFrame:
 
 def fused(vector: DataFrame, lexical: DataFrame, limit: int, weight: float = 0.6) -> DataFrame:
     """weight * v / max v + (1 - weight) * b / max b over the union of two short lists."""
-    top = lambda d, n: d.crossJoin(F.broadcast(d.agg(F.max("score").alias("_m")))).select("document_id", F.when(F.col("_m") > 0, F.col("score") / F.col("_m")).otherwise(0.0).alias(n))
+    most = F.max("score").over(Window.partitionBy(F.lit(0)))  # over a bounded list
+    top = lambda d, n: d.withColumn("_m", most).select("document_id", F.when(F.col("_m") > 0, F.col("score") / F.col("_m")).otherwise(0.0).alias(n))
     both = top(vector.select("document_id", "score"), "v").join(top(lexical.select("document_id", "score"), "b"), "document_id", "full_outer")
     score = weight * F.coalesce("v", F.lit(0.0)) + (1 - weight) * F.coalesce("b", F.lit(0.0))
     return both.select("document_id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "document_id").limit(limit)

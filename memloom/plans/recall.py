@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +22,7 @@ def retrieve(memories: DataFrame, question: str, query_vector: list[float], now:
     seen = intent.recognise(question, now)
     if seen.anchor.lo is not None:
         memories = filters.within(memories, seen.anchor.lo, seen.anchor.hi)
-    terms = tuple(dict.fromkeys(t for t in seen.anchor.cleaned.lower().split() if t))[:16]
+    terms = tuple(dict.fromkeys(regex.findall(lexical.QUERY_TOKEN, seen.anchor.cleaned.lower())))
     near = vector.with_distance(memories, query_vector)
     if seen.mode == "vector" or not terms:
         return vector.top_k(near.select("id", F.round(1 - F.col("distance"), 6).alias("score")), limit, F.desc("score"))
