@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.operators import vector
+from memloom.operators.shared import stored
 
 
 def exact_duplicates(df: DataFrame, text: str = "content", key: str = "id") -> DataFrame:
@@ -60,8 +61,8 @@ def keep_first(pairs: DataFrame) -> DataFrame:
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    """df computed once, in the shared folder if one is set, so that plans of rounds stay short."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+    """df computed once, in the shared folder, so that plans of rounds stay short."""
+    return stored(df, "dedup")
 
 
 def insert_duplicates(new: DataFrame, held: DataFrame, distance: float = 0.15, head: int = 100) -> DataFrame:

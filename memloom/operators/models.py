@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import mimetypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -34,6 +35,13 @@ def hash_embedder(dims: int = 384) -> Embedder:
     return embed
 
 
+def _alone(model: Embedder, text: str) -> list[float] | None:
+    try:
+        return model([text])[0]
+    except Exception:
+        return None
+
+
 def embedded(df: DataFrame, column: str, make: Callable[[], Embedder] = hash_embedder, to: str = "embedding", retries: int = 3) -> DataFrame:
     """df with vectors of a text column; the model is made once a task. What fails `retries` times is null, never zeros."""
 
@@ -46,8 +54,8 @@ def embedded(df: DataFrame, column: str, make: Callable[[], Embedder] = hash_emb
                     yield pd.Series(model(s.fillna("").tolist()))
                     break
                 except Exception:
-                    if not left:
-                        yield pd.Series([None] * len(s))
+                    if not left:  # one bad row must not cost the batch its vectors
+                        yield pd.Series([_alone(model, t) for t in s.fillna("")])
 
     return df.withColumn(to, run(fn.clean_for_embedding(column, 1500)))
 
@@ -112,14 +120,68 @@ def new_facts(new: DataFrame, held: DataFrame, least: float = 0.8) -> DataFrame:
     return new.join(same, ["owner", "fact"], "left").withColumn("event", F.when(F.col("_same"), "NONE").otherwise("ADD")).drop("_same")
 
 
-#: File extensions by kind.
-KINDS = {"image": "jpg jpeg png gif bmp webp", "audio": "mp3 wav m4a flac ogg", "video": "mp4 avi mov mkv webm", "document": "pdf doc docx txt md"}
+#: Kinds of files that the platform's table may not know.
+MORE_KINDS = {".webp": "image/webp", ".md": "text/markdown", ".m4a": "audio/m4a"}
+#: Kinds that count as documents.
+DOCUMENTS = ("application/pdf", "text/plain", "text/markdown")
 
 
 def file_kind(path: Column | str) -> Column:
+    """image, audio, video, document or other, by the MIME type of a name's extension."""
+    types = MORE_KINDS | mimetypes.types_map
+    groups = {k: [e for e, m in types.items() if m.startswith(k + "/")] for k in ("image", "audio", "video")} | {"document": [e for e, m in types.items() if m in DOCUMENTS]}
     p = F.col(path) if isinstance(path, str) else path
-    ext = F.lower(F.regexp_extract(p, r"\.([^./]+)$", 1))
-    out = F.when(ext.isin(*KINDS["image"].split()), "image")
+    ext = F.lower(F.regexp_extract(p, r"(\.[^./]+)$", 1))
+    out = F.when(ext.isin(*groups["image"]), "image")
     for k in ("audio", "video", "document"):
-        out = out.when(ext.isin(*KINDS[k].split()), k)
+        out = out.when(ext.isin(*groups[k]), k)
     return out.otherwise("other")
+
+
+def kind_counts(rows: DataFrame) -> DataFrame:
+    """(content_type, n): how many rows each kind has; rows without a kind are texts."""
+    return rows.groupBy(F.coalesce("content_type", F.lit("text")).alias("content_type")).agg(F.count("*").alias("n"))
+
+
+def merged_facts(held: DataFrame, new: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
+    """(owner, fact, event) after a merge: held facts stay (NONE), go (DELETE) or are replaced (UPDATE), new ones come (ADD) or are held (NONE).
+
+    decisions (owner, fact, event, text) are a model's, one for each held fact that it changes: UPDATE puts text in the fact's place. Without
+    a model, a new fact that is as good as a held one changes nothing. Facts that a decision wrote are not added again.
+    """
+    base = held.select("owner", "fact").distinct()
+    if decisions is None:
+        kept = base.withColumn("event", F.lit("NONE"))
+    else:
+        d = decisions.groupBy("owner", "fact").agg(F.max(F.struct("event", "text")).alias("d"))
+        told = base.join(d, ["owner", "fact"], "left")
+        updated = (F.col("d.event") == "UPDATE") & F.col("d.text").isNotNull()
+        kept = told.select("owner", F.when(updated, F.col("d.text")).otherwise(F.col("fact")).alias("fact"), F.when(updated, "UPDATE").when(F.col("d.event") == "DELETE", "DELETE").otherwise("NONE").alias("event"))
+    fresh = new_facts(new, kept.where("event <> 'DELETE'").select("owner", "fact").unionByName(base)).where("event = 'ADD'").select("owner", "fact", "event").distinct()
+    return kept.unionByName(fresh)
+
+
+def incremental(df: DataFrame, held: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(entities, relations) of extracted rows that the graph (source, relation, target) doesn't hold: names of two characters or more."""
+    known = held.select(F.col("source").alias("name")).unionByName(held.select(F.col("target").alias("name"))).distinct()
+    e = df.select(F.explode("entities").alias("e")).select(F.trim("e.name").alias("name"), F.coalesce("e.type", F.lit("概念")).alias("type"), F.coalesce("e.confidence", F.lit(0.8)).alias("confidence"))
+    e = e.where(F.length("name") >= 2).groupBy("name").agg(F.max_by("type", "confidence").alias("type"), F.max("confidence").alias("confidence"))
+    r = df.select(F.explode("relations").alias("r")).select(F.trim("r.source").alias("source"), F.coalesce("r.relation", F.lit("相关")).alias("relation"), F.trim("r.target").alias("target"), F.coalesce("r.confidence", F.lit(0.7)).alias("confidence"))
+    r = r.where("source <> '' AND target <> ''").groupBy("source", "relation", "target").agg(F.max("confidence").alias("confidence"))
+    return e.join(known, "name", "left_anti"), r.join(held.select("source", "relation", "target"), ["source", "relation", "target"], "left_anti")
+
+
+def in_steps(df: DataFrame, text: str, find: Callable[[], Extractor] | None = None, pair: Callable[[Column, Column], Column] | None = None, name: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+    """Extraction in four steps: entities, pairs of them, a type for each pair, normal names. df with `entities` and `relations`.
+
+    find is a model that gives entities (rules without one); pair says which two entities belong together (names in one sentence without one);
+    name gives their relation's type (相关 without one). Pairs are those of one text; a text has few entities.
+    """
+    full = F.col(text)
+    found = checked(extracted(df, text, find), text)
+    names = F.array_sort(F.array_distinct(F.transform("entities", lambda e: F.trim(e["name"]))))
+    sentences = F.split(full, r"[。！？.!?\n]")
+    near = pair or (lambda a, b: F.exists(sentences, lambda s: s.contains(a) & s.contains(b)))
+    kind = name or (lambda a, b, t: F.lit("相关"))
+    pairs = F.flatten(F.transform("_names", lambda a: F.transform(F.filter("_names", lambda b: (a < b) & near(a, b)), lambda b: F.struct(a.alias("source"), F.coalesce(kind(a, b, full), F.lit("相关")).alias("relation"), b.alias("target"), F.lit(0.7).alias("confidence")))))
+    return found.withColumn("_names", names).withColumn("relations", pairs).drop("_names")

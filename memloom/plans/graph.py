@@ -229,8 +229,10 @@ def kg_search_entities(t: Tables) -> DataFrame:
 
 @query("SELECT conv_id AS doc, a AS source, b AS target FROM (SELECT conv_id, string_agg(lower(text), ' ') AS x FROM conversations GROUP BY conv_id), (VALUES ('the', 'of'), ('elle', 'aux'), ('der', 'die')) p(a, b) WHERE contains(x, a) AND contains(x, b)")
 def kg_verify(t: Tables) -> DataFrame:
-    """Edges of which a conversation's text holds both ends; one small text a conversation."""
-    c = t.base("conversations").groupBy(F.col("conv_id").alias("doc")).agg(F.array_join(F.collect_list("text"), " ").alias("text"))
+    """Edges of which a conversation's turns hold both ends; a conversation is reduced to the names it holds, with a partial step."""
+    names_in = ("the", "of", "elle", "aux", "der", "die")
+    held = t.base("conversations").select(F.col("conv_id").alias("doc"), *(F.lower("text").contains(n).alias(n) for n in names_in)).groupBy("doc").agg(*(F.max(n).alias(n) for n in names_in))
+    c = held.select("doc", F.concat_ws(" ", *(F.when(F.col(n), n) for n in names_in)).alias("text"))
     pairs = F.explode(F.expr("array(struct('the' AS source, 'of' AS target), struct('elle' AS source, 'aux' AS target), struct('der' AS source, 'die' AS target))")).alias("p")
     edges = c.select("doc", pairs).select("doc", "p.source", "p.target")
     names = c.select("doc", "text", F.explode(F.array(*map(F.lit, ("the", "of", "elle", "aux", "der", "die")))).alias("name")).withColumn("confidence", F.lit(0.5))
