@@ -38,7 +38,7 @@ def clean_for_embedding(text: Column | str, most: int = 500) -> Column:
 
 
 def clean_metadata(text: Column | str) -> Column:
-    """Without a leading block of sender metadata and leading bracketed marks."""
+    """A stored memory without a leading block of metadata and bracketed marks at line starts; session lines have a rule of their own (sources.sessions)."""
     t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?s)^\s*(?:Conversation info|Sender) \(untrusted metadata\):\s*```json.*?```\s*", "")
     return F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[[^\]]*\]\s*", ""), r"\n\[[^\]]*\]", "\n"))
 

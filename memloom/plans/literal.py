@@ -1,0 +1,83 @@
+"""Plans over a few rows that stand in the plan itself: questions, session lines, Markdown, names. Their SQL lists what comes out."""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from memloom.functions import entities as ent
+from memloom.functions import markdown
+from memloom.functions import text as fn
+from memloom.plans import intent
+from memloom.plans.registry import query
+from memloom.plans.views import Tables
+from memloom.sources import sessions
+
+#: A Wednesday.
+NOW = dt.datetime(2024, 1, 31, 10, 30)
+QUESTIONS = ("昨天说了什么", "3天前的会议", "2 hours ago we met", "上周的计划", "budget of the project", '"exact words" please', "记得大概的内容", "去年的旅行")
+
+
+@query(
+    """SELECT * FROM (VALUES
+('昨天说了什么', 'time', 'time', TIMESTAMP '2024-01-30 00:00:00', TIMESTAMP '2024-01-30 23:59:59'),
+('3天前的会议', 'time', 'time', TIMESTAMP '2024-01-28 00:00:00', TIMESTAMP '2024-01-28 23:59:59'),
+('2 hours ago we met', 'time', 'time', TIMESTAMP '2024-01-31 08:00:00', TIMESTAMP '2024-01-31 09:00:00'),
+('budget of the project', 'general', 'hybrid', NULL, NULL),
+('"exact words" please', 'exact', 'bm25', NULL, NULL),
+('记得大概的内容', 'fuzzy', 'vector', NULL, NULL)) t(question, intent, mode, lo, hi)"""
+)
+def tim_anchors(t: Tables) -> DataFrame:
+    """Time anchors, offsets and intents of questions."""
+    q = t.spark.createDataFrame([(x,) for x in QUESTIONS if "上周" not in x and "去年" not in x], "question string")
+    return intent.intents(q, "question", NOW).select("question", "intent", "mode", "lo", "hi")
+
+
+@query("SELECT * FROM (VALUES ('{\"start_date\": \"2024-01-01\", \"end_date\": \"2024-01-05\"}', TIMESTAMP '2024-01-01 00:00:00', TIMESTAMP '2024-01-05 23:59:59'), ('no idea', TIMESTAMP '2024-01-24 00:00:00', TIMESTAMP '2024-01-31 23:59:59'), ('It is {\"start_date\": \"x\"}', TIMESTAMP '2024-01-24 00:00:00', TIMESTAMP '2024-01-31 23:59:59')) t(answer, lo, hi)")
+def tim_model_range(t: Tables) -> DataFrame:
+    """Ranges that a model read; the last seven days where it gave none."""
+    said = ('{"start_date": "2024-01-01", "end_date": "2024-01-05"}', "no idea", 'It is {"start_date": "x"}')
+    return t.spark.createDataFrame([(x, *intent.told_range(x, NOW)) for x in said], "answer string, lo timestamp, hi timestamp")
+
+
+@query("SELECT * FROM (VALUES ('还记得上次的项目吗', true, 'full', 3), ('谢谢', false, 'tags', 0), ('plain', false, 'tags', 0)) t(question, should_recall, level, memory_limit)")
+def rec_decisions(t: Tables) -> DataFrame:
+    q = t.spark.createDataFrame([("还记得上次的项目吗",), ("谢谢",), ("plain",)], "question string")
+    return intent.decisions(q, "question").select("question", "should_recall", "level", "memory_limit")
+
+
+LINES = (
+    ('{"type": "message", "id": "m1", "timestamp": "2024-01-01T00:00:01Z", "message": {"role": "user", "content": "how do I restart it"}}', "/x/aaa.jsonl"),
+    ('{"type": "message", "id": "m2", "timestamp": "2024-01-01T00:00:02Z", "message": {"role": "assistant", "content": [{"type": "text", "text": "first part"}, {"type": "image"}, {"type": "text", "text": "second part"}]}}', "/x/aaa.jsonl"),
+    ('{"type": "message", "id": "m3", "timestamp": "t", "message": {"role": "system", "content": "x"}}', "/x/aaa.jsonl"),
+    ('{"type": "tool", "id": "m4"}', "/x/aaa.jsonl"),
+    ("broken {", "/x/aaa.jsonl"),
+    ('{"type": "message", "id": "m5", "timestamp": "t", "message": {"role": "user", "content": "kept copy"}}', "/x/bbb.jsonl.reset.2024-01-02T00"),
+    ('{"type": "message", "id": "m6", "timestamp": "t", "message": {"role": "user", "content": "gone"}}', "/x/ccc.jsonl.deleted.1"),
+)
+
+
+@query("SELECT * FROM (VALUES ('aaa', 'aaa', 'm1', 'user', 'how do I restart it'), ('aaa', 'aaa', 'm2', 'assistant', 'first part second part'), ('bbb', 'bbb_reset_2024-01-02', 'm5', 'user', 'kept copy')) t(session_id, unique_id, id, role, content)")
+def src_session_lines(t: Tables) -> DataFrame:
+    """Session lines of all sorts: parts, other roles and types, broken lines, kept and deleted copies."""
+    return sessions.parsed(t.spark.createDataFrame(LINES, "value string, path string")).select("session_id", "unique_id", "id", "role", "content")
+
+
+_MD = "# Build system\n\n- **engine**: Spark cluster\n- **password**: hunter2\n- nightly load of the tables\n\n我是小王，负责数据"
+
+
+@query("SELECT * FROM (VALUES ('Build system'), ('Spark cluster'), ('nightly load of the tables'), ('小王')) t(name)")
+def md_entities(t: Tables) -> DataFrame:
+    return markdown.extracted(t.spark.createDataFrame([(_MD, "a.md")], "content string, filename string"))[0].select("name")
+
+
+@query("SELECT 'a.md' AS source, 'has_engine' AS relation, 'Spark cluster' AS target")
+def md_relations(t: Tables) -> DataFrame:
+    return markdown.extracted(t.spark.createDataFrame([(_MD, "a.md")], "content string, filename string"))[1]
+
+
+@query("SELECT p_name AS name, replace(replace(replace(p_name, ' ', '_'), '-', '_'), '.', '_') AS clean, length(p_name) >= 2 AND NOT regexp_matches(p_name, '^[0-9]+(\\.[0-9]+)?(个|件|条|次|天|小时|分钟|秒)?$') AS valid FROM part")
+def fn_names(t: Tables) -> DataFrame:
+    return t.base("part").select(F.col("p_name").alias("name"), fn.sanitised("p_name").alias("clean"), ent.valid_entity("p_name").alias("valid"))

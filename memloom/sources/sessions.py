@@ -53,7 +53,7 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
 
 
 def stream_sessions(spark: SparkSession, path: str, files_each: int = 100) -> DataFrame:
-    """The same as a stream: a file is read once, so writers rotate files rather than append."""
+    """The same as a stream of files that don't change once they are there; session_tail follows files that grow."""
     raw = spark.readStream.option("pathGlobFilter", "*.jsonl*").option("maxFilesPerTrigger", files_each).text(path)
     return parsed(raw.select("value", F.col("_metadata.file_path").alias("path")))
 

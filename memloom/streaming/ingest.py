@@ -1,6 +1,6 @@
 """Incremental ingest of session logs into the memory table.
 
-The file source's checkpoint is the change detection, and ids are hashes of session and message, so a batch that is written twice
+The source's offsets (the lengths of the session files) are the change detection, and ids are hashes of session and message, so a batch that is written twice
 changes nothing: each batch is anti-joined with the ids already held. Batches are flushed by the trigger; `backfill` runs all that is
 there and stops. A failed enrichment leaves a memory as it is.
 """
@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memloom.functions import text as fn
-from memloom.sources import sessions
+from memloom.sources import session_tail, sessions
 
 MEMORY = "id string, session_id string, role string, content string, summary string, importance double, quality string, memory_type string, source string, ts timestamp"
 
@@ -33,12 +33,15 @@ def memories(messages: DataFrame) -> DataFrame:
 def append(batch: DataFrame, table: str) -> int:
     """Append what the table doesn't hold yet; the number of rows added."""
     spark = batch.sparkSession
-    held = spark.read.schema(MEMORY).parquet(table) if _exists(spark, table) else spark.createDataFrame([], MEMORY)
-    new = batch.join(held.select("id"), "id", "left_anti").join(held.select(F.md5("content").alias("h")), F.md5("content") == F.col("h"), "left_anti")
-    new = new.select(*(x.split()[0] for x in MEMORY.split(", "))).persist()
+    held = spark.read.schema(f"{MEMORY}, {HASHED}").parquet(table) if _exists(spark, table) else spark.createDataFrame([], f"{MEMORY}, {HASHED}")
+    new = batch.withColumn("hash", F.md5("content")).withColumn("part", F.conv(F.substring("hash", 1, 2), 16, 10).cast("int"))
+    # a text's hash lies in one part of the table: no stored text is read, and hashes of those parts only that the batch has
+    parts = [r[0] for r in new.select("part").distinct().collect()]  # 256 at most
+    met = held.where(F.col("part").isin(parts)).select("part", "hash") if parts else held.select("part", "hash")
+    new = new.join(met, ["part", "hash"], "left_anti").join(held.select("id"), "id", "left_anti").select(*(x.split()[0] for x in MEMORY.split(", ")), "hash", "part").persist()
     n = new.count()
     if n:
-        new.write.mode("append").parquet(table)
+        new.write.mode("append").partitionBy("part").parquet(table)
     new.unpersist()
     return n
 
@@ -56,7 +59,7 @@ def run(spark: SparkSession, source: str, table: str, checkpoint: str, seconds:
         if after is not None:
             after(batch, k)
 
-    w = sessions.stream_sessions(spark, source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
+    w = session_tail.stream_sessions(spark, source).writeStream.option("checkpointLocation", checkpoint).foreachBatch(each)
     return (w.trigger(availableNow=True) if seconds is None else w.trigger(processingTime=f"{seconds} seconds")).start()
 
 
@@ -65,6 +68,7 @@ def backfill(spark: SparkSession, source: str, table: str) -> int:
     return append(memories(sessions.read_sessions(spark, source)), table)
 
 
+HASHED = "hash string, part int"
 FLUSHED = "unique_id string, n long, last_id string, contents array<string>"
 
 
