@@ -12,13 +12,16 @@ new label. A cell of the transition table is found by following these two links
 
 Encoding runs a pre-split word's symbols through the table: from each reachable position, the labels that match the text
 there (a trie) and that the position's state allows lead on; exactly one path covers the word. Decoding emits arc labels.
+
+Null text: empty, no ids. Repeated rows are encoded one by one, ties don't matter. Empty table: no rows. A very long text is one row; its words
+are listed whole, in bounded slices of the table. Letters, numbers, white space, NFC and lower case are those of the tokenizers library.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import unicodedata
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,12 +31,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from memloom.llm import splitter
 from memloom.llm.common import lean, slices, small_batches, texts_of
 
-#: White space as Unicode's property White_Space has it.
-SPACE = r"\t-\r\x85\p{Z}"
-
-
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies: printable Latin-1 as itself, the rest from 256 on."""
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -139,6 +139,8 @@ class Automaton:
         return out[::-1]
 
 
+#: Fixed value: the splitter of word-end BPE files, as the vocabularies' documentation gives it.
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{spaces}{letters}{numbers}]+"
 #: Words kept with their codes in a worker, in two generations: words met again move to the young one, and the old one is dropped when it is full.
 MEMORY = 300_000
 #: Cells of the table kept.
@@ -151,7 +153,9 @@ _LOADED: dict[str, "WordBpe"] = {}
 class WordBpe:
     """Normaliser, splitter, special strings and automaton of a word-end BPE file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kinds: splitter.Kinds):
+        from tokenizers import normalizers
+
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -162,7 +166,11 @@ class WordBpe:
         self.automaton = Automaton(dense(model["vocab"]), merges)
         self.special = special
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(special, key=len, reverse=True))) + ")") if special else None
-        self.split = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+        self.split = regex.compile(SPLIT.format(letters=r"\p{L}", numbers=r"\p{N}", spaces=splitter.SPACE))
+        # texts with a character that Python's tables may take otherwise go through the library's own normaliser and classes
+        self.odd = re.compile(f"[{kinds.odd}]") if kinds.odd else None
+        self.exact = regex.compile(SPLIT.format(letters=kinds.letters, numbers=kinds.numbers, spaces=kinds.spaces))
+        self.turned = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
         self.byte = byte_symbols()
         self.words: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
@@ -173,6 +181,11 @@ class WordBpe:
         ids = self.automaton.encode("".join([self.byte[b] for b in word.encode()]))
         return b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.automaton.label[i] for i in ids])
 
+    def cut_words(self, part: str) -> list[str]:
+        if part.isascii() or self.odd is None or self.odd.search(part) is None:
+            return self.split.findall(splitter.lowered(part))
+        return self.exact.findall(self.turned(part))
+
     def text(self, text: str) -> tuple[bytes, str]:
         """Ids as little-endian 32-bit integers, and the text that their arc labels give, one blank between labels."""
         ids, said = [], []
@@ -182,7 +195,7 @@ class WordBpe:
                 ids.append(self.special[part].to_bytes(4, "little"))
                 said.append(part)
                 continue
-            words = self.split.findall(lowered(part))
+            words = self.cut_words(part)
             for w in words:
                 got = known.get(w)
                 if got is None:
@@ -202,17 +215,10 @@ def dense(vocab: dict[str, int]) -> dict[str, int]:
     return vocab
 
 
-def lowered(text: str) -> str:
-    """NFC, then each character in lower case by itself (a final sigma is no exception)."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-    return text.lower()
-
-
-def loaded(path: str) -> WordBpe:
+def loaded(path: str, kinds: splitter.Kinds) -> WordBpe:
     """The automaton of a file, compiled once in each worker."""
     if path not in _LOADED:
-        _LOADED[path] = WordBpe(path)
+        _LOADED[path] = WordBpe(path, kinds)
     return _LOADED[path]
 
 
@@ -226,11 +232,11 @@ def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """docs with `ids` (array of int) and `decoded`. Null text: empty text, no ids. Columns of these names are replaced."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("ids", "decoded")
+    docs, kinds = docs.drop("ids", "decoded"), splitter.kinds()
     schema = T.StructType([*docs.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, kinds)
         for b in cut(rows):
             got = [bpe.text(t) for t in texts_of(b)]
             ends = np.cumsum([0, *(len(g[0]) // 4 for g in got)])
@@ -242,12 +248,12 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
 
 def digest_documents(docs: DataFrame, path: str) -> DataFrame:
-    """Counts and digests of the same ids and decoded texts, without shipping them out of the workers."""
-
+    """Counts and digests of the same ids and decoded texts, without shipping them out of the workers. Null doc_id: kept."""
     small_batches(docs.sparkSession)
+    kinds = splitter.kinds()
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
+        bpe = loaded(path, kinds)
         for b in cut(rows):
             got = [bpe.text(t) for t in texts_of(b)]
             yield pa.RecordBatch.from_arrays(

@@ -38,8 +38,8 @@ ROLES = {"user": USER, "assistant": ASSISTANT, "system": SYSTEM}
 NAMES = {v: k for k, v in ROLES.items()}
 _ESCAPE = re.compile(r"(\\*)(" + "|".join(map(re.escape, SAID)) + ")")
 PIECE = 1 << 20
-TURN = "conv_id long, turn long, role string, ids binary, n_chars long"
-FORMATTED = "conv_id long, first boolean, n_turns long, ids binary, mask binary, n_chars long"
+TURN = "conv_id long, turn long, role string, ids binary"
+FORMATTED = "conv_id long, first boolean, n_turns long, ids binary, mask binary"
 _LOADED: dict[str, "Codec"] = {}
 
 
@@ -108,24 +108,23 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
         for b in rows:
             roles, texts = ([x or "" for x in b.column(k).to_pylist()] for k in ("role", "text"))
             ids = assembled(c, roles, texts)
-            chars = [len(escaped(t)) + len(SAID[END_TURN]) + (len(SAID[ROLES[r]]) if r in ROLES else len(SAID[OTHER]) + len(escaped(r)) + len(SAID[END_ROLE])) for r, t in zip(roles, texts, strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(roles), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(chars, pa.int64())], [x.split()[0] for x in TURN.split(", ")])
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), b.column("turn"), pa.array(roles), pa.array([x.tobytes() for x in ids], pa.binary())], [x.split()[0] for x in TURN.split(", ")])
 
     def assemble(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c, now, fresh, held, chars, size = codec(path), (), True, [], 0, 0
+        c, now, fresh, held, size = codec(path), (), True, [], 0
 
         def piece() -> pa.RecordBatch:
             ids = np.frombuffer(b"".join(held), "<u4")
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([fresh]), pa.array([len(held)], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([loss_mask(ids, c.base).tobytes()], pa.binary()), pa.array([chars], pa.int64())], [x.split()[0] for x in FORMATTED.split(", ")])
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int64()), pa.array([fresh]), pa.array([len(held)], pa.int64()), pa.array([ids.tobytes()], pa.binary()), pa.array([loss_mask(ids, c.base).tobytes()], pa.binary())], [x.split()[0] for x in FORMATTED.split(", ")])
 
         for b in rows:
-            for conv, ids, n in zip(b.column("conv_id").to_pylist(), b.column("ids").to_pylist(), b.column("n_chars").to_pylist(), strict=True):
+            for conv, ids in zip(b.column("conv_id").to_pylist(), b.column("ids").to_pylist(), strict=True):
                 if held and (conv != now[0] or size >= 4 * PIECE):
                     yield piece()
-                    fresh, held, chars, size = conv != now[0], [], 0, 0
+                    fresh, held, size = conv != now[0], [], 0
                 now = (conv,)
                 held.append(ids)
-                chars, size = chars + n, size + len(ids)
+                size += len(ids)
         if held:
             yield piece()
 
@@ -134,19 +133,21 @@ def format_conversations(turns: DataFrame, path: str) -> DataFrame:
     return coded.mapInArrow(lean(assemble), FORMATTED)
 
 
-def turns_of(c: Codec, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str]]:
-    """Role, text and text under the mask of each turn of a piece, from its ids alone."""
+def turns_of(c: Codec, ids: np.ndarray, mask: np.ndarray) -> Iterator[tuple[str, str, str, int]]:
+    """Role, text, text under the mask and formatted characters of each turn of a piece, from its ids alone."""
     begin = 0
     for end in np.flatnonzero(ids == c.base + END_TURN).tolist():
         kind, at = int(ids[begin]) - c.base, begin + 1
         if kind == OTHER:
             stop = at + int(np.flatnonzero(ids[at:end] == c.base + END_ROLE)[0])
-            role, at = unescaped(c.decode(ids[at:stop])), stop + 1
+            named = c.decode(ids[at:stop])
+            role, at, chars = unescaped(named), stop + 1, len(SAID[OTHER]) + len(named) + len(SAID[END_ROLE])
         else:
-            role = NAMES[kind]
+            role, chars = NAMES[kind], len(SAID[kind])
         under = ids[begin : end + 1][mask[begin : end + 1].astype(bool)]
-        text = unescaped(c.decode(ids[at:end]))
-        yield role, text, text if len(under) == end - at and len(under) else unescaped(c.decode(under))
+        said = c.decode(ids[at:end])
+        text = unescaped(said)
+        yield role, text, text if len(under) == end - at and len(under) else unescaped(c.decode(under)), chars + len(said) + len(SAID[END_TURN])
         begin = end + 1
 
 
@@ -161,9 +162,9 @@ def read_back(formatted: DataFrame, path: str) -> DataFrame:
                     if own is not None:
                         done.append(own)
                     own = {"conv_id": r["conv_id"], "n_turns": 0, "turns": hashlib.sha256(), "loss_chars": 0, "loss": hashlib.sha256(), "chars": 0}
-                own["chars"] += r["n_chars"]
-                for role, text, under in turns_of(c, np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["mask"], "u1")):
+                for role, text, under, chars in turns_of(c, np.frombuffer(r["ids"], "<u4"), np.frombuffer(r["mask"], "u1")):
                     own["n_turns"] += 1
+                    own["chars"] += chars
                     own["turns"].update(f"{role}\n{text}\n".encode())
                     own["loss_chars"] += len(under)
                     own["loss"].update(under.encode())

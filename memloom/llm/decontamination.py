@@ -3,11 +3,13 @@
 Texts are compared as words (letters, digits and underscores, lower case; other characters are dropped from a word). A window of as
 many words as a benchmark item has, at any place of a document, is a candidate if its SimHash, over its five-word shingles with
 their counts as weights, lies within RADIUS bits of the item's. Fingerprints are found by a multi-index: with RADIUS + 1
-blocks of bits, fingerprints within RADIUS agree in one block at least, so the blocks' tables miss none. Candidates are verified
-by the exact weighted Jaccard similarity of the shingles' counts, sum of minima by sum of maxima.
+blocks of bits, fingerprints within RADIUS agree in one block at least, so the blocks' tables miss none; eight blocks of eight bits
+look at one item in 32. Candidates are verified by the exact weighted Jaccard similarity of the shingles' counts, sum of minima by sum of maxima.
 
-A window that shares no shingle with any item has similarity 0, so only windows at shared shingles are hashed. RADIUS is
-three deviations past the mean distance at the threshold, so that the hash misses no window that matters in practice.
+Two bounds keep this exact and cheap. A similar window has at least similarity / (1 + similarity) of all its and the item's shingles in common, so
+only windows with that many known shingles are hashed at all. And it has one of the item's rarest shingles, of which one more is listed than it may lack;
+windows at such a shingle are verified too, so that none is lost whose fingerprint lies outside the radius (near the threshold, or
+where one shingle repeats).
 
 A document shorter than an item is one window. Texts with fewer words than a shingle are one shingle of all their words. Null and
 wordless texts and items match nothing. Repeated documents are searched one by one; repeated items give repeated pairs. A null
@@ -17,21 +19,27 @@ one takes more blocks, each against all documents.
 
 from __future__ import annotations
 
+import functools
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.llm.common import by_parts, lean, slices, small_batches, stored, texts_of
+from memloom.llm.common import lean, slices, small_batches, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 19
+RADIUS = 7
+#: Windows that are hashed at once, and words between two windows past which they are hashed apart.
+WINDOWS = 16_384
+GAP = 256
 #: Bytes of benchmark text that one pass ships to the executors.
 BLOCK_BYTES = 32_000_000
 SLICE = 2_000_000
@@ -130,6 +138,17 @@ class Benchmark:
                 for x in s.tolist():
                     owners[x].add(int(b - a))
         self.sizes = {n: SizeIndex(v, radius) for n, v in by_size.items()}
+        # the rarest shingles of each item, by how many items hold them: all but as many as a similar window must share, and one more
+        often = Counter(x for v in by_size.values() for _, s in v for x in set(s.tolist()))
+        self.rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        for n, v in by_size.items():
+            for k, (_, s) in enumerate(v):
+                left = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1  # the sum of minima is at least similarity * the sum of maxima
+                for x in sorted(set(s.tolist()), key=lambda x: (often[x], x)):
+                    self.rare[x].append((n, k))
+                    left -= int((s == x).sum())
+                    if left <= 0:
+                        break
         self.owners = {x: sorted(v) for x, v in owners.items()}
         self.known = np.array(sorted(owners), np.uint64)
         self.maybe = np.zeros(_MASK + 1, bool)
@@ -138,9 +157,12 @@ class Benchmark:
     def search(self, words: np.ndarray, s: np.ndarray, hits: np.ndarray) -> Iterator[tuple[int, float, int]]:
         """(item, similarity, first word) of the best window for each item that a document holds; hits: places of shared shingles."""
         at_size: dict[int, list[int]] = defaultdict(list)
+        rare: dict[int, dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
         for p, x in zip(hits.tolist(), s[hits].tolist(), strict=True):
             for n in self.owners[x]:
                 at_size[n].append(p)
+            for n, k in self.rare.get(x, ()):
+                rare[n][k].append(p)
         for n, places in at_size.items():
             index = self.sizes[n]
             size = min(n, len(words))
@@ -148,21 +170,40 @@ class Benchmark:
             wide = s if width == SHINGLE and len(words) >= SHINGLE else shingles(words, min(width, len(words)))
             count = size - min(width, len(words)) + 1  # shingles in a window
             last = len(words) - size
+            need = self._least(count + n - width + 1)
+            if need > min(count, len(places)):
+                continue
             p = np.asarray(places)
             edge = np.zeros(last + 2, np.int32)
             np.add.at(edge, np.clip(p - count + 1, 0, last), 1)
             np.add.at(edge, np.minimum(p, last) + 1, -1)
-            starts = np.flatnonzero(np.cumsum(edge[:-1]) > 0)
-            low, high = int(starts[0]), int(starts[-1]) + count
-            sums = np.zeros((high - low + 1, 64), np.int32)
-            np.cumsum(bits(wide[low:high]), axis=0, out=sums[1:])
-            prints = fingerprints(sums[starts - low + count] - sums[starts - low])
-            found = index.candidates(prints)
-            for k in np.unique(found % len(index.items)).tolist():
-                item, own = index.items[k]
-                best = self._best(wide, own, starts[found[found % len(index.items) == k] // len(index.items)], count)
-                if best:
-                    yield item, *best
+            starts = np.flatnonzero(np.cumsum(edge[:-1]) >= need)
+            found: dict[int, tuple[float, int]] = {}
+
+            def keep(k: int, near: np.ndarray, index: SizeIndex = index, wide: np.ndarray = wide, count: int = count, found: dict = found) -> None:
+                best = self._best(wide, index.items[k][1], near, count) if len(near) else None
+                if best and (k not in found or (best[0], -best[1]) > (found[k][0], -found[k][1])):
+                    found[k] = best
+
+            for near in _runs(starts, WINDOWS):
+                low, high = int(near[0]), int(near[-1]) + count
+                sums = np.zeros((high - low + 1, 64), np.int32)
+                np.cumsum(bits(wide[low:high]), axis=0, out=sums[1:])
+                pairs = index.candidates(fingerprints(sums[near - low + count] - sums[near - low]))
+                for k in np.unique(pairs % len(index.items)).tolist():
+                    keep(k, near[pairs[pairs % len(index.items) == k] // len(index.items)])
+            for k, at in rare[n].items():
+                at = np.asarray(at)
+                # windows that hold a rare shingle of the item
+                after = at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
+                for near in _runs(starts[(after >= starts) & (after < starts + count)], WINDOWS):
+                    keep(k, near)
+            for k, (value, first) in found.items():
+                yield index.items[k][0], value, first
+
+    def _least(self, both: int) -> int:
+        """Shingles that a window and an item with so many together must share."""
+        return math.ceil(self.similarity / (1 + self.similarity) * both - 1e-9)
 
     def _best(self, wide: np.ndarray, own: np.ndarray, starts: np.ndarray, count: int) -> tuple[float, int] | None:
         """The most similar of the candidate windows, the first on ties, if it reaches the threshold."""
@@ -173,7 +214,7 @@ class Benchmark:
         upto = np.r_[0, np.cumsum(member)]
         most = upto[starts - low + count] - upto[starts - low]  # at least the sum of minima
         best = None
-        for s in starts[most >= self.similarity / (1 + self.similarity) * (count + len(own)) - 1e-9].tolist():
+        for s in starts[most >= self._least(count + len(own))].tolist():
             part = slice(s - low, s - low + count)
             got = np.bincount(at[part][member[part]], minlength=len(kinds))
             least = int(np.minimum(got, weight).sum())
@@ -183,63 +224,99 @@ class Benchmark:
         return best
 
 
-def own_shingles(words: np.ndarray) -> np.ndarray:
-    return shingles(words, min(SHINGLE, len(words)))
+def _runs(starts: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Rising places cut where a gap or `most` places end a run: what is worked out for a run stays small."""
+    if len(starts):
+        cuts = np.flatnonzero(np.diff(starts) > GAP) + 1
+        for part in np.split(starts, cuts):
+            for a in range(0, len(part), most):
+                yield part[a : a + most]
 
 
-def _pass(docs: DataFrame, items: list[tuple], radius: int, similarity: float) -> DataFrame:
-    shipped = docs.sparkSession.sparkContext.broadcast(items)
-    made: dict[str, Benchmark] = {}
-
-    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "b" not in made:
-            made["b"] = Benchmark(shipped.value, radius, similarity)
-        bench = made["b"]
-        short = any(n < SHINGLE for n in bench.sizes)
-        for b in rows:
-            texts, ids = texts_of(b), b.column("doc_id").cast(pa.int64()).to_pylist()
-            out = []
-            for x, y in slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
-                flat, starts = word_hashes(texts[x:y])
-                widths = {SHINGLE, *(n for n in bench.sizes if n < SHINGLE)} if short else {SHINGLE}
-                hit = {}
-                for w in widths:
-                    s = shingles(flat, w)
-                    at = np.flatnonzero(bench.maybe[(s & np.uint64(_MASK)).astype(np.int64)]) if len(bench.known) else np.zeros(0, np.int64)
-                    at = at[bench.known[np.minimum(np.searchsorted(bench.known, s[at]), len(bench.known) - 1)] == s[at]] if len(at) else at
-                    text = np.searchsorted(starts, at, "right") - 1
-                    hit[w] = (s, at[at + w <= starts[text + 1]] if len(at) else at)
-                touched = np.unique(np.concatenate([np.searchsorted(starts, at, "right") - 1 for _, at in hit.values()]))
-                for k in touched.tolist():
-                    a, e = int(starts[k]), int(starts[k + 1])
-                    best: dict[int, tuple[float, int]] = {}
-                    for s, at in hit.values():
-                        own = at[(at >= a) & (at < e)] - a
-                        if len(own):
-                            for item, value, first in bench.search(flat[a:e], s[a : max(a, e - SHINGLE + 1)] if e - a >= SHINGLE and s is hit[SHINGLE][0] else s[a:e], own):
-                                if item not in best or (value, -first) > (best[item][0], -best[item][1]):
-                                    best[item] = (value, first)
-                    out += [(ids[x + k], bench.ids[item], round(v, 6), f) for item, (v, f) in best.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], [c.split()[0] for c in FOUND.split(", ")])
-
-    return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
+def own_shingles(words: np.ndarray) -> np.ndarray:
+    return shingles(words, min(SHINGLE, len(words)))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word) for each item that a document holds."""
-    small_batches(docs.sparkSession)
+class Items:
+    """Benchmark items as they are shipped; a worker makes their index once and keeps it with the broadcast."""
+
+    def __init__(self, items: list[tuple], radius: int, similarity: float):
+        self.given, self.made = (items, radius, similarity), None
+
+    def __getstate__(self) -> dict:
+        return {"given": self.given, "made": None}
+
+    def index(self) -> Benchmark:
+        if self.made is None:
+            self.made = Benchmark(*self.given)
+        return self.made
+
+
+def _held(bench: Benchmark, texts: list[str]) -> Iterator[tuple[int, int, float, int]]:
+    """(text's place, item's place, similarity, first word) for each item that a text holds."""
+    widths = {SHINGLE, *(n for n in bench.sizes if n < SHINGLE)}
+    for x, y in slices(np.fromiter(map(len, texts), np.int64, len(texts)), SLICE):
+        flat, starts = word_hashes(texts[x:y])
+        hit = {}
+        for w in widths:
+            s = shingles(flat, w)
+            at = np.flatnonzero(bench.maybe[(s & np.uint64(_MASK)).astype(np.int64)]) if len(bench.known) else np.zeros(0, np.int64)
+            at = at[bench.known[np.minimum(np.searchsorted(bench.known, s[at]), len(bench.known) - 1)] == s[at]] if len(at) else at
+            text = np.searchsorted(starts, at, "right") - 1
+            hit[w] = (s, at[at + w <= starts[text + 1]] if len(at) else at)
+        touched = np.unique(np.concatenate([np.searchsorted(starts, at, "right") - 1 for _, at in hit.values()]))
+        for k in touched.tolist():
+            a, e = int(starts[k]), int(starts[k + 1])
+            best: dict[int, tuple[float, int]] = {}
+            for s, at in hit.values():
+                own = at[np.searchsorted(at, a) : np.searchsorted(at, e)] - a
+                if len(own):
+                    for item, value, first in bench.search(flat[a:e], s[a : max(a, e - SHINGLE + 1)] if e - a >= SHINGLE and s is hit[SHINGLE][0] else s[a:e], own):
+                        if item not in best or (value, -first) > (best[item][0], -best[item][1]):
+                            best[item] = (value, first)
+            for item, (value, first) in best.items():
+                yield x + k, item, value, first
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, radius: int, similarity: float) -> Iterator[Broadcast]:
+    """The benchmark in blocks of a bounded size, each shipped to the executors."""
+    spark = docs.sparkSession
+    small_batches(spark)
     b = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     size = int(b.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0)
-    blocks = by_parts(size, BLOCK_BYTES, 1)
-    out = None
+    blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         items = [tuple(r) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        found = _pass(docs, sorted(items, key=repr), radius, similarity)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast(Items(sorted(items, key=repr), radius, similarity))
+
+
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word) for each item that a document holds."""
+
+    def search(shipped: Broadcast) -> DataFrame:
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = shipped.value.index()
+            for b in rows:
+                ids = b.column("doc_id").cast(pa.int64()).to_pylist()
+                out = [(ids[k], bench.ids[item], round(v, 6), f) for k, item, v, f in _held(bench, texts_of(b))]
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], [c.split()[0] for c in FOUND.split(", ")])
+
+        return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
+
+    return functools.reduce(DataFrame.unionByName, map(search, _blocks(docs, benchmark, radius, similarity)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """docs without those that hold an item."""
-    bad = stored(find_contaminated(docs, benchmark, radius, similarity).select("doc_id").distinct(), "contaminated")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["doc_id"]), "left_anti")
+    """docs without the rows that hold an item. Rows are judged where they are read, each by its own text: doc_ids may be null or repeat."""
+
+    def leave_out(left: DataFrame, shipped: Broadcast) -> DataFrame:
+        def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bench = shipped.value.index()
+            for b in rows:
+                keep = np.ones(b.num_rows, bool)
+                keep[[k for k, *_ in _held(bench, texts_of(b))]] = False
+                yield b if keep.all() else b.filter(pa.array(keep))
+
+        return left.mapInArrow(lean(run), docs.schema)
+
+    return functools.reduce(leave_out, _blocks(docs, benchmark, radius, similarity), docs)

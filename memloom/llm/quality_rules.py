@@ -4,8 +4,10 @@ A rule rejects a text. On a bounded sample the cascade measures what each rule c
 that reach it it rejects, then runs the rules in falling order of rejection per cost; a text that one rule rejects meets no
 further rule. The verdict doesn't depend on the order, only the work does.
 
-Nulls and texts without words: no words, all counts 0; the base rule rejects them. Repeated rows are judged one by one.
-Extra columns are kept; the columns added here replace columns of the same name.
+Nulls and texts without words: no words, all counts 0; the base rule rejects them. Repeated rows are judged one by one. Null doc_id: kept. An
+empty table gives no rows. A very long text is one row, judged whole. Extra columns are kept; apply_cascade's column has a name that the
+caller may choose and replaces a column of that name. The sample's texts are cut to SAMPLE_CHARS on their way to the driver; they decide on the
+rules' order only.
 """
 
 from __future__ import annotations
@@ -19,12 +21,14 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from memloom.llm.common import WORD_PATTERN, lean, small_batches, texts_of
 
 _WORD = re.compile(WORD_PATTERN)
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of Unicode's categories L; most words show one at their first character or hold ASCII letters.
+_ASCII_LETTER = re.compile(r"[A-Za-z]")
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
@@ -65,7 +69,12 @@ class Features:
 
     @cached_property
     def n_lettered(self) -> int:
-        return sum(1 for w in self.words if _LETTER.search(w))
+        return sum(1 for w in self.words if lettered(w))
+
+
+def lettered(word: str) -> bool:
+    """Has the word a letter? Numbers that aren't digits, such as ² or Ⅷ, are none."""
+    return _ASCII_LETTER.search(word) is not None or not word.isascii() and any(map(str.isalpha, word))
 
 
 def repeat_words(words: list[str], window: int = WINDOW) -> int:
@@ -129,6 +138,7 @@ RULES = (
 BASE = Rule("base", base_fails)
 #: Texts of the sample on which costs and selectivities are estimated.
 SAMPLE = 400
+SAMPLE_CHARS = 20_000
 
 
 @dataclass(frozen=True)
@@ -160,7 +170,7 @@ def plan_cascade(texts: list[str], rules: tuple[Rule, ...]) -> list[Measured]:
 
 def sampled(docs: DataFrame, n: int = SAMPLE) -> list[str]:
     """A bounded sample of texts for the estimates: the first rows of the table, which decide on order only, never on a verdict."""
-    return [r[0] or "" for r in docs.select("text").limit(n).collect()]
+    return [r[0] or "" for r in docs.select(F.substring("text", 1, SAMPLE_CHARS)).limit(n).collect()]
 
 
 def run_cascade(features: list[Features], plan: list[Measured]) -> list[str | None]:
@@ -178,17 +188,17 @@ def run_cascade(features: list[Features], plan: list[Measured]) -> list[str | No
     return out
 
 
-def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = (BASE, *RULES), sample: int = SAMPLE) -> DataFrame:
-    """docs with `rejected_by` (null: kept)."""
+def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = (BASE, *RULES), sample: int = SAMPLE, to: str = "rejected_by") -> DataFrame:
+    """docs with the name of the rule that rejects a text in column `to` (null: kept)."""
     small_batches(docs.sparkSession)
     plan = plan_cascade(sampled(docs, sample), rules)
-    docs = docs.drop("rejected_by")
-    schema = T.StructType([*docs.schema.fields, T.StructField("rejected_by", T.StringType())])
+    docs = docs.drop(to)
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.StringType())])
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
             verdict = run_cascade([Features(t) for t in texts_of(b)], plan)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdict, pa.string())], [*b.schema.names, "rejected_by"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(verdict, pa.string())], [*b.schema.names, to])
 
     return docs.mapInArrow(lean(run), schema)
 

@@ -7,10 +7,15 @@ that are read from the library: blocks of 256 code points that behave alike take
 from __future__ import annotations
 
 import functools
+import unicodedata
+from dataclasses import dataclass
 
 import numpy as np
+import regex
 
 _SURROGATES = range(0xD800, 0xE000)
+#: White space as Unicode's property White_Space has it.
+SPACE = r"\t-\r\x85\p{Z}"
 
 
 def _kinds(points: list[int], split: object) -> list[str]:
@@ -52,9 +57,61 @@ def packed() -> str:
     return ";".join(",".join(f"{x:x}" for pair in ranges()[k] for x in pair) for k in "LNS")
 
 
-def pattern(kind: str) -> str:
-    """The ranges as the inside of a character class of a pattern."""
-    return "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in ranges()[kind])
+def _class(pairs: list[tuple[int, int]]) -> str:
+    """Ranges as the inside of a character class of a pattern."""
+    return "".join(f"\\U{x:08x}-\\U{y:08x}" for x, y in pairs)
+
+
+def _runs(points: np.ndarray) -> list[tuple[int, int]]:
+    cuts = np.flatnonzero(np.diff(points) > 1) + 1
+    return [(int(r[0]), int(r[-1])) for r in np.split(points, cuts) if len(r)]
+
+
+@dataclass(frozen=True)
+class Kinds:
+    """Insides of character classes: the library's letters, numbers and spaces, and the odd characters, which the library may take otherwise
+    than Python does."""
+
+    letters: str
+    numbers: str
+    spaces: str
+    odd: str
+
+
+@functools.cache
+def kinds() -> Kinds:
+    """What patterns need to cut as the library cuts. Few texts have an odd character; the others can be cut by Python's own tables.
+
+    Odd are characters that `regex` puts into another class, that NFC or lower case turn into something else by themselves, and marks that
+    came after Unicode 3.2, whose order among other marks one side may not know. All others are normalised alike by any version.
+    """
+    from tokenizers import normalizers
+
+    own = {"L": regex.compile(r"\p{L}"), "N": regex.compile(r"\p{N}"), "S": regex.compile(rf"[{SPACE}]")}
+    of = np.full(0x110000, 0, np.uint8)
+    for code, k in enumerate("LNS", 1):
+        for x, y in ranges()[k]:
+            of[x : y + 1] = code
+    turn = normalizers.Sequence([normalizers.NFC(), normalizers.Lowercase()]).normalize_str
+    odd = np.zeros(0x110000, bool)
+    for a in range(0, 0x110000, 0x1000):
+        points = [c for c in range(a, a + 0x1000) if c not in _SURROGATES and c != 1]
+        chars = list(map(chr, points))
+        theirs, ours = turn("\1".join(chars)).split("\1"), lowered("\1".join(chars)).split("\1")
+        text = "".join(chars)
+        at = np.zeros(len(points), np.uint8)
+        for code, k in enumerate("LNS", 1):
+            at[[m.start() for m in own[k].finditer(text)]] = code
+        late = [unicodedata.category(c)[0] == "M" and unicodedata.ucd_3_2_0.category(c) == "Cn" for c in chars]
+        odd[points] = (at != of[points]) | np.array([x != y for x, y in zip(theirs, ours, strict=True)]) | np.array(late)
+    return Kinds(*(_class(ranges()[k]) for k in "LNS"), _class(_runs(np.flatnonzero(odd))))
+
+
+def lowered(text: str) -> str:
+    """NFC, then each character in lower case by itself (a final sigma is no exception)."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    return text.lower()
 
 
 def unpacked(cut: bytes) -> tuple[tuple[int, int], list[bytes], np.ndarray]:

@@ -311,11 +311,11 @@ def digest(docs: DataFrame) -> DataFrame:
     return _passes(docs.select("doc_id", "text"), _digests, DIGEST)
 
 
-def dedup(docs: DataFrame) -> DataFrame:
-    """docs with the repeated bytes cut out of `text` and their count as `n_removed` (a column of that name is replaced)."""
-    docs = docs.drop("n_removed")
+def dedup(docs: DataFrame, to: str = "n_removed") -> DataFrame:
+    """docs with the repeated bytes cut out of `text` and their count in column `to` (a column of that name is replaced)."""
+    docs = docs.drop(to)
     names = docs.columns
-    schema = T.StructType([*docs.schema.fields, T.StructField("n_removed", T.LongType())])
+    schema = T.StructType([*docs.schema.fields, T.StructField(to, T.LongType())])
 
     def make(c: Chunk, cut: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = c.offsets.tolist()
@@ -323,7 +323,7 @@ def dedup(docs: DataFrame) -> DataFrame:
         old = c.rows.column("text").to_pylist()
         texts = [t if not k else c.data[a:b][~cut[a:b]].tobytes().decode(errors="ignore") for t, k, a, b in zip(old, n, ends, ends[1:], strict=False)]
         rows = c.rows.combine_chunks()
-        for b in rows.set_column(names.index("text"), "text", pa.array(texts, pa.string())).append_column("n_removed", pa.array(n, pa.int64())).to_batches():
+        for b in rows.set_column(names.index("text"), "text", pa.array(texts, pa.string())).append_column(to, pa.array(n, pa.int64())).to_batches():
             yield b
 
     return _passes(docs, make, schema)

@@ -1,6 +1,6 @@
 """Deterministic sharded WARC writer, and the reader.
 
-Records are sorted by page_id over ranges that a histogram of the ids fixes (the same input gives the same files), each range
+Records are sorted by page_id over ranges that histograms of the ids fix (the same input gives the same files), each range
 is written to files that roll once their compressed size passes a limit, headers and digests are made anew from the payload,
 and each record is a gzip member of its own. A file is written under a temporary name, moved to its name when whole, and counts
 only if the manifest, a table that Spark commits, lists it: a lost task's second run writes the same bytes again.
@@ -15,22 +15,24 @@ others refer to. Rows that repeat the smallest page_id are all responses. Extra
 from __future__ import annotations
 
 import hashlib
+import math
 import uuid
 import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.llm.common import lean, scratch, store_of
+from memloom.llm.common import lean, make_dir, scratch, store_of
 
 MIN_REVISIT = 100
 #: Compressed bytes after which a file rolls, and raw bytes of a range.
 ROLL = 32_000_000
 RANGE = 16_000_000
 BINS = 4096
+SPLIT = 64
 DATE = "2024-01-01T00:00:00Z"
 #: Fixed value of the standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -46,20 +48,50 @@ def revisits(pages: DataFrame) -> DataFrame:
     return p.join(copies, "digest").where("page_id > first").select("page_id", "digest", "first").distinct()
 
 
-def ranges(pages: DataFrame, range_bytes: int) -> tuple[int, int, list[int]]:
-    """Smallest id, ids in a bin, and the range of each bin: neighbouring bins up to range_bytes. At most BINS rows reach the driver."""
-    low, high = pages.agg(F.min("page_id"), F.max("page_id")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    each = (high - low) // BINS + 1
-    sizes = dict(pages.groupBy(F.expr(f"coalesce((page_id - {low}) DIV {each}, 0L)").alias("bin")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 400)).collect())
-    part, held, of = 0, 0, []
-    for b in range(BINS):
-        size = int(sizes.get(b, 0))
-        if held and held + size > range_bytes:
-            part, held = part + 1, 0
+def cuts(pages: DataFrame, range_bytes: int) -> list[int]:
+    """First ids of the ranges after the first: neighbouring ids up to range_bytes, or up to a BINS-th of all where that is more.
+
+    Histograms find them: bins of equal width, and again within each bin that holds too much, until a bin is one id. So a few ids far from
+    the others cost a round and no skew. Bins that hold too much number BINS at most; their parts reach the driver, SPLIT for each.
+    """
+    sized = pages.where("page_id IS NOT NULL").select(F.col("page_id").cast("long").alias("id"), (F.coalesce(F.octet_length("html"), F.lit(0)) + 400).cast("long").alias("size"))
+    low, high, total = sized.agg(F.min("id"), F.max("id"), F.sum("size")).first()
+    if low is None:
+        return []
+    most = max(range_bytes, -(-total // BINS))
+    whole: list[tuple[int, int]] = []  # first id and size of bins that are small enough, or one id
+    heavy, parts = [(low, high)], BINS
+    while heavy:
+        width = [(h - lo) // parts + 1 for lo, h in heavy]
+        first = F.array(*(F.lit(lo) for lo, _ in heavy))
+        at = _upto(F.col("id"), [lo for lo, _ in heavy])
+        inside = sized.withColumn("bin", (at - 1).cast("int")).where(F.col("bin") >= 0).where(F.col("id") <= F.array(*(F.lit(h) for _, h in heavy))[F.col("bin")])
+        offset = F.col("id").cast("decimal(20,0)") - first[F.col("bin")].cast("decimal(20,0)")
+        inside = inside.withColumn("part", F.floor(offset / F.array(*(F.lit(w).cast("decimal(20,0)") for w in width))[F.col("bin")]).cast("int"))
+        again = []
+        for k, j, size in inside.groupBy("bin", "part").agg(F.sum("size")).collect():
+            lo = heavy[k][0] + j * width[k]
+            if size > most and width[k] > 1:
+                again.append((lo, min(heavy[k][1], lo + width[k] - 1)))
+            else:
+                whole.append((lo, size))
+        heavy, parts = sorted(again), SPLIT
+    out, held = [], 0
+    for lo, size in sorted(whole):
+        if held and held + size > most:
+            out.append(lo)
+            held = 0
         held += size
-        of.append(part)
-    return low, each, of
+    return out
+
+
+def _upto(x: Column, rising: list[int]) -> Column:
+    """How many of the rising values are x or less, in two steps of about the root of their number."""
+    step = max(1, math.isqrt(len(rising)))
+    every = F.array(*(F.lit(v).cast("long") for v in rising))
+    heads = F.array(*(F.lit(v).cast("long") for v in rising[::step]))
+    k = F.size(F.filter(heads, lambda v: v <= x))
+    return F.when(k > 0, (k - 1) * step + F.size(F.filter(F.slice(every, F.greatest((k - 1) * step + 1, F.lit(1)), step), lambda v: v <= x))).otherwise(0)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, first: int | None) -> bytes:
@@ -110,13 +142,10 @@ class _File:
 def write_warc(pages: DataFrame, folder: str, roll: int = ROLL, range_bytes: int = RANGE) -> DataFrame:
     """Write the archives below `folder` and return the committed manifest."""
     spark = pages.sparkSession
-    low, each, of = ranges(pages, range_bytes)
+    cut = cuts(pages, range_bytes)
     files = f"{folder}/archives"
-    fs = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(files)
-    fs.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(fs)
-    cut = [b for b in range(1, BINS) if of[b] != of[b - 1]]  # first bins of the ranges after the first
-    part = F.expr(f"coalesce((page_id - {low}) DIV {each}, 0L)")
-    part = F.size(F.filter(F.array(*map(F.lit, cut)), lambda x: x <= part)) if cut else F.lit(0)
+    make_dir(spark, files)
+    part = F.coalesce(_upto(F.col("page_id"), cut), F.lit(0)) if cut else F.lit(0)
     # A page's marks come before the page: both go to the range of its id.
     laid = pages.select(F.lit(1).alias("kind"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.lit(None).cast("string").alias("digest"), F.lit(None).cast("long").alias("first"))
     laid = laid.unionByName(revisits(pages).select(F.lit(0).alias("kind"), "page_id", "digest", "first"), allowMissingColumns=True)
@@ -173,7 +202,7 @@ def parse(raw: bytes) -> tuple[dict, bytes]:
 
 def read_warc(manifest: DataFrame) -> DataFrame:
     """One row for each record of the archives that the manifest lists."""
-    n = max(1, manifest.count())
+    n = max(1, min(manifest.count(), 100_000))
 
     def read(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
@@ -195,7 +224,10 @@ def read_warc(manifest: DataFrame) -> DataFrame:
                             out = []
                 yield _rows(out)
 
-    return manifest.select("path").repartition(n, "path").mapInArrow(lean(read), RECORD)
+    # files are named by range and number: hashed to the nearest of n parts they would bunch, dealt in order they don't
+    place = F.row_number().over(Window.partitionBy(F.pmod(F.xxhash64("path"), F.lit(64))).orderBy("path"))
+    dealt = manifest.select("path", F.pmod(place * 64 + F.pmod(F.xxhash64("path"), F.lit(64)), F.lit(n)).cast("int").alias("part"))
+    return dealt.repartitionById(n, F.col("part")).select("path").mapInArrow(lean(read), RECORD)
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

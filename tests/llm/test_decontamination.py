@@ -66,7 +66,7 @@ def test_pairs_are_brute_force(spark):
     want = brute(docs, items)
     assert got == want and len(want) > 40
     bad = {d for d, *_ in want}
-    assert sorted(x.doc_id for x in dc.decontaminate(df, bench).collect()) == sorted(d for d, _ in docs if d not in bad)
+    assert sorted(x.doc_id for x in dc.decontaminate(df, bench).collect()) == sorted(d for d, _ in docs if d not in bad)  # ids with one text each
 
 
 def test_blocks_of_the_benchmark(spark, monkeypatch):
@@ -88,3 +88,56 @@ def test_multi_index_misses_none():
             prints[k] ^= np.uint64(1) << np.uint64(b)
     want = [w * 200 + k for w in range(200) for k in range(200) if int(prints[w] ^ index.prints[k]).bit_count() <= 7]
     assert index.candidates(prints).tolist() == want and len(want) > 100
+
+
+def test_no_window_is_lost_near_the_threshold(spark):
+    """Items of 20 to 100 words with as many words changed as a similarity of .80 to .85 allows, runs of one shingle, and prose around them."""
+    r = random.Random(9)
+    word = lambda: "w" + str(r.randint(0, 3000))
+    items = [(i, " ".join(word() for _ in range(r.choice([20, 50, 60, 100])))) for i in range(70)]
+    items += [(200 + i, " ".join([word() for _ in range(60)] + ["na"] * 14)) for i in range(20)]
+    docs = []
+    for i, t in items:
+        for k in range(3):
+            own = t.split()
+            for _ in range(r.choice([1, 1, 2])):  # changes at the ends cost the fewest shingles
+                at = r.choice([0, 1, 2, len(own) - 1, len(own) - 2, len(own) - 3, r.randrange(len(own))])
+                own[at] = word()
+            docs.append((1000 * i + k, " ".join([word() for _ in range(r.randint(0, 40))] + own + [word() for _ in range(r.randint(0, 40))])))
+    want = brute(docs, items)
+    near = sum(0.8 <= v <= 0.85 for _, _, v, _ in want)
+    got = dc.find_contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, got.collect()), key=repr) == want and near > 12
+
+
+def test_the_index_looks_at_few_items():
+    r = np.random.default_rng(3)
+    index = dc.SizeIndex([(k, r.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)) for k in range(3000)], dc.RADIUS)
+    prints = r.integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
+    probes = 0
+    for shift, mask, _, value in index.tables:
+        v = (prints >> shift) & mask
+        probes += int((np.searchsorted(value, v, "right") - np.searchsorted(value, v, "left")).sum())
+    assert probes < 0.1 * 500 * 3000
+
+
+def test_long_texts_take_bounded_memory():
+    """Hits at both ends of a long text, and shingles of the item all along it."""
+    import tracemalloc
+
+    item = " ".join(f"i{k}" for k in range(60))
+    bench = dc.Benchmark([(1, item)], dc.RADIUS, dc.SIMILARITY)
+    text = " ".join([item, *(f"x{k % 5000} i1 i2 i3 i4 i5" for k in range(100_000)), item])
+    tracemalloc.start()
+    got = list(dc._held(bench, [text]))
+    assert [(k, v, f) for k, _, v, f in got] == [(0, 1.0, 0)] and tracemalloc.get_traced_memory()[1] < 400 << 20
+    tracemalloc.stop()
+
+
+def test_rows_are_judged_by_their_own_text(spark):
+    item = " ".join(f"a{k}" for k in range(12))
+    rows = [(None, item), (None, "clean prose here"), (1, item), (1, "other clean prose"), (2, None), (2, None)]
+    df = spark.createDataFrame([(i, t, 7) for i, t in rows], "doc_id long, text string, similarity int")
+    bench = spark.createDataFrame([(5, item), (None, item)], "item_id long, text string")
+    assert sorted(map(tuple, dc.decontaminate(df, bench).collect()), key=repr) == sorted([(None, "clean prose here", 7), (1, "other clean prose", 7), (2, None, 7), (2, None, 7)], key=repr)
+    assert {(x.doc_id, x.item_id) for x in dc.find_contaminated(df, bench).collect()} == {(None, 5), (None, None), (1, 5), (1, None)}

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from memloom.llm import quality_rules, sharding, warc
 from memloom.llm.common import scratch
@@ -89,3 +90,72 @@ def test_warc(spark):
     names = lambda m: sorted((r.path.rsplit("/", 1)[1], r.crc32) for r in m.collect())
     assert names(manifest) == names(again) and len(names(again)) > 2
     assert warc.archive_pages(pages(spark, data).where("false")).count() == 0
+
+
+def _rows(df):
+    return sorted((r.shard, r.slot, r.doc_id, r.text) for r in df.collect())
+
+
+def test_a_seed_fixes_the_order(spark):
+    """The order is the same at any number of partitions, another one by another seed, and no sorted one."""
+    data = [(i, f"text {i} " * (i % 7)) for i in range(3000)]
+    shard = lambda n, seed=1: _rows(sharding.shard_documents(spark.createDataFrame(data, "doc_id long, text string").repartition(n), 4, bucket_bytes=20_000, seed=seed))
+    held = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        got = shard(3)
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        assert shard(5) == got
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+    ids = [x[2] for x in got]
+    assert shard(3, 2) != got and sorted(ids) == list(range(3000))
+    assert 0.3 < sum(a < b for a, b in zip(ids, ids[1:], strict=False)) / 3000 < 0.7
+    apart = sum(abs(a - b) < 30 for a, b in zip(ids, ids[1:], strict=False))
+    assert apart < 150  # neighbours of the table are neighbours no more
+
+
+def test_repeated_rows_part(spark):
+    """A third of the table is one row, another third has no id and no text."""
+    data = [(i, f"text {i} " * 5) for i in range(1000)] + [(5000, "again " * 10)] * 1000 + [(None, None)] * 1000
+    df = spark.createDataFrame([(i, t, 1) for i, t in data], "doc_id long, text string, slot int").repartition(4)
+    got = sharding.shard_documents(df, 8, bucket_bytes=10_000).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(data, key=repr)
+    buckets = sharding.scattered(df.select("doc_id", "text"), 20).where("doc_id = 5000").groupBy("bucket").count().collect()
+    assert len(buckets) == 20 and max(r["count"] for r in buckets) < 100
+    per = {}
+    for r in got:
+        per.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in per.values()) and max(map(len, per.values())) - min(map(len, per.values())) <= 1
+
+
+def test_ids_far_apart(spark):
+    """Most ids close together, a few at the ends of their type: the ranges still follow the bytes."""
+    ids = [-(2**63), 2**63 - 1, 0, *range(10**15, 10**15 + 400), None, None]
+    data = [(i, "u", f"page {i} " * 200) for i in ids]
+    df = spark.createDataFrame(data, "page_id long, url string, html string")
+    cuts = warc.cuts(df, 100_000)
+    assert cuts == sorted(set(cuts)) and len(cuts) > 4 and sum(10**15 <= c < 10**15 + 400 for c in cuts) > 4
+    for x in (-(2**63), 5, 10**15 + 77, 2**63 - 1):
+        assert spark.range(1).select(warc._upto(F.lit(x).cast("long"), cuts)).first()[0] == sum(c <= x for c in cuts)
+    manifest = warc.write_warc(df, scratch(spark, "warc"), range_bytes=100_000)
+    assert manifest.count() == len(cuts) + 1
+    assert sorted((r.page_id for r in warc.read_warc(manifest).collect()), key=repr) == sorted(ids, key=repr)
+    assert warc.cuts(df.where("page_id IS NULL"), 10) == [] == warc.cuts(df.where("false"), 10)
+
+
+def test_letters_are_those_of_sql(spark):
+    """Numbers that aren't digits, and marks, are no letters; the query's SQL agrees."""
+    import duckdb
+
+    from memloom.llm.queries import _OP6_SQL
+
+    odd = "² ½ Ⅷ ٣ é 漢 ª ʰ ا ̈ _ 7 一 ㊀ 𝒜 ⅻ".split(" ")
+    texts = [" ".join([c * 2] * 30) for c in odd] + [" ".join(f"{c}{k}" for k in range(40)) for c in odd] + [None, ""]
+    rows = [(i if i % 5 else None, t) for i, t in enumerate(texts)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [(i, t) for i, (_, t) in enumerate(rows)])
+    df = spark.createDataFrame([(i, t, "x") for i, (_, t) in enumerate(rows)], "doc_id long, text string, kept string")
+    want = sorted(con.execute(_OP6_SQL).fetchall())
+    assert sorted(map(tuple, quality_rules.judge(df).collect())) == want
+    assert [r.doc_id for r in quality_rules.judge(df.where("doc_id = 3").withColumn("doc_id", F.lit(None).cast("long"))).collect()] == [None]

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import unicodedata
 
 import numpy as np
 import pytest
@@ -86,6 +87,34 @@ def test_automaton_is_the_library(spark):
         assert tuple(digests[i]) == (i, len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(said.encode()).hexdigest())
 
 
+def test_automaton_for_every_character(spark):
+    """Ids and text of words around each code point, assigned or not, and of sequences of marks, against the library."""
+    lib = Tokenizer.from_file(WORDS)
+    bpe = bpe_automaton.WordBpe(WORDS, splitter.kinds())
+    points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    r = random.Random(7)
+    marks = [chr(c) for c in points if unicodedata.combining(chr(c))] + ["e", "A", "ộ", "ᄀ", "ᅡ", "ᆨ", "Å"]
+    texts = ["".join(f"A{chr(c)}b {chr(c)}1\n" for c in points[a : a + 50]) for a in range(0, len(points), 50)]
+    texts += ["".join(r.choices(marks, k=r.randint(2, 6))) for _ in range(20_000)]
+    for a in range(0, len(texts), 2000):
+        part = texts[a : a + 2000]
+        for t, e in zip(part, lib.encode_batch(part, add_special_tokens=False), strict=True):
+            ids, said = bpe.text(t)
+            assert np.frombuffer(ids, "<u4").tolist() == e.ids, t
+            assert said == lib.decode(e.ids, skip_special_tokens=False)
+
+
+def test_encoding_of_odd_tables(spark):
+    """An empty table, null ids, and columns that clash with those that are added."""
+    df = spark.createDataFrame([(None, "A b", "x", 1), (None, "A b", "x", 1)], "doc_id long, text string, ids string, decoded int")
+    got = bpe_automaton.encode_documents(df, WORDS)
+    lib = Tokenizer.from_file(WORDS)
+    assert [r.ids for r in got.collect()] == [lib.encode("A b", add_special_tokens=False).ids] * 2 and got.columns == ["doc_id", "text", "ids", "decoded"]
+    assert [r.doc_id for r in bpe_automaton.digest_documents(df, WORDS).collect()] == [None, None]
+    assert bpe_automaton.encode_documents(df.where("false"), WORDS).count() == 0 == bpe_automaton.digest_documents(df.where("false"), WORDS).count()
+    assert [r.doc_id for r in token_counts.count_tokens(df, BYTES).collect()] == [None, None]
+
+
 def test_automaton_on_small_merges():
     """Against merging rule by rule, on every short string."""
     from itertools import product
