@@ -1,7 +1,9 @@
 """Training-data pipeline over `documents`: quality, near copies, repeated passages, benchmark leaks, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of `documents`. Between stages the
-result is written as Parquet and read again. Nulls: a null text has no words and goes with the first stage.
+result is written as Parquet and read again. Nulls: a null text has no words and goes with the first stage; a null doc_id is kept as it is.
+Repeated rows are near copies of each other: one stays. An empty table stays empty. Extra columns pass all stages but the last, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -13,9 +15,17 @@ from memloom.llm import bpe_automaton, decontamination, jaccard_join, quality_ru
 from memloom.llm.common import stored, table, tokenizer_path
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """The name, or a longer one that no column has (case does not tell columns apart)."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no quality rule rejects."""
-    return quality_rules.apply_cascade(docs).where("rejected_by IS NULL").select(*docs.columns)
+    to = _free(docs, "rejected_by")
+    return quality_rules.apply_cascade(docs, to=to).where(F.col(to).isNull()).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +35,9 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of 50-byte strings that start in a document with a smaller doc_id; n_chars follows the text."""
-    cut = suffix_dedup.dedup(docs)
-    return cut.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
+    to = _free(docs, "n_removed")
+    cut = suffix_dedup.dedup(docs, to=to)
+    return cut.withColumn("n_chars", F.when(F.col(to) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
 def leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
