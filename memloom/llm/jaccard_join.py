@@ -8,11 +8,14 @@ Equal sets are one node, so that copies cost nothing. Sets are held as 64-bit ha
 2. A set of which more than 1 - t is in no other set can link to none and goes. Of the others, any two that link share an
    element of their prefixes, the first n - ceil(t n) + 1 elements in the global order. Prefix elements lead, through components
    of the graph set - element, to clusters: sets that link lie in one cluster.
-3. Clusters are cut into blocks of bounded size. For each pair of blocks the global order is cut into FRAGMENTS; each fragment
+3. Clusters are cut into blocks of bounded size. A set goes to a pair of blocks only if it shares a prefix element with a set of the other
+   block: candidates come from shared elements, a frequent element being split by blocks, and sets that a cluster merely chains
+   together never meet. For each pair of blocks the global order is cut into FRAGMENTS; each fragment
    counts its partial overlaps of all pairs by itself, and the counts are summed per pair. |A n B| / |A u B| then follows with
    the sets' sizes. A pair of blocks reports a spanning forest of its links, not the links.
 
-A cluster of c sets costs c^2 / 2 sums in blocks, in as many tasks; no block is larger than BLOCK sets or BLOCK_GRAMS n-grams, or one set.
+A group of g sets that all share an element costs g^2 / 2 sums in blocks, in as many tasks; no block is larger than BLOCK sets or BLOCK_GRAMS
+n-grams, or one set. Sets are told apart by 128 bits: a node is 64 of them, and sets that agree in these alone get new nodes.
 
 Null or empty text: empty set, linked with nothing, its component is its own doc_id. Null doc_id: never a component's name unless it
 has no other. Rows that repeat an id and a text are one node. Extra columns are ignored.
@@ -45,7 +48,7 @@ SLICE = 2_000_000
 _SENT = "frag int, chunk string, n int, low binary, counts binary"
 _CLASSES = "frag int, chunk string, classes binary"
 #: grams and prefix (little-endian 64-bit hashes) are null where the set links to nothing, or the chunk has it already.
-_SETS = "doc_id long, chunk string, row int, node long, n long, prefix binary, grams binary"
+_SETS = "doc_id long, chunk string, row int, node long, more long, n long, prefix binary, grams binary"
 _SEGMENTS = "cluster long, one int, two int, frag int, node long, side int, n long, grams binary"
 _PARTIAL = "cluster long, one int, two int, frag int, nodes binary, sizes binary, rows int, at binary, counts binary"
 
@@ -92,11 +95,12 @@ class _Chunk:
         self.sets, texts = [], rows.column("text")
         for a, b in slices(np.asarray(pc.fill_null(pc.binary_length(texts), 0)), SLICE):
             self.sets += gram_sets([t or "" for t in texts[a:b].to_pylist()], words)
-        self.nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in self.sets), np.uint64, len(self.sets)).view(np.int64)
+        whole = [xxhash.xxh3_128_intdigest(s.tobytes()) for s in self.sets]
+        self.nodes, self.more = (np.fromiter((x >> k & (1 << 64) - 1 for x in whole), np.uint64, len(whole)).view(np.int64) for k in (64, 0))
         known: dict[int, int] = {}
-        for i, (node, s) in enumerate(zip(self.nodes.tolist(), self.sets, strict=True)):
+        for i, (x, s) in enumerate(zip(whole, self.sets, strict=True)):
             if len(s):
-                known.setdefault(node, i)
+                known.setdefault(x, i)
         self.firsts = sorted(known.values())
 
     def grams(self) -> tuple[np.ndarray, np.ndarray]:
@@ -150,7 +154,7 @@ def _sets(words: int, num: int, den: int):
                     length = len(s) - -(-num * len(s) // den) + 1
                     prefix[i] = s[np.lexsort((s, k))[alone:length]].tobytes()
                     grams[i] = s.tobytes()
-            yield pa.RecordBatch.from_arrays([c.ids, pa.array([own[0]["chunk"]] * len(c.sets), pa.string()), pa.array(range(len(c.sets)), pa.int32()), pa.array(c.nodes, pa.int64()), pa.array([len(s) for s in c.sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array(grams, pa.binary())], [x.split()[0] for x in _SETS.split(", ")])
+            yield pa.RecordBatch.from_arrays([c.ids, pa.array([own[0]["chunk"]] * len(c.sets), pa.string()), pa.array(range(len(c.sets)), pa.int32()), pa.array(c.nodes, pa.int64()), pa.array(c.more, pa.int64()), pa.array([len(s) for s in c.sets], pa.int64()), pa.array(prefix, pa.binary()), pa.array(grams, pa.binary())], [x.split()[0] for x in _SETS.split(", ")])
 
     return run
 
@@ -162,13 +166,13 @@ def _explode(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _segments(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's fragments for each pair of blocks that its block is in."""
+    """Each set's fragments for its block by itself and with each block that it shares a prefix element with."""
     for b in rows:
         out, held = [], 0
         for r in b.to_pylist():
             s = np.frombuffer(r["grams"], np.uint64)
             cut = np.searchsorted(part_of(s, FRAGMENTS), np.arange(FRAGMENTS + 1))
-            for other in range(r["blocks"]):
+            for other in {r["block"], *(r["others"] or ())}:
                 one, two = sorted((r["block"], other))
                 for f in range(FRAGMENTS):
                     seg = s[cut[f] : cut[f + 1]].tobytes()
@@ -280,7 +284,7 @@ def _linked(chunks: DataFrame, words: int, num: int, den: int) -> DataFrame:
     n, size = chunks.selectExpr("count(*)", "coalesce(sum(n_bytes), 0)").first()
     parts = by_parts(int(size), 2 * CHUNK, 8)
     classes = chunks.select("chunk").repartition(max(1, n)).mapInArrow(lean(_send(words, parts)), _SENT).repartition(width, "frag").sortWithinPartitions("frag", "chunk").mapInArrow(lean(_classes), _CLASSES)
-    sets = stored(classes.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(_sets(words, num, den)), _SETS), "sets")
+    sets = _told_apart(stored(classes.repartition(width, "chunk").sortWithinPartitions("chunk").mapInArrow(lean(_sets(words, num, den)), _SETS), "sets"))
 
     pre = sets.where("prefix IS NOT NULL").select("node", "prefix").mapInArrow(lean(_explode), "gram long, node long").where("gram IS NOT NULL")
     stars = stored(pre.distinct(), "prefixes")
@@ -293,6 +297,11 @@ def _linked(chunks: DataFrame, words: int, num: int, den: int) -> DataFrame:
     members = stored(members.select("cluster", "node", "n", "grams"), "members")
     blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_GRAMS)).cast("int").alias("blocks"))
     placed = members.join(blocks, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    # the other blocks of a set's cluster that hold one of its prefix elements: of an element, blocks are listed, not pairs of sets
+    there = stars.join(placed.where("blocks > 1").select("node", "block"), "node")
+    held = there.select("gram", F.col("block").alias("other")).distinct()
+    others = there.join(held, "gram").where("block <> other").groupBy("node").agg(F.collect_set("other").alias("others"))
+    placed = placed.join(others, "node", "left")
     pair = ["cluster", "one", "two"]
     segments = placed.mapInArrow(lean(_segments), _SEGMENTS).repartition(width, *pair, "frag").sortWithinPartitions(*pair, "frag", "side", "node")
     partial = segments.mapInArrow(lean(_partial), _PARTIAL).repartition(width, *pair).sortWithinPartitions(*pair, "frag")
@@ -306,6 +315,16 @@ def _linked(chunks: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return rows.join(stored(names, "names"), "node", "left")
 
 
+def _told_apart(sets: DataFrame) -> DataFrame:
+    """sets, with new nodes for those that share a node but not the other 64 bits; at 10^10 sets there are a few."""
+    shared = sets.where("n > 0").groupBy("node").agg(F.min("more").alias("low"), F.max("more").alias("high")).where("low < high").select("node", F.lit(True).alias("shared"))
+    shared = stored(shared, "shared")
+    if shared.isEmpty():
+        return sets.drop("more")
+    own = F.when(F.col("shared"), F.xxhash64("node", "more")).otherwise(F.col("node"))
+    return sets.join(shared, "node", "left").withColumn("node", own).drop("shared", "more")
+
+
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs without near copies: of each component the row with the smallest doc_id stays (null last, then any one).
 

@@ -128,3 +128,28 @@ def test_links_of_odd_tables(spark):
     assert sorted(map(tuple, jaccard_join.linked(df).collect()), key=repr) == [(7, 0, 7), (7, 0, 7), (None, 1, None), (None, 1, None)]
     assert jaccard_join.linked(df.where("false")).count() == 0
     assert jaccard_join.one_of_each(df).count() == 2
+
+
+def test_chains_of_passages_are_no_links(spark, monkeypatch):
+    """Each text shares a passage with the next, so that all lie in one cluster; only planted copies link."""
+    from memloom.llm import jaccard_join
+
+    monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    r = random.Random(4)
+    passage = [[f"p{k}w{j}" for j in range(40)] for k in range(301)]
+    texts = [" ".join(passage[k] + passage[k + 1] + [f"own{k}"] * (k % 3)) for k in range(300)]
+    texts += [t + " more" for t in r.sample(texts, 40)]
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_components(rows, 5, 80, 100)
+    assert sorted(map(tuple, jaccard_join.linked(df).collect())) == want and len({c for _, _, c in want}) == 300
+
+
+def test_sets_with_one_hash_are_told_apart(spark):
+    from memloom.llm import jaccard_join
+
+    rows = [(1, 10, 5, 3), (2, 10, 6, 3), (3, 10, 5, 3), (4, 11, 5, 2), (5, 10, 7, 0)]
+    got = {x.doc_id: x.node for x in jaccard_join._told_apart(spark.createDataFrame(rows, "doc_id long, node long, more long, n long")).collect()}
+    assert got[1] == got[3] and len({got[1], got[2], got[4]}) == 3 and got[4] == 11
+    alone = jaccard_join._told_apart(spark.createDataFrame(rows[:1], "doc_id long, node long, more long, n long"))
+    assert alone.columns == ["doc_id", "node", "n"] and alone.first().node == 10
