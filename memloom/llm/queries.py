@@ -108,6 +108,45 @@ SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS
 FROM f
 """
 
+#: Links by a join on all shared shingles, components by reachability.
+_OP8_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(words) >= 4 THEN list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i+3], ' '))
+                                      WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_shared FROM s AS a JOIN s AS b USING (g) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+hit AS (SELECT a, b FROM shared JOIN n AS x ON x.doc_id = a JOIN n AS y ON y.doc_id = b WHERE 100 * n_shared >= 85 * (x.n + y.n - n_shared)),
+links AS (SELECT a, b FROM hit UNION ALL SELECT b, a FROM hit),
+reach AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT links.b, reach.c FROM reach JOIN links ON links.a = reach.doc_id),
+parts AS (SELECT doc_id, min(c) AS c FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, doc_id) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN parts USING (doc_id)
+"""
+
+#: Every 50-byte string of each text, in hexadecimal digits.
+_OP9_SQL = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (SELECT doc_id, k, substring(h, 2000 * k + 1, 2098) AS p FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2000 + 1)) AS k FROM d)),
+win AS (
+  SELECT doc_id, 1000 * k + j AS i, substring(p, 2 * j + 1, 100) AS x
+  FROM (SELECT doc_id, k, p, unnest(range(0, length(p) // 2 - 49)) AS j FROM pieces WHERE length(p) >= 100)),
+firsts AS (SELECT x, min(doc_id) AS first_id FROM win GROUP BY x),
+cut AS (SELECT doc_id, i FROM win JOIN firsts USING (x) WHERE first_id < doc_id),
+steps AS (SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 1 ELSE 0 END AS step FROM cut),
+numbered AS (SELECT doc_id, i, sum(step) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM steps),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 50 AS b FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM runs),
+g AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS b, string_agg(substring(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head
+  FROM gaps JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(unhex(CASE WHEN n_spans > 0 THEN head || substring(h, 2 * b + 1) ELSE h END)) AS kept_sha256
+FROM d LEFT JOIN g USING (doc_id)
+"""
+
 _OP10_SQL = r"""
 WITH p AS (SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
 g AS (SELECT digest, min(page_id) AS first_id FROM p WHERE n >= 100 GROUP BY digest)
@@ -124,4 +163,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _OP6_SQL, "op10_warc": _OP10_SQL}
+    return {"op6_quality_rules": _OP6_SQL, "op8_jaccard_join": _OP8_SQL, "op9_suffix_dedup": _OP9_SQL, "op10_warc": _OP10_SQL}
