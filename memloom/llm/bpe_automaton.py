@@ -182,7 +182,7 @@ class WordBpe:
         return b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([self.automaton.label[i] for i in ids])
 
     def cut_words(self, part: str) -> list[str]:
-        if part.isascii() or self.odd is None or self.odd.search(part) is None:
+        if part.isascii() or self.odd is None or self.odd.search("".join(set(part))) is None:
             return self.split.findall(splitter.lowered(part))
         return self.exact.findall(self.turned(part))
 
