@@ -10,8 +10,8 @@ All arcs with one label lead to one state, so a state is stored as (copied state
 differs from the row it was copied from in one cell, and from later merges in cells that follow from the left part of the
 new label. A cell of the transition table is found by following these two links and kept once found.
 
-Encoding runs a pre-split word's symbols through the table: from each reachable position, the labels that match the text
-there (a trie) and that the position's state allows lead on; exactly one path covers the word. Decoding emits arc labels.
+Encoding runs a pre-split word's symbols through the table: from a position, the labels that match the text there (a trie) and that
+the position's state allows lead on, and exactly one path covers the word. Decoding emits arc labels.
 
 Null text: empty, no ids. Repeated rows are encoded one by one, ties don't matter. Empty table: no rows. A very long text is one row; its words
 are listed whole, in bounded slices of the table. Letters, numbers, white space, NFC and lower case are those of the tokenizers library.
@@ -96,47 +96,59 @@ class Automaton:
 
     def allows(self, state: int, token: int) -> bool:
         """A cell of the table: has `state` an arc with this label?"""
-        key = state * self.width + token
-        known = self.cells.get(key)
-        if known is None:
-            s, x = state, token
-            while s:
-                if self.born[x] >= self.made[s]:
-                    x = self.left[x]  # made after the state: beside the arc of its left part
-                elif x == self.missing[s]:
-                    break
-                else:
-                    s = self.copied[s]
-            known = self.cells[key] = s == 0
+        s, x = state, token
+        while s:
+            if self.born[x] >= self.made[s]:
+                x = self.left[x]  # made after the state: beside the arc of its left part
+            elif x == self.missing[s]:
+                break
+            else:
+                s = self.copied[s]
+        known = self.cells[state * self.width + token] = s == 0
         return known
 
     def encode(self, word: str) -> list[int]:
-        """The ids of a word given in base characters, its last one marked as the word's end."""
+        """The ids of a word given in base characters, its last one marked as the word's end.
+
+        Longest labels come first. One path at most leads to a position, so one that was left again is not tried anew.
+        """
         sym = [*word[:-1], word[-1] + self.end]
         n = len(sym)
-        last = [-1] * (n + 1)
-        state = [-1] * (n + 1)
-        state[0] = 0
-        trie, token_at, allows, target = self.trie, self.token_at, self.allows, self.target
-        for i in range(n):
-            s = state[i]
-            if s < 0:
-                continue
-            at = 0
+        trie, token_at, target, width = self.trie, self.token_at, self.target, self.width
+        known, allows = self.cells.get, self.allows
+        seen = bytearray(n + 1)
+        ids: list[int] = []
+        way: list[tuple[int, list[tuple[int, int]]]] = []
+        i = s = 0
+        while i < n:
+            at, found = 0, []
             for j in range(i, n):
                 at = trie[at].get(sym[j], -1)
                 if at < 0:
                     break
                 t = token_at[at]
-                if t >= 0 and state[j + 1] < 0 and allows(s, t):
-                    last[j + 1], state[j + 1] = t, target[t]
-        if state[n] < 0:
-            raise ValueError("a symbol is not in the vocabulary")
-        out = []
-        while n:
-            out.append(last[n])
-            n -= len(self.symbols(self.label[last[n]]))
-        return out[::-1]
+                if t >= 0:
+                    found.append((j + 1, t))
+            while True:
+                while found:
+                    i, t = found.pop()
+                    if seen[i]:
+                        continue
+                    cell = known(s * width + t)
+                    if allows(s, t) if cell is None else cell:
+                        break
+                else:
+                    if not way:
+                        raise ValueError("a symbol is not in the vocabulary")
+                    s, found = way.pop()
+                    ids.pop()
+                    continue
+                break
+            seen[i] = 1
+            way.append((s, found))
+            ids.append(t)
+            s = target[t]
+        return ids
 
 
 #: Fixed value: the splitter of word-end BPE files, as the vocabularies' documentation gives it.
