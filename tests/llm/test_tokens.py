@@ -104,6 +104,14 @@ def test_automaton_for_every_character(spark):
             assert said == lib.decode(e.ids, skip_special_tokens=False)
 
 
+def test_automaton_on_long_words():
+    """Paths that turn back: long runs of few letters, against the library."""
+    lib, bpe, r = Tokenizer.from_file(WORDS), bpe_automaton.WordBpe(WORDS, splitter.kinds()), random.Random(11)
+    words = ["a" * 5000, "ab" * 2500, "the" * 1000, *("".join(r.choices("aehinrst", k=r.randint(1, 200))) for _ in range(2000))]
+    for w, e in zip(words, lib.encode_batch(words, add_special_tokens=False), strict=True):
+        assert np.frombuffer(bpe.text(w)[0], "<u4").tolist() == e.ids, w
+
+
 def test_encoding_of_odd_tables(spark):
     """An empty table, null ids, and columns that clash with those that are added."""
     df = spark.createDataFrame([(None, "A b", "x", 1), (None, "A b", "x", 1)], "doc_id long, text string, ids string, decoded int")
