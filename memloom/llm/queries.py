@@ -76,6 +76,12 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), scratch(spark, "warc")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm import simhash_dedup
+
+    return simhash_dedup.linked(table(spark, sf_dir, "documents"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from memloom.llm import filter_audit
 
@@ -195,7 +201,7 @@ FROM r
 
 
 def queries() -> dict:
-    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc, op12_filter_audit, pipeline]
+    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc, op11_simhash_dedup, op12_filter_audit, pipeline]
     return {f.__name__: f for f in found}
 
 
