@@ -88,6 +88,12 @@ def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from memloom.llm import collocations
+
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -199,11 +205,35 @@ SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIG
 FROM r
 """
 
+#: All runs of one to four words counted, then cuts, containment and ranks.
+_OP13_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM p),
+n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k),
+f AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k >= 2),
+cut AS (SELECT lang, phrase, a, words, k, unnest(range(1, k)) AS at FROM c),
+s AS (
+  SELECT cut.lang, cut.phrase, cut.a, at, x.f AS l, y.f AS r, (2000000::HUGEINT * cut.a) // (x.f + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(words[1:at], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(words[at + 1:], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+inner_runs AS (
+  SELECT lang, a, array_to_string(words[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, a, words, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k)),
+longer AS (SELECT lang, phrase, max(a) AS most FROM inner_runs GROUP BY lang, phrase)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM low LEFT JOIN longer USING (lang, phrase) JOIN n USING (lang) WHERE most IS NULL OR 100 * most < 80 * a
+QUALIFY rank <= 2000
+"""
+
 
 def queries() -> dict:
-    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc, op11_simhash_dedup, op12_filter_audit, pipeline]
+    found = [op1_decontamination, op2_chat_formatting, op3_token_counts, op4_token_files, op5_bpe_automaton, op6_quality_rules, op7_sharding, op8_jaccard_join, op9_suffix_dedup, op10_warc, op11_simhash_dedup, op12_filter_audit, op13_collocations, pipeline]
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": _OP6_SQL, "op8_jaccard_join": _OP8_SQL, "op9_suffix_dedup": _OP9_SQL, "op10_warc": _OP10_SQL, "op12_filter_audit": _OP12_SQL}
+    return {"op6_quality_rules": _OP6_SQL, "op8_jaccard_join": _OP8_SQL, "op9_suffix_dedup": _OP9_SQL, "op10_warc": _OP10_SQL, "op12_filter_audit": _OP12_SQL, "op13_collocations": _OP13_SQL}
