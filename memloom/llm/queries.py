@@ -214,12 +214,12 @@ n AS (SELECT lang, sum(len(words))::BIGINT AS n FROM w GROUP BY lang),
 g AS (SELECT lang, words, k, unnest(range(1, len(words) - k + 2)) AS i FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(words) >= k),
 f AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
 c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS words, f AS a FROM f WHERE k >= 2),
-cut AS (SELECT lang, phrase, a, words, k, unnest(range(1, k)) AS at FROM c),
+cut AS (SELECT lang, phrase, a, words, k, unnest(range(1, k)) AS pos FROM c),
 s AS (
-  SELECT cut.lang, cut.phrase, cut.a, at, x.f AS l, y.f AS r, (2000000::HUGEINT * cut.a) // (x.f + y.f) AS score
-  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(words[1:at], ' ')
-  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(words[at + 1:], ' ')),
-low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+  SELECT cut.lang, cut.phrase, cut.a, pos, x.f AS l, y.f AS r, (2000000::HUGEINT * cut.a) // (x.f + y.f) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(words[1:pos], ' ')
+  JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(words[pos + 1:], ' ')),
+low AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, pos) = 1),
 inner_runs AS (
   SELECT lang, a, array_to_string(words[i:i + m - 1], ' ') AS phrase
   FROM (SELECT lang, a, words, k, m, unnest(range(1, k - m + 2)) AS i FROM c, (SELECT unnest([2, 3]) AS m) WHERE m < k)),
