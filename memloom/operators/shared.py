@@ -21,8 +21,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again; unlike a local checkpoint it outlives its executors."""
-    to = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    to = scratch(df.sparkSession, name)
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
