@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.operators.shared import scratch
+from memloom.operators.text_index import TextIndex
 from memloom.operators.vector_index import VectorIndex
 from memloom.plans.registry import query
-from memloom.plans.retrieval import VEC
-from memloom.plans.views import Tables
+from memloom.plans.retrieval import LEX, VEC
+from memloom.plans.views import TERMS, Tables
 
 
 def vectors(t: Tables) -> VectorIndex:
@@ -30,3 +31,9 @@ def ret_vector_index_many(t: Tables) -> DataFrame:
     """The ten nearest rows of every hundredth vector, searched together in the stored cells."""
     asked = t.base("embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return vectors(t).search_many(asked, 10)
+
+
+@query("SELECT id, score FROM bm25 ORDER BY score DESC, id LIMIT 10", *LEX)
+def ret_bm25_index(t: Tables) -> DataFrame:
+    """The best rows for three terms from stored postings."""
+    return TextIndex.build(t.mem().select("id", "content"), scratch(t.spark, "postings")).search(TERMS, 10)
