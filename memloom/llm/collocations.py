@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
 
@@ -35,7 +36,8 @@ from memloom.llm.common import lean, partitions, scratch, small_batches, stored
 from memloom.llm.words import PAD, Words, distinct_within, find_words, mixed, word_hash
 
 LEAST, LONGEST, TOP = 30, 4, 2000
-CHUNK, SLICE = 8_000_000, 8_000_000
+#: Bytes of text in a chunk, whose counts are one message, and in a slice of it.
+CHUNK, SLICE = 32_000_000, 16_000_000
 #: Phrases in one automaton.
 PATTERNS = 150_000
 #: Parts in which a language's candidates are ranked before they meet: what meets is TOP rows of each.
@@ -225,16 +227,21 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
             frequent = np.unique(np.concatenate(some)) if some else np.full(1, -1, np.int64)
             chunk = held[0]["chunk"]
             held.clear()
+            total: Counter[tuple[str, bytes, int]] = Counter()
             for lang, s in by_lang(read_chunk(chunk)):
                 t = Text(lang, s)
-                total = len(t.own)
+                total[lang, b"", 0] += len(t.own)
                 phrases, words = candidates(t, frequent, bits)
                 del t
-                counts = scanned(s.decode(), phrases) if phrases else []
-                out = [(lang, "", 0, total), *((lang, p.decode(), 1, n) for p, _, n in words)]
-                out += [(lang, p.decode(), k, n) for (p, k), n in zip(phrases, counts, strict=True)]
-                for k in range(0, len(out), 20_000):
-                    yield row_batch(out[k : k + 20_000], _COUNTS)
+                for p, k, n in words:
+                    total[lang, p, k] += n
+                if phrases:
+                    for (p, k), n in zip(phrases, scanned(s.decode(), phrases).tolist(), strict=True):
+                        total[lang, p, k] += n
+            out = [(lang, p.decode(), k, n) for (lang, p, k), n in sorted(total.items())]
+            total.clear()
+            for k in range(0, len(out), 20_000):
+                yield row_batch(out[k : k + 20_000], _COUNTS)
 
     every = chunks.select("chunk", F.lit(-1).cast("long").alias("fragment"), F.lit(b"").alias("data"))
     told = upper_bounds(chunks, least, bits, low).unionByName(every).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "fragment")
