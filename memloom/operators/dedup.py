@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.operators import vector
+from memloom.operators import metric_join, vector
 from memloom.operators.shared import stored
 
 
@@ -19,40 +23,12 @@ def exact_duplicates(df: DataFrame, text: str = "content", key: str = "id") -> D
     return h.join(first, ["h", "m"]).where(F.col(key) > F.col("kept")).select(key, "kept")
 
 
-#: Rows that are compared with all others at once: an all-pairs join runs in tiles of this many rows a side.
-TILE = 2000
-
-
 def similar_pairs(df: DataFrame, least: float, key: str = "id", column: str = "embedding") -> DataFrame:
-    """(a, b, similarity) of all pairs a < b with cosine similarity of `least` or more.
+    """(a, b, similarity) of all pairs a < b with cosine similarity of `least` or more, by metric_join.
 
-    Tiles bound what a task holds: each row goes to the pairs of tiles that its tile is in, and a tile pair is compared by one matrix
-    product. Vectors without a length match nothing.
+    Vectors without a length match nothing.
     """
-    import numpy as np
-    import pandas as pd
-
-    v = df.where(F.col(column).isNotNull()).select(key, column)
-    tiles = max(1, -(-v.count() // TILE))
-    v = v.withColumn("t", F.pmod(F.xxhash64(key), F.lit(tiles)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    v = v.withColumn("o", other).select(key, column, "t", F.least("t", "o").alias("one"), F.greatest("t", "o").alias("two"))
-
-    def tile(held: pd.DataFrame) -> pd.DataFrame:
-        m = np.stack(held[column].to_numpy()).astype(np.float64)
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-        first = (held["t"] == held["one"]).to_numpy()
-        left, right = np.flatnonzero(first), np.flatnonzero(~first) if held["one"].iloc[0] != held["two"].iloc[0] else np.flatnonzero(first)
-        s = m[left] @ m[right].T
-        i, j = np.nonzero(s >= least - 1e-7)
-        ids = held[key].to_numpy()
-        a, b, value = ids[left[i]], ids[right[j]], s[i, j].round(6)
-        keep = (a != b) & (value >= least) if held["one"].iloc[0] != held["two"].iloc[0] else (a < b) & (value >= least)
-        return pd.DataFrame({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep], "similarity": value[keep]})
-
-    kind = dict(df.dtypes)[key]
-    return v.groupBy("one", "two").applyInPandas(tile, f"a {kind}, b {kind}, similarity double")
+    return metric_join.similar_pairs(df, least, key, column)[0]
 
 
 def keep_first(pairs: DataFrame) -> DataFrame:
@@ -69,12 +45,10 @@ def insert_duplicates(new: DataFrame, held: DataFrame, distance: float = 0.15, h
     """Ids of new rows to leave out: a held row, or a new row before it (by id) that is inserted, is nearer than `distance` and the first
     `head` characters of one text hold the other's, at any place. Rows are (id, content, embedding); empty heads match nothing.
 
-    Later copies of a new row (head and vector) share its fate or fall to it, so they go first. The others meet all held and all new rows in
-    tiles, as in similar_pairs; a head of full length is held by equal ones only, so that only shorter ones are looked for in others.
-    Which new rows are inserted is settled in rounds: a row that none before it may still rule out stays and rules out its matches.
+    Later copies of a new row (head and vector) share its fate or fall to it, so they go first. The others meet held and new rows in
+    tiles of a metric join; of rows that are near enough the heads are compared. Which new rows are inserted is settled in rounds: a row
+    that none before it may still rule out stays and rules out its matches.
     """
-    import numpy as np
-    import pandas as pd
 
     def rows(df: DataFrame) -> DataFrame:
         return df.select("id", F.substring("content", 1, head).alias("head"), F.col("embedding").alias("v")).where("head <> '' AND v IS NOT NULL")
@@ -83,46 +57,38 @@ def insert_duplicates(new: DataFrame, held: DataFrame, distance: float = 0.15, h
     first = fresh.where(F.round(1 - vector.cosine("v", "v"), 6) < distance).groupBy("head", "v").agg(F.min("id").alias("first"))
     copies = fresh.join(first, ["head", "v"]).where("id > first").select("id")
     fresh = _cut(fresh.join(copies, "id", "left_anti"))
-    n_tiles, h_tiles = (max(1, -(-df.count() // TILE)) for df in (fresh, old))
-    at = lambda df, tiles: df.withColumn("t", F.pmod(F.xxhash64("id"), F.lit(tiles)).cast("int"))
-    to = lambda tiles: F.explode(F.sequence(F.lit(0), F.lit(tiles - 1)))
-    fresh, old = at(fresh, n_tiles), at(old, h_tiles)
-    among = fresh.withColumn("o", to(n_tiles)).select("id", "head", "v", F.lit(False).alias("against"), F.least("t", "o").alias("one"), F.greatest("t", "o").alias("two"), (F.col("t") <= F.col("o")).alias("left"))
-    ours = fresh.withColumn("o", to(h_tiles)).select("id", "head", "v", F.lit(True).alias("against"), F.col("t").alias("one"), F.col("o").alias("two"), F.lit(True).alias("left"))
-    theirs = old.withColumn("o", to(n_tiles)).select("id", "head", "v", F.lit(True).alias("against"), F.col("o").alias("one"), F.col("t").alias("two"), F.lit(False).alias("left"))
-
-    def tile(met: pd.DataFrame) -> pd.DataFrame:
-        against, alone = bool(met["against"].iloc[0]), not met["against"].iloc[0] and met["one"].iloc[0] == met["two"].iloc[0]
-        ids, on_left = met["id"].to_numpy(), met["left"].to_numpy(bool)
-        left, right = np.flatnonzero(on_left), np.flatnonzero(on_left if alone else ~on_left)
-        code, names = pd.factorize(met["head"])
-        a, b = code[left], code[right]
-        hit = a[:, None] == b[None, :]
-        for c, short in enumerate(names):
-            if len(short) < head:
-                holds = np.fromiter((short in x for x in names), bool, len(names))
-                hit[np.ix_(a == c, holds[b])] = True
-                hit[np.ix_(holds[a], b == c)] = True
-        width = met["v"].map(len).to_numpy()
-        m = np.zeros((len(met), max(1, width.max())))
-        for k, x in enumerate(met["v"]):
-            m[k, : len(x)] = x
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-        hit &= (width[left][:, None] == width[right][None, :]) & ((1 - m[left] @ m[right].T).round(6) < distance)
-        x, y = ids[left], ids[right]
-        if against:
-            out = x[(hit & (x[:, None] != y[None, :])).any(axis=1)]
-            return pd.DataFrame({"id": out, "by": out})
-        i, j = np.nonzero(hit)
-        x, y = x[i], y[j]
-        keep = x > y if alone else x != y
-        return pd.DataFrame({"id": np.maximum(x, y)[keep], "by": np.minimum(x, y)[keep]})
-
+    least = 1 - distance - 1e-6
     kind = dict(fresh.dtypes)["id"]
-    found = _cut(among.unionByName(ours).unionByName(theirs).groupBy("against", "one", "two").applyInPandas(tile, f"id {kind}, by {kind}"))
-    fell = _cut(found.where("id = by").select("id").distinct())
-    gone, left = copies.unionByName(fell), found.where("id <> by")
+
+    def report(x: pa.Table, y: pa.Table, i: np.ndarray, j: np.ndarray, s: np.ndarray, alone: bool) -> dict:
+        near = (1 - s).round(6) < distance
+        i, j = i[near], j[near]
+        names: dict[str, int] = {}
+        a, b = (np.array([names.setdefault(t, len(names)) for t in z.column("head").to_pylist()], np.int64) for z in (x, y))
+        a, b, width = a[i], b[j], len(names)
+        hit = a == b
+        # a head of full length is held by equal ones only; distinct pairs of names are compared once
+        short = np.array([len(t) < head for t in names], bool)
+        maybe = np.flatnonzero(~hit & (short[a] | short[b])) if width else np.zeros(0, np.int64)
+        code, at = np.unique(a[maybe] * width + b[maybe], return_inverse=True)
+        texts = list(names)
+        holds = np.fromiter((texts[c % width] in texts[c // width] or texts[c // width] in texts[c % width] for c in code.tolist()), bool, len(code))
+        hit[maybe] = holds[at]
+        return {"id": x.column("id").combine_chunks().take(pa.array(i[hit])), "other": y.column("id").combine_chunks().take(pa.array(j[hit]))}
+
+    nothing = fresh.select("id", F.col("id").alias("other")).where("false")
+    among, against = nothing, nothing
+    for (n,) in fresh.select(F.size("v")).distinct().collect():  # vectors of unequal length are never near; the lengths are few
+        ours, theirs = (df.where(F.size("v") == n) for df in (fresh, old))
+        pivots = metric_join.Pivots(ours.select("id", "v").unionByName(theirs.select("id", "v")), "id", "v")
+        ours, theirs = metric_join.tiles(ours, pivots, "id", "v"), metric_join.tiles(theirs, pivots, "id", "v")
+        for one, two in ((ours, ours), (ours, theirs)):
+            met = metric_join.pairs(one, two, pivots, math.acos(max(-1.0, least)), one is two)
+            found = metric_join.compared(met, pivots, "v", least, report, f"id {kind}, other {kind}").where("multiplied IS NULL AND id <> other").drop("multiplied")
+            among, against = (among.unionByName(found), against) if one is two else (among, against.unionByName(found))
+    among = among.select(F.greatest("id", "other").alias("id"), F.least("id", "other").alias("by"))
+    fell = _cut(against.select("id").distinct())
+    gone, left = copies.unionByName(fell), _cut(among)
     while True:
         left = _cut(left.join(fell, "id", "left_anti").join(fell.select(F.col("id").alias("by")), "by", "left_anti"))
         if left.isEmpty():

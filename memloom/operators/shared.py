@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -31,3 +32,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     to = scratch(df.sparkSession, name)
     df.write.parquet(to)
     return df.sparkSession.read.schema(df.schema).parquet(to)
+
+
+def make_dir(spark: SparkSession, path: str) -> None:
+    """Make a folder of the shared store."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
+
+
+def store_of(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """The file system of a shared path as an executor's Python sees it, and the path in it."""
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return pyarrow.fs.FileSystem.from_uri(uri)

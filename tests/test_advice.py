@@ -8,7 +8,7 @@ import random
 import numpy as np
 import pytest
 
-from memloom.operators import dedup
+from memloom.operators import dedup, metric_join
 from memloom.plans import registry
 from memloom.plans.views import EVENT_RELATIONS, WEIGHTS
 
@@ -93,5 +93,5 @@ def test_insert_duplicates_are_brute_force(spark, monkeypatch):
             want.add(i)
         else:
             kept.append((i, t, x))
-    monkeypatch.setattr(dedup, "TILE", 25)
+    monkeypatch.setattr(metric_join, "TILE", 25)
     assert {x.id for x in dedup.insert_duplicates(*df).collect()} == want and {92, 93} <= want

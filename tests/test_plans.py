@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from memloom.functions import decay
 from memloom.functions import entities as ent
 from memloom.functions import text as fn
-from memloom.operators import chunker, compress, dedup, filters, fusion, graph, models, profile
+from memloom.operators import chunker, compress, dedup, filters, fusion, graph, models, profile, metric_join
 from memloom.plans import intent
 
 NOW = dt.datetime(2024, 1, 31, 15, 30, 45)  # a Wednesday
@@ -167,7 +167,7 @@ def test_similar_pairs_in_tiles(spark, monkeypatch):
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, [0.0] * 4), (98, None)], "id long, embedding array<double>")
     n = v / np.linalg.norm(v, axis=1, keepdims=True)
     want = {(i, j) for i in range(60) for j in range(i + 1, 60) if round(float(n[i] @ n[j]), 6) >= 0.8}
-    monkeypatch.setattr(dedup, "TILE", 7)
+    monkeypatch.setattr(metric_join, "TILE", 7)
     assert {(r.a, r.b) for r in dedup.similar_pairs(df, 0.8).collect()} == want
     dropped = dedup.keep_first(dedup.similar_pairs(df, 0.8))
     assert {r.dropped for r in dropped.collect()} == {j for _, j in want}
