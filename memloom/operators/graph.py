@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators.skew import product_join
+
 #: Relation types with the opposite of each and whether it is transitive.
 RELATIONS = {
     "合作": ("竞争", True), "竞争": ("合作", False), "认识": (None, True), "雇佣": ("被雇佣", False), "管理": ("被管理", True), "任职于": (None, False), "拥有资产": (None, False), "亲属": (None, True),
@@ -75,11 +77,14 @@ def _is(relations: list[str]) -> Column:
 
 
 def infer(kg: DataFrame, transitive: list[str], factor: float = 0.8) -> DataFrame:
-    """Edges that transitive relations imply and no edge of any relation states: confidence min * factor, the best of several."""
+    """Edges that transitive relations imply and no edge of any relation states: confidence min * factor, the best of several.
+
+    A node that many edges reach and leave is a heavy key of the join, dealt over a grid of tasks.
+    """
     t = kg.where(_is(transitive))
     a = t.select(F.col("source").alias("source"), "relation", F.col("target").alias("mid"), F.col("confidence").alias("c1"))
     b = t.select(F.col("source").alias("mid"), "relation", F.col("target").alias("target"), F.col("confidence").alias("c2"))
-    new = a.join(b, ["mid", "relation"]).where("source <> target").groupBy("source", "relation", "target").agg(F.round(F.max(F.least("c1", "c2") * factor), 6).alias("confidence"))
+    new = product_join(a, b, ["mid", "relation"], "source", "target").where("source <> target").groupBy("source", "relation", "target").agg(F.round(F.max(F.least("c1", "c2") * factor), 6).alias("confidence"))
     return new.join(kg.select("source", "target").distinct(), ["source", "target"], "left_anti").select("source", "relation", "target", "confidence")
 
 
@@ -106,10 +111,10 @@ def merged(kg: DataFrame, names: list[str], canonical: str) -> DataFrame:
 
 
 def co_occurrence(mentions: DataFrame, group: str, name: str, least: int = 1) -> DataFrame:
-    """(a, b, n): unordered pairs of names that share a group. Groups are texts, whose entities are few."""
+    """(a, b, n): unordered pairs of names that share a group; a group of very many names is dealt over a grid of tasks."""
     m = mentions.select(group, name).distinct()
     a, b = m.withColumnRenamed(name, "a"), m.withColumnRenamed(name, "b")
-    return a.join(b, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return product_join(a, b, [group], "a", "b").where("a < b").groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
 
 
 def hebbian(pairs: DataFrame, kg: DataFrame, least: int = 3, relation: str = "相关") -> DataFrame:

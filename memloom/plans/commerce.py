@@ -36,15 +36,19 @@ FROM (SELECT user_id, product_id, round(sum(weight), 6) AS weight FROM up GROUP
 f AS (SELECT * FROM r WHERE NOT EXISTS (SELECT 1 FROM up WHERE up.user_id = r.user_id AND up.product_id = r.product_id AND up.relation = 'purchased'))"""
 
 
-@query(f"WITH {_REC} SELECT user_id, product_id, score FROM f", "up", "pp")
+def recommended(t: Tables, up: DataFrame, most: int) -> DataFrame:
+    return commerce.recommend_best(up, t.brands(), t.pp_near(), commerce.MULTIPLIERS["similar"], most)
+
+
+@query(f"WITH {_REC} SELECT user_id, product_id, score FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY score DESC, product_id) <= 20", "up", "pp")
 def com_recommend(t: Tables) -> DataFrame:
-    return commerce.recommend(t.up_edges(), t.pp_edges(t.up_edges()))
+    """Each user's best twenty over all products; a brand's products are related through the brand, pair by pair nowhere."""
+    return recommended(t, t.up_edges(), 20)
 
 
 @query(f"WITH {_REC} SELECT f.product_id, score, name, brand, price FROM f LEFT JOIN products USING (product_id) WHERE user_id = 7 ORDER BY score DESC, product_id LIMIT 10", "up", "pp", "products")
 def com_recommend_enriched(t: Tables) -> DataFrame:
-    mine = F.col("user_id") == 7
-    best = vector.top_k(commerce.recommend(t.up_edges(), t.pp_edges(t.up_edges().where(mine)), mine).select("product_id", "score"), 10, F.desc("score"), tie="product_id")
+    best = recommended(t, t.up_edges().where("user_id = 7"), 10).select("product_id", "score")
     return best.join(t.base("part").select(F.col("p_partkey").alias("product_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("brand"), F.col("p_retailprice").alias("price")), "product_id", "left")
 
 

@@ -77,6 +77,15 @@ class Tables:
         pick = lambda d, r: d.select(F.col("a_p_partkey").alias("source"), F.lit(r).alias("relation"), F.col("b_p_partkey").alias("target"), F.lit(1.0).alias("weight"))
         return pick(same, "similar").unionByName(pick(near, "complementary"))
 
+    def pp_near(self) -> DataFrame:
+        """The relations of pp_edges between neighbouring keys; those of one brand are `brands`."""
+        p = self.base("part").select("p_partkey", "p_type")
+        beside = p.select("p_type", F.col("p_partkey").alias("source"), F.explode(F.array(F.col("p_partkey") - 1, F.col("p_partkey") + 1)).alias("p_partkey"))
+        return beside.join(p, ["p_partkey", "p_type"]).select("source", F.lit("complementary").alias("relation"), F.col("p_partkey").alias("target"), F.lit(1.0).alias("weight"))
+
+    def brands(self) -> DataFrame:
+        return self.base("part").select(F.col("p_partkey").alias("product_id"), F.col("p_brand").alias("grp"))
+
     def pp_counts(self) -> DataFrame:
         """(product_id, related): how many pp_edges leave each product, from brands' sizes and neighbours; no pairs of a brand are listed."""
         p = self.base("part").select("p_partkey", "p_brand", "p_type")
