@@ -1,12 +1,13 @@
 """Phrase collocations by language: exact counts of frequent phrases of two to four words, scored and thinned.
 
-1. Documents lie in chunk files. A chunk hashes its runs of one to four words to the cells of a sketch, of about one cell for each byte of all
-   texts, and sends each cell's count, as much as LEAST, with the cells of one fragment of the sketch in one row.
+1. Documents lie in chunk files. A chunk hashes its runs of one to four words to the cells of a sketch, of a cell or two for every two bytes of
+   all texts, and sends each cell's count, as much as LEAST, with the cells of one fragment of the sketch in one row.
 2. A fragment adds up its cells. A cell's sum bounds the count of every phrase in it from above; the cells that reach LEAST go back to the
    chunks that have them. No phrase at or above LEAST can be lost; a few rare ones that share a cell with a frequent one come along.
 3. A chunk compiles its own phrases in such cells to Aho-Corasick automata of bounded size, guarded by delimiters, so that matches are whole
-   words, and scans its pieces for all overlapping matches. Words are counted by their number. Sums over chunks are exact counts; the
-   threshold is applied to these, and scores, containment and ranks are DataFrame plans over what is left.
+   words, and scans its pieces for all overlapping matches. Words are counted by their number. A chunk sends its counts packed, in one row
+   for each share of the phrases' hash range; sums over chunks are exact counts. The threshold is applied to these, and scores,
+   containment and ranks are DataFrame plans over what is left.
 
 An automaton holds only phrases of its own chunk, so that neither memory nor messages depend on how many candidates the corpus has. Scores
 are whole numbers by decimals of 38 digits.
@@ -24,6 +25,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from operator import itemgetter
+from zlib import crc32
 
 import ahocorasick
 import numpy as np
@@ -37,7 +39,9 @@ from memloom.llm.words import PAD, Words, distinct_within, find_words, mixed, wo
 
 LEAST, LONGEST, TOP = 30, 4, 2000
 #: Bytes of text in a chunk, whose counts are one message, and in a slice of it.
-CHUNK, SLICE = 32_000_000, 16_000_000
+CHUNK, SLICE = 16_000_000, 16_000_000
+#: Bytes of text for each share of the phrases, whose counts are summed together.
+SHARE = 4_000_000
 #: Phrases in one automaton.
 PATTERNS = 150_000
 #: Parts in which a language's candidates are ranked before they meet: what meets is TOP rows of each.
@@ -97,8 +101,8 @@ class Text:
 
 
 def sketch_bits(n_bytes: int) -> tuple[int, int]:
-    """Bits of a cell's number, for about one cell for each byte of text; and of its number within a fragment."""
-    bits = min(60, max(16, math.ceil(math.log2(max(1, n_bytes)))))
+    """Bits of a cell's number, for a cell or two for every two bytes of text; and of its number within a fragment."""
+    bits = min(60, max(16, math.ceil(math.log2(max(1, n_bytes))) - 1))
     return bits, min(bits, max(16, min(26, bits // 2 + 7)))
 
 
@@ -209,6 +213,7 @@ def scanned(text: str, phrases: list[tuple[bytes, int]]) -> np.ndarray:
     return counts
 
 
+_SHARES = "share int, lang string, data binary"
 _COUNTS = "lang string, phrase string, k int, n long"
 
 
@@ -219,7 +224,9 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
     small_batches(spark)
     asked = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     chunks = chunked(asked, scratch(spark, "collocations"), CHUNK)
-    bits, low = sketch_bits(int(chunks.agg(F.sum("n_bytes")).first()[0] or 0))
+    n_bytes = int(chunks.agg(F.sum("n_bytes")).first()[0] or 0)
+    bits, low = sketch_bits(n_bytes)
+    shares = max(16, min(1 << 30, n_bytes // SHARE))
 
     def scan(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in groups(rows, "chunk"):
@@ -227,38 +234,57 @@ def counted(docs: DataFrame, least: int = LEAST) -> DataFrame:
             frequent = np.unique(np.concatenate(some)) if some else np.full(1, -1, np.int64)
             chunk = held[0]["chunk"]
             held.clear()
-            total: Counter[tuple[str, bytes, int]] = Counter()
+            total: Counter[tuple[str, bytes]] = Counter()
             for lang, s in by_lang(read_chunk(chunk)):
                 t = Text(lang, s)
-                total[lang, b"", 0] += len(t.own)
+                total[lang, b""] += len(t.own)
                 phrases, words = candidates(t, frequent, bits)
                 del t
-                for p, k, n in words:
-                    total[lang, p, k] += n
+                for p, _, n in words:
+                    total[lang, p] += n
                 if phrases:
-                    for (p, k), n in zip(phrases, scanned(s.decode(), phrases).tolist(), strict=True):
-                        total[lang, p, k] += n
-            out = [(lang, p.decode(), k, n) for (lang, p, k), n in sorted(total.items())]
+                    for (p, _), n in zip(phrases, scanned(s.decode(), phrases).tolist(), strict=True):
+                        total[lang, p] += n
+            parts: dict[tuple[str, int], list[bytes]] = {}
+            for (lang, p), n in sorted(total.items()):
+                parts.setdefault((lang, crc32(p) % shares), []).append(b"%b\t%d" % (p, n))
             total.clear()
+            out = [(share, lang, packed(b"\n".join(lines))) for (lang, share), lines in parts.items()]
+            for k in range(0, len(out), 64):
+                yield row_batch(out[k : k + 64], _SHARES)
+
+    def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in groups(rows, "share"):
+            total: dict[str, dict[bytes, int]] = {}
+            for r in held:
+                own = total.setdefault(r["lang"], {})
+                for line in unpacked(r["data"]).split(b"\n"):
+                    p, _, n = line.rpartition(b"\t")
+                    own[p] = own.get(p, 0) + int(n)
+            held.clear()
+            out = [(lang, p.decode(), p.count(b" ") + 1 if p else 0, n) for lang, own in total.items() for p, n in own.items() if n >= least or not p]
             for k in range(0, len(out), 20_000):
                 yield row_batch(out[k : k + 20_000], _COUNTS)
 
     every = chunks.select("chunk", F.lit(-1).cast("long").alias("fragment"), F.lit(b"").alias("data"))
     told = upper_bounds(chunks, least, bits, low).unionByName(every).repartition(partitions(spark), "chunk").sortWithinPartitions("chunk", "fragment")
-    partial = told.mapInArrow(lean(scan), _COUNTS)
-    return partial.groupBy("lang", "phrase", "k").agg(F.sum("n").alias("n")).where((F.col("n") >= least) | (F.col("k") == 0))
+    sent = told.mapInArrow(lean(scan), _SHARES).repartition(partitions(spark), "share").sortWithinPartitions("share")
+    return sent.mapInArrow(lean(add), _COUNTS)
 
 
 def scored(f: DataFrame) -> DataFrame:
     """(lang, phrase, a, l, r, score) of each candidate at its lowest cut; f as `counted` has it."""
     words = F.split("phrase", " ")
     cuts = F.transform(F.sequence(F.lit(1), F.col("k") - 1), lambda c: F.struct(c.alias("cut"), F.array_join(F.slice(words, F.lit(1), c), " ").alias("head"), F.array_join(F.slice(words, c + 1, F.col("k") - c), " ").alias("tail")))
-    c = f.where("k >= 2").select("lang", "phrase", F.col("n").alias("a"), F.explode(cuts).alias("x")).select("lang", "phrase", "a", "x.*")
-    part = lambda name, to: f.where(f"k BETWEEN 1 AND {LONGEST - 1}").select("lang", F.col("phrase").alias(name), F.col("n").alias(to))
-    c = c.join(part("head", "l"), ["lang", "head"]).join(part("tail", "r"), ["lang", "tail"])
-    c = c.withColumn("score", F.expr("(CAST(2000000 AS DECIMAL(38, 0)) * a) DIV (CAST(l AS DECIMAL(38, 0)) + r)"))
-    low = c.groupBy("lang", "phrase").agg(F.min(F.struct("score", "cut", "a", "l", "r")).alias("x"))
-    return low.select("lang", "phrase", "x.a", "x.l", "x.r", "x.score")
+    both = lambda x: F.array(F.struct(x["cut"].alias("cut"), F.lit(True).alias("first"), x["head"].alias("part")), F.struct(x["cut"].alias("cut"), F.lit(False).alias("first"), x["tail"].alias("part")))
+    c = f.where("k >= 2").select("lang", "phrase", F.col("n").alias("a"), F.explode(F.flatten(F.transform(cuts, both))).alias("x")).select("lang", "phrase", "a", "x.*")
+    parts = f.where(f"k BETWEEN 1 AND {LONGEST - 1}").select("lang", F.col("phrase").alias("part"), F.col("n").alias("f"))
+    each = c.join(parts, ["lang", "part"]).groupBy("lang", "phrase")
+    side = lambda k, first: F.max(F.when((F.col("cut") == k) & (F.col("first") == first), F.col("f")))
+    got = each.agg(F.first("a").alias("a"), *(side(k, x).alias(f"{'l' if x else 'r'}{k}") for k in range(1, LONGEST) for x in (True, False)))
+    at = lambda k: F.expr(f"(CAST(2000000 AS DECIMAL(38, 0)) * a) DIV (CAST(l{k} AS DECIMAL(38, 0)) + r{k})")
+    low = F.array_min(F.array(*(F.when(F.col(f"l{k}").isNotNull(), F.struct(at(k).alias("score"), F.lit(k).alias("cut"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r"))) for k in range(1, LONGEST))))
+    return got.withColumn("x", low).select("lang", "phrase", "a", "x.l", "x.r", "x.score")
 
 
 def covering(f: DataFrame) -> DataFrame:
