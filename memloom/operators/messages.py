@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from memloom.functions import text as fn
+from memloom.operators import scan
 
 
 def imported(msg: DataFrame, least: int = 10) -> DataFrame:
@@ -22,11 +23,15 @@ def titles(msg: DataFrame) -> DataFrame:
 
 
 def blocks(msg: DataFrame, cut: int = 500, least: int = 30) -> DataFrame:
-    """Question and answer: a block ends at each assistant message. Texts are cut; short blocks go. Work is a session at a time."""
-    before = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    b = F.coalesce(F.sum((F.col("role") == "assistant").cast("int")).over(before), F.lit(0))
+    """Question and answer: a block ends at each assistant message. Texts are cut; short blocks go.
+
+    A message's block is the number of assistant messages at smaller turns of its session, summed stretch by stretch, so that a session of
+    any length is many tasks. Equal turns share a block, in the order of their lines. What a task holds is a block.
+    """
+    said = msg.where(F.col("role").isin("user", "assistant"))
+    before = scan.running_before(said, "session_id", "turn", (F.col("role") == "assistant").cast("int"), "block")
     line = F.concat_ws(": ", "role", F.substring("content", 1, cut))
-    held = msg.where(F.col("role").isin("user", "assistant")).withColumn("block", b.cast("int")).groupBy("session_id", "block")
+    held = said.join(before, ["session_id", "turn"]).withColumn("block", F.col("block").cast("int")).groupBy("session_id", "block")
     out = held.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))), lambda x: x["line"]), "\n").alias("text"), F.count("*").alias("messages"))
     return out.where(F.length("text") >= least)
 

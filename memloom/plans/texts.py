@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as fn
 from memloom.functions import entities
-from memloom.operators import compress, lexical, matcher, vector
+from memloom.operators import compress, lexical, matcher, scan, vector
 from memloom.plans.registry import query
 from memloom.plans.views import Tables
 
@@ -175,5 +175,5 @@ SELECT session_id, id AS turn, used, total FROM f WHERE i > 0 AND going""",
 def cmp_budget(t: Tables) -> DataFrame:
     """The budget's fold over each session's messages: compress, retry harder, stop."""
     page = t.msg().select("session_id", F.col("turn").alias("id"), "content")
-    folded = compress.budget(page, 300, F.col("id"), compress.truncate("content", 120), compress.truncate("content", 60), "session_id")
+    folded = scan.budget(page, 300, F.col("id"), compress.truncate("content", 120), compress.truncate("content", 60), "session_id")
     return folded.select("session_id", F.col("id").alias("turn"), F.length("text").cast("long").alias("used"), "total")
