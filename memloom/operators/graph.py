@@ -1,7 +1,7 @@
 """Knowledge-graph operators over triples (source, relation, target, confidence).
 
-Traversals are loops of equi-joins on a frontier that only grows by new nodes; each level's frontier is written to the shared
-folder when a checkpoint folder is set, so plans stay short. Depth is a small constant of the query.
+Traversals are loops of equi-joins on a frontier that only grows by new nodes; each round's frontier is written to the shared
+folder, so that plans stay short at any depth.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators.shared import stored
 from memloom.operators.skew import product_join
 
 #: Relation types with the opposite of each and whether it is transitive.
@@ -47,29 +48,67 @@ def _both(kg: DataFrame, directed: bool) -> DataFrame:
 
 
 def k_hop(kg: DataFrame, start: str, depth: int, directed: bool = False) -> DataFrame:
-    """(name, distance): breadth first, so the distance is the shortest; the start is left out."""
-    edges = _both(kg, directed)
-    seen = kg.sparkSession.range(1).select(F.lit(start).alias("name"), F.lit(0).alias("distance"))
-    frontier = seen
+    """(name, distance): breadth first, so the distance is the shortest; the start is left out.
+
+    Each round's new nodes are stored, so that plans stay short at any depth; rounds end when there are none.
+    """
+    edges = stored(_both(kg, directed), "edges")
+    seen = frontier = kg.sparkSession.range(1).select(F.lit(start).alias("name"), F.lit(0).alias("distance"))
     for d in range(1, depth + 1):
-        step = frontier.join(edges, frontier["name"] == edges["u"]).select(F.col("v").alias("name")).distinct()
-        frontier = step.join(seen.select("name"), "name", "left_anti").withColumn("distance", F.lit(d))
+        frontier = _next(frontier, edges, seen).withColumn("distance", F.lit(d))
+        frontier = stored(frontier, "frontier")
+        if frontier.isEmpty():
+            break
         seen = seen.unionByName(frontier)
     return seen.where("distance > 0")
 
 
+def _next(frontier: DataFrame, edges: DataFrame, seen: DataFrame) -> DataFrame:
+    """Nodes one edge from the frontier that weren't seen before."""
+    step = frontier.join(edges, F.col("name") == F.col("u")).select(F.col("v").alias("name")).distinct()
+    return step.join(seen.select("name"), "name", "left_anti")
+
+
 def shortest_paths(kg: DataFrame, start: str, end: str, most: int, directed: bool = False) -> DataFrame:
-    """(hops, path) of every shortest simple path of at most `most` edges."""
-    edges = _both(kg, directed)
-    paths = kg.sparkSession.range(1).select(F.array(F.lit(start)).alias("path"))
-    found = None
-    for d in range(1, most + 1):
-        last = F.element_at("path", -1)
-        open_ = paths.where(last != end)
-        paths = open_.join(edges, last == edges["u"]).where(~F.array_contains("path", F.col("v"))).select(F.concat("path", F.array("v")).alias("path"))
-        hit = paths.where(F.element_at("path", -1) == end).select(F.lit(d).alias("hops"), "path")
-        found = hit if found is None else found.unionByName(hit)
-    return found.join(F.broadcast(found.agg(F.min("hops").alias("hops"))), "hops").select("hops", "path")  # one row
+    """(hops, path) of every shortest path of at most `most` edges between two different nodes.
+
+    Breadth first from both ends, each time from the smaller frontier, every round stored. When the two meet, the rounds are walked back
+    from where they met: what is left are the edges of shortest paths alone, and paths are put together along them, with no dead ends.
+    """
+    spark = kg.sparkSession
+    edges = stored(_both(kg, directed), "edges")
+    back = edges.select(F.col("v").alias("u"), F.col("u").alias("v"))
+    one = lambda x: stored(spark.range(1).select(F.lit(x).alias("name")), "frontier")
+    rounds, sizes, ways = ([one(start)], [one(end)]), [1, 1], (edges, back)
+    met = None
+    while start != end and met is None and len(rounds[0]) + len(rounds[1]) - 2 < most:
+        side = 0 if sizes[0] <= sizes[1] else 1
+        own, other = rounds[side], rounds[1 - side]
+        seen = own[0]
+        for r in own[1:]:
+            seen = seen.unionByName(r)
+        new = stored(_next(own[-1], ways[side], seen), "frontier")
+        sizes[side] = new.count()
+        if not sizes[side]:
+            break
+        own.append(new)
+        both = stored(new.join(other[-1], "name", "left_semi"), "met")
+        met = both if not both.isEmpty() else None
+    if met is None:
+        return spark.createDataFrame([], "hops int, path array<string>")
+    steps: list[DataFrame] = []
+    for side in (0, 1):  # from the meeting nodes back to each end, by the edges between a round and the one before it
+        held, walked = met, []
+        for r in reversed(rounds[side][:-1]):
+            e = ways[side].join(r.select(F.col("name").alias("u")), "u").join(held.select(F.col("name").alias("v")), "v")
+            e = stored(e.select("u", "v"), "steps")
+            walked.append(e)
+            held = e.select(F.col("u").alias("name")).distinct()
+        steps = [*reversed(walked)] if side == 0 else steps + [e.select(F.col("v").alias("u"), F.col("u").alias("v")) for e in walked]
+    paths = spark.range(1).select(F.array(F.lit(start)).alias("path"))
+    for e in steps:
+        paths = paths.join(e, F.element_at("path", -1) == F.col("u")).select(F.concat("path", F.array("v")).alias("path"))
+    return paths.select(F.lit(len(steps)).alias("hops"), "path")
 
 
 def _is(relations: list[str]) -> Column:

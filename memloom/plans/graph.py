@@ -96,6 +96,35 @@ def kg_shortest_path(t: Tables) -> DataFrame:
     return graph.shortest_paths(t.kg(), "NATION_18", "NATION_3", 4).select("hops", F.array_join("path", " > ").alias("path"))
 
 
+_STRONG = """e0 AS (SELECT source AS u, target AS v FROM kg_ev WHERE confidence >= 0.4), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+h AS (SELECT (SELECT min(u) FROM e0) AS name, 0 AS d UNION SELECT v, d + 1 FROM h JOIN e ON u = name WHERE d < 10),
+m AS (SELECT name, min(d)::INT AS distance FROM h WHERE name IS NOT NULL GROUP BY name)"""
+
+
+def strong(t: Tables) -> tuple[DataFrame, str | None]:
+    """The sparse graph of strong edges between users and items, and its first user."""
+    e = t.kg_ev().where("confidence >= 0.4")
+    return e, e.agg(F.min("source")).first()[0]
+
+
+@query(f"WITH RECURSIVE {_STRONG} SELECT name, distance FROM m WHERE distance > 0", "kg_ev")
+def kg_khop_deep(t: Tables) -> DataFrame:
+    """What ten strong edges or fewer reach from a user."""
+    e, start = strong(t)
+    return graph.k_hop(e, start or "", 10)
+
+
+@query(
+    f"WITH RECURSIVE {_STRONG}, far AS (SELECT name, distance FROM m ORDER BY distance DESC, name LIMIT 1), p AS (SELECT [name] AS path, distance AS d FROM m WHERE distance = 0 UNION ALL SELECT list_append(path, v), d + 1 FROM p JOIN e ON u = path[-1] JOIN m ON m.name = v AND m.distance = d + 1) SELECT distance AS hops, array_to_string(path, ' > ') AS path FROM p JOIN far ON path[-1] = far.name AND d = far.distance WHERE d > 0",
+    "kg_ev",
+)
+def kg_shortest_deep(t: Tables) -> DataFrame:
+    """Every shortest path from a user to the farthest node that ten strong edges reach."""
+    e, start = strong(t)
+    far = graph.k_hop(e, start or "", 10).orderBy(F.desc("distance"), "name").first()
+    return graph.shortest_paths(e, start or "", far.name if far else "", 10).select("hops", F.array_join("path", " > ").alias("path"))
+
+
 _INFER = "SELECT a.source, a.relation, b.target, round(max(least(a.confidence, b.confidence) * 0.8e0), 6) AS confidence FROM {0} a JOIN {0} b ON a.target = b.source AND a.relation = b.relation WHERE a.source <> b.target AND NOT EXISTS (SELECT 1 FROM {0} x WHERE x.source = a.source AND x.target = b.target) GROUP BY ALL"
 _PLACES = "g AS (SELECT source, 'in' AS relation, target, confidence FROM kg)"
 
