@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memloom.operators import matcher
+from memloom.operators.skew import top_per
+
 #: Characters kept of a memory's raw conversation, and of its context.
 RAW, CONTEXT = 10_000, 500
 
@@ -56,3 +59,16 @@ def imported(held: DataFrame, new: DataFrame, mode: str = "merge", key: str = "i
         return first.select("_r.*")
     fresh = first.join(held.where(F.col(text) != "").select(h.alias("_h")), "_h", "left_anti").select("_r.*")
     return held.unionByName(fresh.join(held.select(key), key, "left_anti"), allowMissingColumns=True)
+
+
+#: Contents of a session that the background stage reads, and the length that they must pass.
+CONTENTS, LONGER = 5, 20
+
+
+def background_entities(said: DataFrame, agent: Column) -> DataFrame:
+    """(entity_id, name, type, confidence) from the first CONTENTS user contents of each session (session_id, turn, content) longer than
+    LONGER characters: by the rules, once for each session; ids are agent, name and type."""
+    long = said.where(F.length("content") > LONGER).withColumn("_agent", agent.cast("string"))
+    first = top_per(long, ["session_id"], CONTENTS, [F.col("turn"), F.col("content")], "turn").select("_agent", "content")
+    found = matcher.entities(first, "_agent", "content").select("_agent", "name", "type").distinct()
+    return found.select(F.concat_ws("_", "_agent", "name", "type").alias("entity_id"), "name", "type", F.lit(0.7).alias("confidence"))

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memloom.operators import models, stores
+from memloom.operators import builders, chunker, models, stores
+from memloom.operators.buckets import BucketTable
+from memloom.operators.shared import scratch
+from memloom.plans import texts
+from memloom.plans.knowledge import _WIN
 from memloom.plans.registry import query
 from memloom.plans.views import REF_TIME, Tables
+from memloom.streaming import enrich
 
 
 @query("SELECT md5(conv_id || ':' || turn) AS id, role, substr(coalesce(string_agg, ''), 1, 10000) AS raw_conversation, substr(coalesce(text, ''), 1, 500) AS context FROM (SELECT *, repeat(text, 30) AS string_agg FROM conversations)")
@@ -80,6 +85,88 @@ def fact_merge(t: Tables) -> DataFrame:
     return models.merged_facts(f.where("event_type = 'view'").select("owner", "fact"), f.where("event_type = 'purchase'").select("owner", "fact"), told)
 
 
+_TOXIC = "SELECT doc_id FROM labels WHERE toxic = 1"
+
+
+@query(f"WITH {_WIN} SELECT document_id, count(*) AS chunks, sum(length(content))::BIGINT AS n_chars FROM win WHERE document_id NOT IN ({_TOXIC}) GROUP BY document_id", "mem")
+def kb_delete_doc(t: Tables) -> DataFrame:
+    """Chunks of a bucketed knowledge base after its toxic documents are deleted; only their buckets are rewritten."""
+    chunks = chunker.windows(t.mem(), "id", "content").select(F.col("id").alias("document_id"), "chunk_index", "content")
+    kb = BucketTable.create(chunks, scratch(t.spark, "kb"), "document_id")
+    kb.delete(t.base("labels").where("toxic = 1").select(F.col("doc_id").alias("document_id")))
+    return kb.rows().groupBy("document_id").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+
+
+@query("SELECT user_id, name, total_orders, total_spent FROM users WHERE total_orders > 0", "users")
+def profile_delete(t: Tables) -> DataFrame:
+    """Profiles after those without an order are deleted from a bucketed table."""
+    users = t.users().select("user_id", "name", "total_orders", "total_spent")
+    held = BucketTable.create(users, scratch(t.spark, "profiles"), "user_id")
+    held.delete(users.where("total_orders = 0").select("user_id"))
+    return held.rows()
+
+
+@query("SELECT p_partkey AS product_id, p_retailprice AS price, coalesce(i.stock, 0e0) AS stock, coalesce(i.related, []) AS related FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity) AS stock, list_sort(list(DISTINCT l_suppkey)) AS related FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey) i ON l_partkey = p_partkey")
+def com_inventory(t: Tables) -> DataFrame:
+    """Products whose inventory and relations are patched in place by what came back, and from which suppliers."""
+    base = t.base("part").select(F.col("p_partkey").alias("product_id"), F.col("p_retailprice").alias("price"), F.lit(0.0).alias("stock"), F.expr("CAST(array() AS array<bigint>)").alias("related"))
+    held = BucketTable.create(base, scratch(t.spark, "products"), "product_id")
+    back = t.base("lineitem").where("l_returnflag = 'R'").groupBy(F.col("l_partkey").alias("product_id"))
+    held.patch(back.agg(F.sum("l_quantity").alias("stock"), F.array_sort(F.collect_set("l_suppkey")).alias("related")))  # suppliers of a part are few
+    return held.rows()
+
+
+@query(
+    f"""WITH u AS (SELECT session_id, content FROM msg WHERE role = 'user' AND length(content) > 20 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY turn) <= 5),
+m AS (SELECT session_id, regexp_replace(content, '[^\\x00-\\x7F]', ' ', 'g') AS c FROM u), w AS (SELECT unnest({texts._TERMS}) AS w),
+e AS (SELECT session_id, w[2] AS name, w[1] AS type FROM m, w WHERE contains(CASE WHEN w[1] = 'technology' THEN lower(c) ELSE c END, w[3])
+UNION SELECT session_id, name, 'person' FROM (SELECT session_id, unnest(regexp_extract_all(c, {texts._SPAN}, 1)) AS name FROM m) WHERE length(name) > 2 AND name NOT IN ({texts._NAMES}))
+SELECT 's' || session_id || '_' || name || '_' || type AS entity_id, name, type, 0.7e0 AS confidence FROM e""",
+    "msg",
+)
+def kg_background(t: Tables) -> DataFrame:
+    """Entities that the background stage stores: of a session's first five longer messages of its user, under ids of session, name and type."""
+    said = t.msg().where("role = 'user'").select("session_id", "turn", F.regexp_replace("content", r"[^\x00-\x7F]", " ").alias("content"))
+    return stores.background_entities(said, F.concat(F.lit("s"), "session_id"))
+
+
+@query(
+    r"""WITH s AS (SELECT session_id || ':' || turn AS id, list_filter(list_transform(regexp_split_to_array(content, '[。！？\n.!?]'), lambda x: trim(x)), lambda x: x <> '') AS x FROM msg),
+f AS (SELECT id, list_slice(list_filter(list_transform(x, lambda y: substr(y, 1, 50)), lambda y, i: list_position(list_transform(x, lambda z: substr(z, 1, 50)), y) = i), 1, 5) AS facts FROM s),
+w AS (SELECT id, facts, list_transform(facts, lambda y: least(0.5e0 + CASE WHEN regexp_matches(y, '[0-9]+') THEN 0.1e0 ELSE 0e0 END + CASE WHEN regexp_matches(y, '公司|项目|版本|姓名|电话|邮箱') THEN 0.2e0 ELSE 0e0 END + CASE WHEN regexp_matches(y, '决定|选择|使用|采用') THEN 0.15e0 ELSE 0e0 END, 1e0)) AS weights FROM f WHERE len(facts) > 0)
+SELECT id, array_to_string(facts[1:3], '; ') AS summary, array_to_string(facts, ' | ') AS facts, array_to_string(facts[1:6], ' | ') AS keywords, round(list_sum(weights) / len(weights), 6) AS importance FROM w""",
+    "msg",
+)
+def mem_enriched(t: Tables) -> DataFrame:
+    """Summary, facts, keywords and mean importance of every message, by rules."""
+    m = t.msg().select(F.concat_ws(":", "session_id", "turn").alias("id"), "content")
+    return enrich.by_rules(m).select("id", "summary", F.array_join("facts", " | ").alias("facts"), F.array_join("keywords", " | ").alias("keywords"), "importance")
+
+
+_SAID = """a AS (SELECT session_id, turn, regexp_extract(content, '[A-Z][a-z]+') AS brand, length(content) > 200 AS long, role FROM msg WHERE role IN ('user', 'assistant')),
+v AS (SELECT session_id, turn, 'basic' AS grp, 'region' AS field, [role] AS value FROM a UNION ALL SELECT session_id, turn, 'interests', 'preferred_brands', [brand] FROM a WHERE brand <> ''
+UNION ALL SELECT session_id, turn, 'consumption', 'price_sensitivity', [CASE WHEN long THEN 'high' ELSE 'low' END] FROM a)"""
+
+
+@query(f"WITH {_SAID} SELECT session_id, grp, field, arg_max(value, turn)[1] AS value, 's' || session_id || ':' || max(turn) AS source FROM v GROUP BY session_id, grp, field", "msg")
+def profile_from_talk(t: Tables) -> DataFrame:
+    """Profile fields with their sources from structured answers to every turn; answers are JSON in prose, put together from the turn itself."""
+    said = t.msg().where("role IN ('user', 'assistant')")
+    brand = F.regexp_extract("content", "[A-Z][a-z]+", 0)
+    told = F.to_json(F.struct(F.col("role").alias("region"), F.when(brand != "", F.array(brand)).alias("preferred_brands"), F.when(F.length("content") > 200, "high").otherwise("low").alias("price_sensitivity")))
+    answers = said.select("session_id", "turn", F.concat(F.lit("As asked:\n```json\n"), told, F.lit("\n```")).alias("answer"))
+    new = builders.updates(answers, "session_id", builders.USER_FIELDS, F.col("turn"), F.concat(F.lit("s"), "session_id", F.lit(":"), "turn"))
+    return builders.built(new.where("false"), new, "session_id").select("session_id", "grp", "field", F.element_at("value", 1).alias("value"), "source")
+
+
+@query("WITH l AS (SELECT user_id, relation FROM up QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20), n AS (SELECT user_id, relation, count(*) AS n FROM l GROUP BY ALL) SELECT user_id, array_to_string(list_sort(list(relation || ': ' || n)), ', ') AS insights FROM n GROUP BY user_id", "up")
+def profile_insights(t: Tables) -> DataFrame:
+    """Insights into each user's last twenty interactions, through the same answers."""
+    answers = builders.behaviour_answers(t.up_edges())
+    new = builders.updates(answers, "user_id", builders.USER_FIELDS, F.lit(0), F.lit("behaviour"))
+    return builders.built(new.where("false"), new, "user_id").select("user_id", F.array_join("value", ", ").alias("insights"))
+
+
 _EXT = "list_value('.png', '.mp3', '.mp4', '.pdf', '.zip', '.TXT', '')[(doc_id % 7 + 1)::BIGINT]"
 _KIND = f"CASE {_EXT} WHEN '.png' THEN 'image' WHEN '.mp3' THEN 'audio' WHEN '.mp4' THEN 'video' WHEN '.pdf' THEN 'document' WHEN '.TXT' THEN 'document' WHEN '' THEN NULL ELSE 'other' END"
 
