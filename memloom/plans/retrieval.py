@@ -221,12 +221,6 @@ def rnk_time_decay(t: Tables) -> DataFrame:
     return t.mem("ts", "importance").select("id", F.round(decay.weight(F.col("ts"), F.col("importance"), ref()), 6).alias("weight"))
 
 
-@query("SELECT d::INT AS days, round(CASE WHEN d < 1 THEN 1.2e0 ELSE power(0.9e0, d / 7e0) END, 6) AS boost FROM (VALUES (0), (1), (3), (7), (14), (30), (90), (365)) x(d)")
-def rnk_boost_table(t: Tables) -> DataFrame:
-    d = t.spark.range(1).select(F.explode(F.array(*map(F.lit, (0, 1, 3, 7, 14, 30, 90, 365)))).alias("days"))
-    return d.withColumn("boost", F.round(decay.boost(F.col("days").cast("double")), 6))
-
-
 @query(f"SELECT id, round({_RTIME}, 6) AS time_score FROM mem", "mem")
 def rnk_recall_time(t: Tables) -> DataFrame:
     return t.mem("ts").select("id", F.round(decay.recall_time(F.col("ts"), ref()), 6).alias("time_score"))
