@@ -96,14 +96,14 @@ def kg_shortest_path(t: Tables) -> DataFrame:
     return graph.shortest_paths(t.kg(), "NATION_18", "NATION_3", 4).select("hops", F.array_join("path", " > ").alias("path"))
 
 
-_STRONG = """e0 AS (SELECT source AS u, target AS v FROM kg_ev WHERE confidence >= 0.4), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
+_STRONG = """e0 AS (SELECT source AS u, target AS v FROM kg_ev WHERE confidence >= 0.35), e AS (SELECT u, v FROM e0 UNION SELECT v, u FROM e0),
 h AS (SELECT (SELECT min(u) FROM e0) AS name, 0 AS d UNION SELECT v, d + 1 FROM h JOIN e ON u = name WHERE d < 10),
 m AS (SELECT name, min(d)::INT AS distance FROM h WHERE name IS NOT NULL GROUP BY name)"""
 
 
 def strong(t: Tables) -> tuple[DataFrame, str | None]:
     """The sparse graph of strong edges between users and items, and its first user."""
-    e = t.kg_ev().where("confidence >= 0.4")
+    e = t.kg_ev().where("confidence >= 0.35")
     return e, e.agg(F.min("source")).first()[0]
 
 
