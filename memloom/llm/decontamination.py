@@ -1,15 +1,17 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Texts are compared as words (letters, digits and underscores, lower case; other characters are dropped from a word). A window of as
-many words as a benchmark item has, at any place of a document, is a candidate if its SimHash, over its five-word shingles with
-their counts as weights, lies within RADIUS bits of the item's. Fingerprints are found by a multi-index: with RADIUS + 1
-blocks of bits, fingerprints within RADIUS agree in one block at least, so the blocks' tables miss none; eight blocks of eight bits
-look at one item in 32. Candidates are verified by the exact weighted Jaccard similarity of the shingles' counts, sum of minima by sum of maxima.
-
-Two bounds keep this exact and cheap. A similar window has at least similarity / (1 + similarity) of all its and the item's shingles in common, so
-only windows with that many known shingles are hashed at all. And it has one of the item's rarest shingles, of which one more is listed than it may lack;
-windows at such a shingle are verified too, so that none is lost whose fingerprint lies outside the radius (near the threshold, or
-where one shingle repeats).
+many words as a benchmark item has, at any place of a document, is a candidate if its SimHash of BITS bits, over its five-word shingles with
+their counts as weights, lies within RADIUS bits of the item's. At the threshold two sets of shingles differ in 15 % of the bits, 19 of
+128 with a deviation of 4, so that the radius of 31 holds all but one in a thousand. Fingerprints are found by a multi-index: of eight
+blocks of 16 bits one at least differs in three bits or fewer, so that tables of blocks that look that far miss none within the
+radius; they look at 8 % of the items. Candidates are verified by the exact weighted Jaccard similarity of the shingles' counts, sum of
+minima by sum of maxima, as are the windows beside them.
+
+Only windows that share enough shingles are hashed at all: a similar one has at least similarity / (1 + similarity) of all its and the item's
+shingles in common. An exact way is left for pairs that the index does not give (one shingle that repeats turns a fingerprint far): a
+similar window has one of the item's rarest shingles, of which one more is listed than it may lack, and for pairs not yet found
+the windows at such a shingle are verified. `rest=False` switches it off.
 
 A document shorter than an item is one window. Texts with fewer words than a shingle are one shingle of all their words. Null and
 wordless texts and items match nothing. Repeated documents are searched one by one; repeated items give repeated pairs. A null
@@ -20,6 +22,7 @@ one takes more blocks, each against all documents.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter, defaultdict
@@ -36,7 +39,9 @@ from memloom.llm.common import lean, slices, small_batches, texts_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
-RADIUS = 7
+BITS, RADIUS = 128, 31
+#: Bits of a block of a fingerprint, of which a block's table holds items one bit off and a look-up goes two bits further.
+BLOCK_BITS = 16
 #: Windows that are hashed at once, and words between two windows past which they are hashed apart.
 WINDOWS = 16_384
 GAP = 256
@@ -86,46 +91,72 @@ def shingles(words: np.ndarray, width: int = SHINGLE) -> np.ndarray:
 
 
 def bits(h: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each hash."""
-    return np.unpackbits(h.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
+    """+1 or -1 for each of BITS bits of each hash, stretched to that many."""
+    more = [h]
+    for k in range(1, BITS // 64):
+        x = (h + np.uint64(k)) * np.uint64(0xD6E8FEB86659FD93)
+        more.append((x ^ (x >> np.uint64(32))) * np.uint64(0x9E3779B97F4A7C15) ^ h >> np.uint64(7))
+    wide = np.stack(more, axis=1).astype("<u8")
+    return np.unpackbits(wide.view(np.uint8).reshape(len(h), BITS // 8), axis=1, bitorder="little").astype(np.int32) * 2 - 1
 
 
 def fingerprints(sums: np.ndarray) -> np.ndarray:
-    return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel().astype(np.uint64)
+    """Rows of blocks of bits."""
+    return np.packbits(sums > 0, axis=1, bitorder="little").view(f"<u{BLOCK_BITS // 8}")
+
+
+def flips(most: int) -> np.ndarray:
+    """Block values with at most so many bits set."""
+    return np.array([sum(1 << b for b in c) for n in range(most + 1) for c in itertools.combinations(range(BLOCK_BITS), n)], np.uint16)
+
+
+_ONE, _TWO = flips(1), flips(2)
 
 
 class SizeIndex:
-    """Items of one size: fingerprints in RADIUS + 1 tables, and the items' shingles."""
+    """Items of one size: a table for each block of their fingerprints, and the items' shingles."""
 
     def __init__(self, items: list[tuple[int, np.ndarray]], radius: int):
-        self.items = items
-        self.radius = radius
+        self.items, self.radius = items, radius
         self.prints = fingerprints(np.stack([bits(s).sum(axis=0) for _, s in items]))
-        cut = np.linspace(0, 64, radius + 2).round().astype(int)
+        if radius // self.prints.shape[1] > 3:
+            raise ValueError("a block's table looks three bits far")
         self.tables = []
-        for a, b in zip(cut, cut[1:], strict=False):
-            value = (self.prints >> np.uint64(a)) & np.uint64((1 << int(b - a)) - 1)
+        for k in range(self.prints.shape[1]):
+            value = (self.prints[:, k, None] ^ _ONE).ravel()
             order = np.argsort(value, kind="stable")
-            self.tables.append((np.uint64(a), np.uint64((1 << int(b - a)) - 1), order, value[order]))
+            held = np.zeros(1 << BLOCK_BITS, bool)
+            held[value] = True
+            self.tables.append((held, order // len(_ONE), value[order]))
+
+    def looked_at(self, prints: np.ndarray) -> np.ndarray:
+        """Distinct (window, item) pairs of which a block differs in three bits or fewer, as window * items + item."""
+        found = [np.zeros(0, np.int64)]
+        for k, (held, item, value) in enumerate(self.tables):
+            v = prints[:, k, None] ^ _TWO
+            w, at = np.nonzero(held[v])
+            v = v[w, at]
+            lo, hi = np.searchsorted(value, v, "left"), np.searchsorted(value, v, "right")
+            n = hi - lo
+            place = np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            found.append(np.unique(np.repeat(w, n) * len(self.items) + item[place]))
+        return np.unique(np.concatenate(found))
 
     def candidates(self, prints: np.ndarray) -> np.ndarray:
         """Distinct (window, item) pairs within the radius, as window * items + item."""
         found = []
-        for shift, mask, order, value in self.tables:
-            v = (prints >> shift) & mask
-            lo, hi = np.searchsorted(value, v, "left"), np.searchsorted(value, v, "right")
-            n = hi - lo
-            w = np.repeat(np.arange(len(prints)), n)
-            k = order[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
-            near = np.bitwise_count(prints[w] ^ self.prints[k]) <= self.radius
-            found.append((w * len(self.items) + k)[near])
-        return np.unique(np.concatenate(found))
+        for a in range(0, len(prints), 512):
+            pairs = self.looked_at(prints[a : a + 512])
+            w, k = pairs // len(self.items), pairs % len(self.items)
+            near = np.bitwise_count(prints[a + w] ^ self.prints[k]).sum(axis=1) <= self.radius
+            found.append(pairs[near] + a * len(self.items))
+        return np.concatenate(found) if found else np.zeros(0, np.int64)
 
 
 class Benchmark:
     """Index of benchmark items: which sizes and items a shingle leads to."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], radius: int, similarity: float):
+    def __init__(self, items: list[tuple[int | None, str | None]], radius: int, similarity: float, rest: bool = True):
         flat, starts = word_hashes([t or "" for _, t in items])
         self.ids = [i for i, _ in items]
         self.similarity = similarity
@@ -141,7 +172,7 @@ class Benchmark:
         # the rarest shingles of each item, by how many items hold them: all but as many as a similar window must share, and one more
         often = Counter(x for v in by_size.values() for _, s in v for x in set(s.tolist()))
         self.rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for n, v in by_size.items():
+        for n, v in by_size.items() if rest else ():
             for k, (_, s) in enumerate(v):
                 left = len(s) - math.ceil(similarity * len(s) - 1e-9) + 1  # the sum of minima is at least similarity * the sum of maxima
                 for x in sorted(set(s.tolist()), key=lambda x: (often[x], x)):
@@ -187,12 +218,18 @@ class Benchmark:
 
             for near in _runs(starts, WINDOWS):
                 low, high = int(near[0]), int(near[-1]) + count
-                sums = np.zeros((high - low + 1, 64), np.int32)
+                sums = np.zeros((high - low + 1, BITS), np.int32)
                 np.cumsum(bits(wide[low:high]), axis=0, out=sums[1:])
                 pairs = index.candidates(fingerprints(sums[near - low + count] - sums[near - low]))
                 for k in np.unique(pairs % len(index.items)).tolist():
-                    keep(k, near[pairs[pairs % len(index.items) == k] // len(index.items)])
+                    at = near[pairs[pairs % len(index.items) == k] // len(index.items)]
+                    # the windows beside a candidate are verified with it, so that the best of them is reported
+                    after = at[np.minimum(np.searchsorted(at, near), len(at) - 1)]
+                    before = at[np.maximum(np.searchsorted(at, near, "right") - 1, 0)]
+                    keep(k, near[np.minimum(abs(after - near), abs(near - before)) < count])
             for k, at in rare[n].items():
+                if k in found:
+                    continue
                 at = np.asarray(at)
                 # windows that hold a rare shingle of the item
                 after = at[np.minimum(np.searchsorted(at, starts), len(at) - 1)]
@@ -240,8 +277,8 @@ def own_shingles(words: np.ndarray) -> np.ndarray:
 class Items:
     """Benchmark items as they are shipped; a worker makes their index once and keeps it with the broadcast."""
 
-    def __init__(self, items: list[tuple], radius: int, similarity: float):
-        self.given, self.made = (items, radius, similarity), None
+    def __init__(self, items: list[tuple], radius: int, similarity: float, rest: bool):
+        self.given, self.made = (items, radius, similarity, rest), None
 
     def __getstate__(self) -> dict:
         return {"given": self.given, "made": None}
@@ -278,7 +315,7 @@ def _held(bench: Benchmark, texts: list[str]) -> Iterator[tuple[int, int, float,
                 yield x + k, item, value, first
 
 
-def _blocks(docs: DataFrame, benchmark: DataFrame, radius: int, similarity: float) -> Iterator[Broadcast]:
+def _blocks(docs: DataFrame, benchmark: DataFrame, radius: int, similarity: float, rest: bool = True) -> Iterator[Broadcast]:
     """The benchmark in blocks of a bounded size, each shipped to the executors."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -287,11 +324,11 @@ def _blocks(docs: DataFrame, benchmark: DataFrame, radius: int, similarity: floa
     blocks = max(1, -(-size // BLOCK_BYTES))
     for k in range(blocks):
         items = [tuple(r) for r in b.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()]
-        yield spark.sparkContext.broadcast(Items(sorted(items, key=repr), radius, similarity))
+        yield spark.sparkContext.broadcast(Items(sorted(items, key=repr), radius, similarity, rest))
 
 
-def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, item_id, similarity, first_word) for each item that a document holds."""
+def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY, rest: bool = True) -> DataFrame:
+    """(doc_id, item_id, similarity, first_word) for each item that a document holds; without `rest`, what the fingerprints give alone."""
 
     def search(shipped: Broadcast) -> DataFrame:
         def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -303,7 +340,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, radius: int = RADIU
 
         return docs.select("doc_id", "text").mapInArrow(lean(run), FOUND)
 
-    return functools.reduce(DataFrame.unionByName, map(search, _blocks(docs, benchmark, radius, similarity)))
+    return functools.reduce(DataFrame.unionByName, map(search, _blocks(docs, benchmark, radius, similarity, rest)))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, radius: int = RADIUS, similarity: float = SIMILARITY) -> DataFrame:

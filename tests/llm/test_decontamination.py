@@ -78,16 +78,43 @@ def test_blocks_of_the_benchmark(spark, monkeypatch):
     assert dc.find_contaminated(df.where("false"), bench).count() == 0 == dc.find_contaminated(df, bench.where("false")).count()
 
 
+def flipped(r, prints, most):
+    """Prints with a random number of their bits turned over."""
+    out = prints.copy()
+    for k in range(len(out)):
+        for b in r.choice(dc.BITS, r.integers(0, most), replace=False):
+            out[k, b // 16] ^= np.uint16(1 << (b % 16))
+    return out
+
+
 def test_multi_index_misses_none():
     r = np.random.default_rng(1)
     items = [(k, r.integers(0, 2**63, 30, dtype=np.int64).astype(np.uint64)) for k in range(200)]
-    index = dc.SizeIndex(items, 7)
-    prints = index.prints.copy()
-    for k in range(len(prints)):
-        for b in r.choice(64, r.integers(0, 12), replace=False):
-            prints[k] ^= np.uint64(1) << np.uint64(b)
-    want = [w * 200 + k for w in range(200) for k in range(200) if int(prints[w] ^ index.prints[k]).bit_count() <= 7]
-    assert index.candidates(prints).tolist() == want and len(want) > 100
+    index = dc.SizeIndex(items, dc.RADIUS)
+    prints = flipped(r, index.prints, 50)
+    want = [w * 200 + k for w in range(200) for k in range(200) if np.bitwise_count(prints[w] ^ index.prints[k]).sum() <= dc.RADIUS]
+    assert index.candidates(prints).tolist() == want and 100 < len(want) < 190
+
+
+def test_fingerprints_alone_find_nearly_all(spark):
+    """Items of 20 to 100 words with a similarity of .80 to .85: the index without the exact rest, and what the rest adds."""
+    r = random.Random(11)
+    word = lambda: "w" + str(r.randint(0, 5000))
+    items = [(i, " ".join(word() for _ in range(r.choice([40, 50, 60, 80, 100])))) for i in range(200)]
+    docs = []
+    for i, t in items:
+        for k in range(4):
+            own = t.split()
+            for _ in range(r.choice([1, 1, 2])):
+                own[r.choice([0, 1, 2, len(own) - 1, len(own) - 2, len(own) - 3, r.randrange(len(own))])] = word()
+            docs.append((1000 * i + k, " ".join([word() for _ in range(30)] + own + [word() for _ in range(30)])))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string").repartition(4), spark.createDataFrame(items, "item_id long, text string")
+    whole = {(x.doc_id, x.item_id): x.similarity for x in dc.find_contaminated(df, bench).collect()}
+    alone = {(x.doc_id, x.item_id) for x in dc.find_contaminated(df, bench, rest=False).collect()}
+    hard = {k for k, v in whole.items() if v <= 0.85}
+    assert len(hard) > 60 and alone <= set(whole)
+    print(f"fingerprints alone: {len(alone)} of {len(whole)}, {len(hard & alone)} of {len(hard)} at .80 to .85")
+    assert len(alone) >= 0.99 * len(whole) and len(hard & alone) >= 0.98 * len(hard)
 
 
 def test_no_window_is_lost_near_the_threshold(spark):
@@ -113,12 +140,8 @@ def test_no_window_is_lost_near_the_threshold(spark):
 def test_the_index_looks_at_few_items():
     r = np.random.default_rng(3)
     index = dc.SizeIndex([(k, r.integers(0, 2**63, 40, dtype=np.int64).astype(np.uint64)) for k in range(3000)], dc.RADIUS)
-    prints = r.integers(0, 2**63, 500, dtype=np.int64).astype(np.uint64)
-    probes = 0
-    for shift, mask, _, value in index.tables:
-        v = (prints >> shift) & mask
-        probes += int((np.searchsorted(value, v, "right") - np.searchsorted(value, v, "left")).sum())
-    assert probes < 0.1 * 500 * 3000
+    prints = dc.fingerprints(r.normal(size=(500, dc.BITS)))
+    assert len(index.looked_at(prints)) < 0.1 * 500 * 3000
 
 
 def test_long_texts_take_bounded_memory():
