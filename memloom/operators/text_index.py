@@ -1,7 +1,7 @@
 """A stored inverted index: postings by term in blocks with maxima, and top-k by BM25 that reads only blocks that can matter.
 
 Layout below a folder: `postings/bucket=b/`, b from the term's hash, with one row for each term and block of documents (term, block, n, max_f,
-min_dl, keys, fs, dls), sorted by term; and `stats` with the documents and tokens of each insert. Documents are dealt to blocks by
+min_dl, keys, fs, dls), sorted by term in each file; and `stats` with the documents and tokens of each insert. Documents are dealt to blocks by
 their key's hash, about BLOCK in each, so that a frequent term is many rows of bounded size and never one list.
 
 A search reads the few columns without lists for its terms, so document frequencies and each block's best possible score are known before a list is
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from memloom.operators import lexical, vector
 
 #: Documents in a block, and partitions by term.
-BLOCK, BUCKETS = 1024, 16
+BLOCK, BUCKETS = 8192, 16
 #: Blocks that are scored first, and how far rounding may shift a score.
 FIRST, SLACK = 8, 2e-6
 
@@ -41,21 +41,23 @@ class TextIndex:
 
     def insert(self, df: DataFrame, text: str = "content") -> None:
         """Add documents as blocks of their own; the statistics are sums over inserts."""
-        key = self.key
         run = uuid.uuid4().int >> 97  # blocks of different inserts differ
-        cut = df.select(F.col(key).alias("key"), lexical.tokens(F.lower(text)).alias("t")).select("key", F.size("t").alias("dl"), "t")
-        sums = cut.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("tokens"))
-        total = sums.first()
-        blocks = max(1, math.ceil(total.n / BLOCK))
+        total = df.count()
+        blocks = max(1, math.ceil(total / BLOCK))
         block = F.pmod(F.xxhash64("key"), F.lit(blocks)) + F.lit(run << 32)
-        each = cut.select("key", "dl", block.alias("block"), F.explode("t").alias("term")).groupBy("term", "block", "key").agg(F.count("*").cast("int").alias("f"), F.first("dl").alias("dl"))
+        # texts move once, to their block's task; what follows is grouped within blocks and moves no more
+        dealt = df.select(F.col(self.key).alias("key"), F.lower(text).alias("text")).withColumn("block", block).repartition(max(1, min(blocks, int(self.spark.conf.get("spark.sql.shuffle.partitions")))), "block")
+        cut = dealt.select("key", "block", lexical.tokens("text").alias("t")).select("key", "block", F.size("t").alias("dl"), F.explode("t").alias("term"))
+        each = cut.groupBy("term", "block", "key").agg(F.count("*").cast("int").alias("f"), F.first("dl").alias("dl"))
         lists = each.groupBy("term", "block").agg(F.array_sort(F.collect_list(F.struct("key", "f", "dl"))).alias("p"))
         col = lambda c: F.transform("p", lambda x: x[c])
         rows = lists.select("term", "block", F.size("p").alias("n"), F.array_max(col("f")).alias("max_f"), F.array_min(col("dl")).alias("min_dl"), col("key").alias("keys"), col("f").alias("fs"), col("dl").alias("dls"), self._bucket(F.col("term")).alias("bucket"))
-        rows.repartition(BUCKETS, "bucket", F.pmod(F.xxhash64("block"), F.lit(8))).sortWithinPartitions("bucket", "term", "block").write.mode("append").partitionBy("bucket").parquet(f"{self.path}/postings")
-        self.spark.createDataFrame([(total.n, total.tokens)], "docs long, tokens long").coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
-        if not total.n:
-            rows.limit(0).drop("bucket").write.mode("append").parquet(f"{self.path}/postings/bucket=0")
+        to = f"{self.path}/postings" if total else f"{self.path}/postings/bucket=0"
+        out = rows.sortWithinPartitions("bucket", "term", "block") if total else rows.limit(0).drop("bucket")
+        (out.write.mode("append").partitionBy("bucket") if total else out.write.mode("append")).parquet(to)
+        mine = self.spark.read.parquet(f"{self.path}/postings").where((F.col("block") >= run << 32) & (F.col("block") < (run + 1) << 32))
+        tokens = mine.agg(F.sum(F.aggregate("fs", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
+        self.spark.createDataFrame([(total, tokens)], "docs long, tokens long").coalesce(1).write.mode("append").parquet(f"{self.path}/stats")
 
     @staticmethod
     def _bucket(term: Column) -> Column:
