@@ -38,9 +38,10 @@ def clean_for_embedding(text: Column | str, most: int = 500) -> Column:
 
 
 def clean_metadata(text: Column | str) -> Column:
-    """A stored memory without a leading block of metadata and bracketed marks at line starts; session lines have a rule of their own (sources.sessions)."""
-    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?s)^\s*(?:Conversation info|Sender) \(untrusted metadata\):\s*```json.*?```\s*", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[[^\]]*\]\s*", ""), r"\n\[[^\]]*\]", "\n"))
+    """Without blocks of metadata about a conversation or its sender, a label that is left of one, and bracketed marks at line starts."""
+    t = F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"(?s)(?:Conversation info|Sender) \(untrusted metadata\):\s*```json.*?```\s*", "")
+    t = F.regexp_replace(t, r"^\s*(?:Conversation info|Sender) \(untrusted metadata\):\s*", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(t, r"^\[[^\]]+\]\s*", ""), r"\n\[[^\]]+\]\s*", "\n"))
 
 
 def summary(text: Column | str, most: int = 150) -> Column:

@@ -23,7 +23,7 @@ _HAN = "一-龥"
 DICTIONARIES = (("technology", ent.TECHNOLOGY, False), ("organization", ent.ORGANISATIONS, True), ("location", ent.PLACES, True))
 #: Patterns by type; what group 1 holds is the name.
 PATTERNS = (
-    ("person", rf"([{ent.SURNAMES}][{_HAN}]{{1,3}})(?=[{ent.AFTER_NAME}])"),
+    ("person", rf"([{ent.SURNAMES}][{_HAN}]{{1,3}})(?=[{''.join(ent.AFTER_NAME)}])"),
     ("name", r"\b([A-Z][a-z]+(?:\s+[A-Z][a-z]+)?)\b"),
     ("organization", rf"([{_HAN}]{{2,8}}(?:公司|集团|科技|网络|信息|数据))"),
     ("project", rf"([{_HAN}A-Za-z0-9_]+)(?=项目|系统|平台|服务|模块)"),

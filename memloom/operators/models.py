@@ -113,6 +113,49 @@ def route(text: Column | str, small: bool = True) -> Column:
     return F.when(fn.any_of(t, HARD), "large").when(F.length(t) < 100, "small").otherwise("large")
 
 
+def needs_verification(sure: float = 0.8) -> Column:
+    """No entity, or an entity or a relation below `sure`."""
+    low = lambda c: F.exists(c, lambda x: F.coalesce(x["confidence"], F.lit(0.0)) < sure)
+    return (F.size("entities") == 0) | low("entities") | low("relations")
+
+
+def routed(df: DataFrame, text: str, small: Callable[[], Extractor] | None, large: Callable[[], Extractor] | None, verify: bool = True, sure: float = 0.8) -> DataFrame:
+    """df with `entities`, `relations` and `backend`: hard and long texts go to the large extractor, others to the small one; what the small one
+    isn't sure of goes to the large one too (small+large). Rules stand in for an extractor that isn't given."""
+    way = df.withColumn("_way", route(text))
+    first = extracted(way.where("_way = 'small'"), text, small)
+    hard = extracted(way.where(F.coalesce(F.col("_way") != "small", F.lit(True))), text, large).withColumn("backend", F.lit("large"))
+    if not verify:
+        return first.withColumn("backend", F.lit("small")).unionByName(hard).drop("_way")
+    doubt = F.coalesce(needs_verification(sure), F.lit(True))
+    kept = first.where(~doubt).withColumn("backend", F.lit("small"))
+    again = extracted(first.where(doubt).select(*way.columns), text, large).withColumn("backend", F.lit("small+large"))
+    return kept.unionByName(again).unionByName(hard).drop("_way")
+
+
+def in_stages(df: DataFrame, key: str, text: str, aliases: DataFrame, known: DataFrame, make: Callable[[], Extractor] | None = None, head: int = 200) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Extraction in three stages: entities, relations between them, names resolved. (entities, relations, stats) by `key`.
+
+    entities: (key, name, canonical, type, confidence, is_existing, source_text); relations have their ends under their canonical names, and those
+    whose ends aren't among a text's entities go; stats: (key, entity_count, relation_count, new_entities). Texts without entities have
+    no relations. aliases: (alias, canonical); known: (name,), what the graph has.
+    """
+    found = checked(extracted(df, text, make), text)
+    e = found.select(key, F.substring(text, 1, head).alias("source_text"), F.explode("entities").alias("e")).select(key, "source_text", "e.*")
+    low = aliases.groupBy(F.lower("alias").alias("_a")).agg(F.min("canonical").alias("_c"))
+    has = known.select(F.lower("name").alias("_n")).distinct().withColumn("_has", F.lit(True))
+    named = lambda d, c, to: d.join(low, F.lower(F.col(c)) == F.col("_a"), "left").withColumn(to, F.coalesce("_c", c)).drop("_a", "_c")
+    e = named(e, "name", "canonical").join(has, F.lower("canonical") == F.col("_n"), "left").withColumn("is_existing", F.coalesce("_has", F.lit(False))).drop("_n", "_has")
+    r = found.select(key, F.substring(text, 1, head).alias("source_text"), F.explode("relations").alias("r")).select(key, "source_text", "r.*")
+    for end in ("source", "target"):
+        r = named(r, end, f"_{end}").drop(end).withColumnRenamed(f"_{end}", end)
+    r = r.where("source <> target").select(key, "source", "relation", "target", "confidence", "source_text")
+    n = e.groupBy(key).agg(F.count("*").alias("entity_count"), F.count_if(~F.col("is_existing")).alias("new_entities"))
+    m = r.groupBy(key).agg(F.count("*").alias("relation_count"))
+    stats = n.join(m, key, "left").select(key, "entity_count", F.coalesce("relation_count", F.lit(0)).alias("relation_count"), "new_entities")
+    return e.select(key, "name", "canonical", "type", "confidence", "is_existing", "source_text"), r, stats
+
+
 def new_facts(new: DataFrame, held: DataFrame, least: float = 0.8) -> DataFrame:
     """new (owner, fact) with `event`: NONE where a fact of the same owner is as good as equal, else ADD."""
     pairs = new.select("owner", "fact").distinct().join(held.select("owner", F.col("fact").alias("_h")).distinct(), "owner")

@@ -30,6 +30,19 @@ def inserted(held: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     return held.unionByName(first.join(held.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
+#: The messages of a raw conversation.
+MESSAGES = "array<struct<turn:bigint,role:string,content:string>>"
+
+
+def found(memories: DataFrame, key: str, value, raw: str = "raw_conversation", to: str = "messages") -> DataFrame:
+    """The memory with an id, whichever agent holds it, with its raw conversation as messages; null where that isn't JSON.
+
+    The table is one for all agents, so that the id's predicate reaches the scan.
+    """
+    held = memories.where(F.col(key) == F.lit(value))
+    return held.withColumn(to, F.from_json(F.when(F.try_parse_json(raw).isNotNull(), F.col(raw)), MESSAGES))
+
+
 def is_entity(relation: Column) -> Column:
     """Entity rows have no relation, or one of those that writers give them."""
     return F.coalesce(relation, F.lit("")).isin("", "is_a", "is_entity")

@@ -167,6 +167,29 @@ def profile_insights(t: Tables) -> DataFrame:
     return builders.built(new.where("false"), new, "user_id").select("user_id", F.array_join("value", ", ").alias("insights"))
 
 
+@query("SELECT m.id, agent_id, turn, role, length(s.content)::INT AS n_chars FROM mem m JOIN msg s ON s.session_id = m.id WHERE m.id = 3", "mem", "msg")
+def point_lookup_raw(t: Tables) -> DataFrame:
+    """A memory of any agent with the messages of its raw conversation, read from JSON."""
+    said = t.msg().groupBy(F.col("session_id").alias("id")).agg(F.to_json(F.array_sort(F.collect_list(F.struct("turn", "role", "content")))).alias("raw_conversation"))
+    hit = stores.found(t.mem().select("id", "agent_id").join(said, "id"), "id", 3)
+    return hit.select("id", "agent_id", F.explode("messages").alias("m")).select("id", "agent_id", "m.turn", "m.role", F.length("m.content").alias("n_chars"))
+
+
+_NAMED = " OR ".join(f"contains(CASE WHEN {w[0]!r} = 'technology' THEN lower(c) ELSE c END, '{w[1]}')" for w in [*(("technology", x.lower()) for x in texts.entities.TECHNOLOGY), *(("", x) for x in (*texts.entities.ORGANISATIONS, *texts.entities.PLACES))])
+
+
+@query(
+    f"""WITH m AS (SELECT session_id, turn, regexp_replace(content, '[^\\x00-\\x7F]', ' ', 'g') AS full_text FROM msg), h AS (SELECT *, substr(full_text, 1, 2000) AS c FROM m),
+e AS (SELECT *, {_NAMED} OR len(list_filter(regexp_extract_all(c, {texts._SPAN}, 1), lambda x: length(x) > 2 AND x NOT IN ({texts._NAMES}))) > 0 AS has FROM h)
+SELECT session_id, turn, CASE WHEN length(full_text) >= 100 THEN 'large' WHEN has THEN 'small' ELSE 'small+large' END AS backend, has FROM e""",
+    "msg",
+)
+def kg_routed(t: Tables) -> DataFrame:
+    """Which extractors each message goes through, with the verify step for what the small one gives nothing for; rules stand in for both."""
+    m = t.msg().select("session_id", "turn", F.regexp_replace("content", r"[^\x00-\x7F]", " ").alias("content"))
+    return models.routed(m, "content", None, None, sure=0.7).select("session_id", "turn", "backend", (F.size("entities") > 0).alias("has"))
+
+
 _EXT = "list_value('.png', '.mp3', '.mp4', '.pdf', '.zip', '.TXT', '')[(doc_id % 7 + 1)::BIGINT]"
 _KIND = f"CASE {_EXT} WHEN '.png' THEN 'image' WHEN '.mp3' THEN 'audio' WHEN '.mp4' THEN 'video' WHEN '.pdf' THEN 'document' WHEN '.TXT' THEN 'document' WHEN '' THEN NULL ELSE 'other' END"
 

@@ -234,7 +234,7 @@ def kg_type_normalize(t: Tables) -> DataFrame:
     return t.kg().select("source", F.when(known, F.col("relation")).otherwise("相关").alias("relation"), "target", F.substring(F.concat_ws(" ", "source", "relation", "target"), 1, 200).alias("evidence"))
 
 
-_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(lower(p_name), '{p}') THEN '{k}'" for k, p in ent.TYPES) + " ELSE '概念' END"
+_TYPE = "CASE " + " ".join(f"WHEN regexp_matches(p_name, '{p}', 'i') THEN '{k}'" for k, patterns in ent.TYPES for p in patterns) + " ELSE '概念' END"
 
 
 @query(f"SELECT p_name AS name, {_TYPE} AS type, length(p_name) >= 2 AND NOT regexp_matches(p_name, '^[0-9]+$') AS valid FROM part")

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from xml.etree import ElementTree
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +56,44 @@ def decoded(content: Column | str) -> Column:
     return run(content)
 
 
+_PARAGRAPH, _RUN = (f"{{http://schemas.openxmlformats.org/wordprocessingml/2006/main}}{x}" for x in ("p", "t"))
+
+
+def docx_text(content: Column | str) -> Column:
+    """The paragraphs of Word documents that have a text, parted by blank lines; null for what can't be read."""
+
+    def one(raw: bytes | None) -> str | None:
+        try:
+            with zipfile.ZipFile(io.BytesIO(bytes(raw))) as z, z.open("word/document.xml") as f:
+                texts = ["".join(t.text or "" for t in p.iter(_RUN)) for _, p in ElementTree.iterparse(f) if p.tag == _PARAGRAPH]
+            return "\n\n".join(t for t in texts if t.strip())
+        except (TypeError, KeyError, zipfile.BadZipFile, ElementTree.ParseError):
+            return None
+
+    @F.pandas_udf("string")
+    def run(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return run(content)
+
+
+#: Types of files by what reads them.
+READERS = {"txt": "text", "text": "text", "md": "markdown", "markdown": "markdown", "html": "html", "htm": "html", "docx": "docx"}
+
+
 def text_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, file_type, content) of text and Markdown files below a path; other types are refused."""
+    """(path, file_type, content, refused) of the files below a path: text, Markdown, HTML and Word documents. Files of other types, and
+    those that can't be read, have no content and a reason in `refused`."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    kind = F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1))
-    f = raw.select("path", kind.alias("file_type"), decoded("content").alias("content"))
-    ok = f.where(F.col("file_type").isin("txt", "md", "html", "htm"))
-    return ok.withColumn("content", F.when(F.col("file_type") == "md", markdown_text("content")).when(F.col("file_type").isin("html", "htm"), html_text("content")).otherwise(F.col("content")))
+    f = raw.withColumn("file_type", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)))
+    reader = F.create_map(*(F.lit(x) for kv in READERS.items() for x in kv))[F.col("file_type")]
+    f = f.withColumn("reader", reader)
+    plain = f.where("reader <> 'docx'").select("path", "file_type", "reader", decoded("content").alias("t"))
+    plain = plain.select("path", "file_type", F.when(F.col("reader") == "markdown", markdown_text("t")).when(F.col("reader") == "html", html_text("t")).otherwise(F.col("t")).alias("content"))
+    word = f.where("reader = 'docx'").select("path", "file_type", docx_text("content").alias("content"))
+    other = f.where("reader IS NULL").select("path", "file_type", F.lit(None).cast("string").alias("content"), F.concat(F.lit("no reader for ."), "file_type").alias("refused"))
+    read = plain.unionByName(word).withColumn("refused", F.when(F.col("content").isNull(), "not readable"))
+    return read.unionByName(other)
 
 
 def workspace(spark: SparkSession, path: str, priority: dict[str, int] | None = None) -> DataFrame:

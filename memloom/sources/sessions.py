@@ -18,20 +18,12 @@ LINE = "type string, id string, timestamp string, message struct<role:string,con
 NOTICE = "A new session was started"
 
 
-def clean_metadata(text: Column) -> Column:
-    """Without the sender's metadata block and the bracketed times at line starts."""
-    t = F.regexp_replace(text, r"Sender \(untrusted metadata\):\s*```json\s*\{[^}]*\}\s*```\s*", "")
-    t = F.regexp_replace(t, r"^Sender \(untrusted metadata\):\s*", "")
-    t = F.regexp_replace(t, r"^\[[^\]]+\]\s*", "")
-    return F.trim(F.regexp_replace(t, r"\n\[[^\]]+\]\s*", "\n"))
-
-
 def content_text(content: Column) -> Column:
     """The text of a message: its text parts, cleaned, a line each; other parts and notices are left out."""
     parts = F.from_json(content, PARTS)
-    texts = F.transform(F.filter(parts, lambda p: (p["type"] == "text") & ~F.coalesce(p["text"].startswith(NOTICE), F.lit(False))), lambda p: clean_metadata(F.coalesce(p["text"], F.lit(""))))
+    texts = F.transform(F.filter(parts, lambda p: (p["type"] == "text") & ~F.coalesce(p["text"].startswith(NOTICE), F.lit(False))), lambda p: fn.clean_metadata(F.coalesce(p["text"], F.lit(""))))
     joined = F.array_join(F.filter(texts, lambda x: x != ""), "\n")
-    return F.when(F.ltrim(content).startswith("["), joined).otherwise(clean_metadata(content))
+    return F.when(F.ltrim(content).startswith("["), joined).otherwise(fn.clean_metadata(content))
 
 
 def parsed(lines: DataFrame) -> DataFrame:
@@ -52,12 +44,6 @@ def read_sessions(spark: SparkSession, path: str) -> DataFrame:
     return parsed(raw.select("value", F.col("_metadata.file_path").alias("path")))
 
 
-def stream_sessions(spark: SparkSession, path: str, files_each: int = 100) -> DataFrame:
-    """The same as a stream of files that don't change once they are there; session_tail follows files that grow."""
-    raw = spark.readStream.option("pathGlobFilter", "*.jsonl*").option("maxFilesPerTrigger", files_each).text(path)
-    return parsed(raw.select("value", F.col("_metadata.file_path").alias("path")))
-
-
 def after(messages: DataFrame, seen: DataFrame) -> DataFrame:
     """Messages of each session behind the last one seen (unique_id, last_timestamp); sessions not yet seen pass whole."""
     return messages.join(seen, "unique_id", "left").where("last_timestamp IS NULL OR timestamp > last_timestamp").drop("last_timestamp")
@@ -67,3 +53,28 @@ def newest_file(spark: SparkSession, path: str) -> DataFrame:
     """(path, modified) of the session file that changed last; only the listing is read."""
     f = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").load(path).select("path", "modificationTime")
     return f.agg(F.max_by("path", "modificationTime").alias("path"), F.max("modificationTime").alias("modified"))
+
+
+def active_session(index: DataFrame, files: DataFrame) -> DataFrame:
+    """(agent, source, path): which file each agent's session is followed in.
+
+    index: (agent, session_id, session_file, updated_ms) as the agents' index files say; files: (agent, path, modified_ms), the listing.
+    The index's file counts if it is at least as new as the agent's newest file, and is there; else the newest file, the last by name of
+    equally new ones. Deleted, unfinished and locked files don't count. Agents without files have none. One row for each agent.
+    """
+    here = files.where(~F.regexp_extract("path", r"([^/]+)$", 1).rlike(r"\.deleted\.|\.tmp|\.lock"))
+    newest = here.groupBy("agent").agg(F.max(F.struct("modified_ms", "path")).alias("f"))
+    said = index.groupBy("agent").agg(F.max(F.struct("updated_ms", "session_id", "session_file")).alias("i"))
+    there = files.select(F.col("agent").alias("_a"), F.col("path").alias("_p")).distinct()
+    j = said.join(newest, "agent", "full_outer").join(there, (F.col("agent") == F.col("_a")) & (F.col("i.session_file") == F.col("_p")), "left")
+    indexed = (F.col("i.session_id") != "") & (F.col("i.updated_ms") >= F.col("f.modified_ms")) & F.col("_p").isNotNull()
+    source = F.when(F.col("f").isNull(), "none").when(F.coalesce(indexed, F.lit(False)), "index").otherwise("newest")
+    return j.select("agent", source.alias("source"), F.when(source == "index", F.col("i.session_file")).otherwise(F.col("f.path")).alias("path"))
+
+
+def index_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(agent, session_id, session_file, updated_ms) from index files of the form {"agent:a:a": {sessionId, updatedAt, sessionFile}}."""
+    raw = spark.read.option("wholetext", "true").text(path)
+    m = F.from_json("value", "map<string,struct<sessionId:string,updatedAt:bigint,sessionFile:string>>")
+    e = raw.select(F.explode(F.map_entries(m)).alias("e"))
+    return e.select(F.regexp_extract("e.key", r"^agent:([^:]*)", 1).alias("agent"), F.col("e.value.sessionId").alias("session_id"), F.col("e.value.sessionFile").alias("session_file"), F.col("e.value.updatedAt").alias("updated_ms"))

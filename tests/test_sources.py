@@ -1,11 +1,12 @@
 """Readers, imports, and the stream against its batch version."""
 
 import json
+import zipfile
 
 from pyspark.sql import functions as F
 
 from memloom.operators import commerce
-from memloom.sources import crm, graph_files, pages, sessions
+from memloom.sources import crm, graph_files, pages, session_tail, sessions
 from memloom.streaming import ingest
 
 
@@ -57,7 +58,7 @@ def test_flushes(spark, tmp_path):
     logs.mkdir()
     (logs / "aaa.jsonl").write_text("\n".join(line(i, "user", LONG + str(i)) for i in range(4)))
     (logs / "bbb.jsonl").write_text(line(9, "user", LONG))
-    q = ingest.flushes(sessions.stream_sessions(spark, str(logs)), wait_ms=600_000).writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(processingTime="1 second").start()
+    q = ingest.flushes(session_tail.stream_sessions(spark, str(logs)), wait_ms=600_000).writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(processingTime="1 second").start()
     try:
         for _ in range(60):
             if spark.table("flushed").count():
@@ -110,8 +111,13 @@ def test_files(spark, tmp_path):
     (tmp_path / "b.md").write_text("# Title\nsome **bold** [link](http://x)")
     (tmp_path / "c.html").write_text("<html><script>bad()</script><p>A &amp; B</p><p>C</p></html>")
     (tmp_path / "d.bin").write_bytes(b"\0")
-    got = {r.file_type: r.content for r in pages.text_files(spark, str(tmp_path)).collect()}
-    assert got == {"txt": "中文内容", "md": "Title\nsome bold link", "html": "A & B\nC"}
+    with zipfile.ZipFile(tmp_path / "e.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>One </w:t></w:r><w:r><w:t>two</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>三</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "f.DOCX").write_bytes(b"no zip")
+    got = {r.path.rsplit("/", 1)[1]: (r.content, r.refused) for r in pages.text_files(spark, str(tmp_path)).collect()}
+    assert got == {
+        "a.txt": ("中文内容", None), "b.md": ("Title\nsome bold link", None), "c.html": ("A & B\nC", None), "d.bin": (None, "no reader for .bin"), "e.docx": ("One two\n\n三", None), "f.DOCX": (None, "not readable"),
+    }
     (tmp_path / "MEMORY.md").write_text("m")
     assert [r.filename for r in pages.workspace(spark, str(tmp_path)).collect()] == ["MEMORY.md", "b.md"]
 
@@ -120,3 +126,12 @@ def test_commerce(spark):
     edges = spark.createDataFrame([(1, "viewed"), (2, "kicked"), (3, None)], "id long, relation string")
     ok, bad = commerce.checked(edges, commerce.USER_PRODUCT)
     assert ([r.id for r in ok.collect()], sorted(r.id for r in bad.collect())) == ([1], [2, 3])
+
+
+def test_active_session(spark, tmp_path):
+    index = '{"agent:a:a": {"sessionId": "s1", "updatedAt": 2000, "sessionFile": "/a/old.jsonl"}, "agent:b:b": {"sessionId": "s2", "updatedAt": 10, "sessionFile": "/b/one.jsonl"}, "agent:c:c": {"sessionId": "s3", "updatedAt": 99, "sessionFile": "/c/gone.jsonl"}, "agent:d:d": {}}'
+    (tmp_path / "sessions.json").write_text(index)
+    rows = sessions.index_rows(spark, str(tmp_path / "sessions.json"))
+    listed = [("a", "/a/old.jsonl", 5), ("a", "/a/new.jsonl", 1999), ("a", "/a/x.jsonl.deleted.1", 9999), ("b", "/b/one.jsonl", 5), ("b", "/b/two.jsonl", 11), ("c", "/c/here.jsonl", 7), ("e", "/e/only.jsonl", 1)]
+    got = {r.agent: (r.source, r.path) for r in sessions.active_session(rows, spark.createDataFrame(listed, "agent string, path string, modified_ms long")).collect()}
+    assert got == {"a": ("index", "/a/old.jsonl"), "b": ("newest", "/b/two.jsonl"), "c": ("newest", "/c/here.jsonl"), "d": ("none", None), "e": ("newest", "/e/only.jsonl")}
