@@ -36,6 +36,14 @@ def test_judge(spark):
     assert {i for i, x in by.items() if x is None} == {3, 6} and by[5] == "symbols"
 
 
+def test_judge_of_null_ids_and_clashing_columns(spark):
+    good = " ".join(f"word{i} text" for i in range(40))
+    df = spark.createDataFrame([(None, good, "a"), (None, "x", "b"), (None, good, "a")], "doc_id long, text string, rejected_by string")
+    assert sorted((r.doc_id is None, r.kept) for r in quality_rules.judge(df).collect()) == [(True, False), (True, True), (True, True)]
+    got = quality_rules.apply_cascade(df, to="verdict").collect()
+    assert sorted((r.rejected_by, r.verdict) for r in got if r.verdict is None) == [("a", None)] * 2 and len(got) == 3
+
+
 def test_cascade_order():
     slow = quality_rules.Rule("slow", lambda x: sum(range(20_000)) > 0 and len(x.text) < 2)
     fast = quality_rules.Rule("fast", lambda x: len(x.text) < 2)

@@ -58,3 +58,33 @@ def test_stages(spark):
 def test_run(spark):
     got = corpus_pipeline.run(spark, SF)
     assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and got.count() > 50
+
+
+def prose(seed, n=60):
+    return " ".join(f"w{seed}x{k} and" for k in range(n))
+
+
+def test_odd_rows_and_clashing_columns(spark, tmp_path):
+    """Null texts and ids, repeated rows, empty texts, and columns that have the names that stages would use."""
+    rows = [(1, prose(1), "a"), (1, prose(1), "a"), (None, prose(2), "b"), (None, prose(3), "c"), (4, None, "d"), (5, "", "e"), (6, prose(6), None), (7, "too short", "f")]
+    made = [(i, t, "en", s, None if t is None else len(t), "x", 5, True) for i, t, s in rows]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, rejected_by string, n_removed int, component_id boolean")
+    bench = spark.createDataFrame([(1, prose(6, 40))], "item_id long, text string")
+    bench.coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, str(tmp_path)), name)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", "rejected_by", "n_removed", "component_id"]
+        if name == "quality_rules":
+            assert sorted((repr(r.doc_id), repr(r.source)) for r in docs.collect()) == [("1", "'a'"), ("1", "'a'"), ("6", "None"), ("None", "'b'"), ("None", "'c'")]
+    got = docs.collect()
+    assert sorted((repr(r.doc_id), r.source) for r in got) == [("1", "a"), ("None", "b"), ("None", "c")]
+    assert {(r.rejected_by, r.n_removed, r.component_id) for r in got} == {("x", 5, True)}
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert last.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and last.count() == 3
+
+
+def test_empty_table_stays_empty(spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "some item of words here")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.columns == ["doc_id", "lang", "source", "n_tokens", "ids", "decoded"] and got.count() == 0

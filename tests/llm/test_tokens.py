@@ -167,8 +167,33 @@ def test_chat_round_trip(spark, piece, monkeypatch):
     for c in range(40):
         conv[c] = [(r.choice(["user", "assistant", "system", "tool", "", None, "### User: "]), None if r.random() < 0.1 else "".join(x for x in r.choices(bits, k=6) if x)) for _ in range(r.randint(1, 12))]
     turns = spark.createDataFrame([(c, i, role, text, 1) for c, t in conv.items() for i, (role, text) in enumerate(t)], "conv_id long, turn int, role string, text string, ids int")
-    got = {x.conv_id: tuple(x)[1:5] for x in chat.read_back(chat.format_conversations(turns, BYTES), BYTES).collect()}
-    assert got == {c: digests(t) for c, t in conv.items()}
+    got = {x.conv_id: tuple(x)[1:6] for x in chat.read_back(chat.format_conversations(turns, BYTES), BYTES).collect()}
+    assert got == {c: (*digests(t), formatted(t)) for c, t in conv.items()}
+
+
+def formatted(turns):
+    """Code points of a conversation in text form: a role's mark, a named role and its end, the escaped text, a turn's end."""
+    marks = {"user": "### User: ", "assistant": "### Assistant: ", "system": "### System: "}
+    heads = [marks.get(role) or "### Other: " + chat.escaped(role or "") + "</role>" for role, _ in turns]
+    return sum(len(h) + len(chat.escaped(text or "")) + len("</turn>") for h, (_, text) in zip(heads, turns, strict=True))
+
+
+def test_chat_of_odd_turns(spark):
+    """Null conv_id, repeated rows, equal turns and null turns."""
+    turns = [(None, 0, "user", "who"), (None, 1, "assistant", "me"), (1, 0, "user", "same"), (1, 0, "user", "same"), (2, None, "assistant", "first"), (2, 0, "user", "then"), (3, 5, "user", "b"), (3, 5, "assistant", "a")]
+    df = spark.createDataFrame(turns, "conv_id long, turn int, role string, text string").repartition(3)
+    got = {x.conv_id: tuple(x)[1:6] for x in chat.read_back(chat.format_conversations(df, BYTES), BYTES).collect()}
+    conv = {None: [("user", "who"), ("assistant", "me")], 1: [("user", "same")] * 2, 2: [("assistant", "first"), ("user", "then")]}
+    assert {k: got[k] for k in conv} == {c: (*digests(t), formatted(t)) for c, t in conv.items()}
+    assert got[3] in [(*digests(t), formatted(t)) for t in ([("user", "b"), ("assistant", "a")], [("assistant", "a"), ("user", "b")])] and len(got) == 4
+
+
+def test_counts_of_null_ids_and_long_texts(spark):
+    lib = Tokenizer.from_file(BYTES)
+    texts = ["one two", None, " ".join(f"word{k}" for k in range(60_000))]
+    df = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, texts[2]), (7, texts[2])], "doc_id long, text string")
+    want = sorted([(None, 7, len(lib.encode(texts[0], add_special_tokens=False).ids), False), (None, 0, 0, False), *[(7, len(texts[2]), len(lib.encode(texts[2], add_special_tokens=False).ids), True)] * 2], key=repr)
+    assert sorted(map(tuple, token_counts.count_tokens(df, BYTES).collect()), key=repr) == want
 
 
 def test_chat_escapes():
