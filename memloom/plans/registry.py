@@ -12,7 +12,7 @@ from memloom.plans.views import Tables, oracle
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 #: The modules whose plans make up the registry.
-MODULES = ("retrieval", "texts", "memories", "graph", "profiles", "commerce", "knowledge", "changes", "indexed", "asked")
+MODULES = ("retrieval", "texts", "memories", "graph", "profiles", "commerce", "knowledge", "changes", "indexed", "asked", "files")
 
 
 def query(sql: str | None, *views: str) -> Callable:
