@@ -62,5 +62,22 @@ def test_best_recommendations_are_those_of_all_pairs(spark, seed, most):
     assert {u: sorted(v) for u, v in got.items()} == {u: sorted(v)[:most] for u, v in want.items()}
 
 
+@pytest.mark.parametrize(("seed", "size", "side"), [(0, 256, 100), (1, 5, 1), (2, 1, 2), (3, 16, 1)])
+def test_all_recommendations_are_those_of_all_pairs(spark, seed, size, side, monkeypatch):
+    monkeypatch.setattr(commerce, "LIST", size)
+    monkeypatch.setattr(commerce, "SIDE", side)
+    r = random.Random(seed)
+    brand = {p: r.choice(["x", "x", "y", "z", None, f"own{p}"]) for p in range(80)}
+    up = [(r.randrange(6) if r.random() < 0.7 else 99, r.choice([*range(80), 500, None]), *r.choice(list(commerce_weights().items()))) for _ in range(160)]
+    near = [(a, r.randrange(80), r.choice(["complementary", "competitor", "unknown"]), r.choice([1.0, 0.5])) for a in range(80) for _ in range(r.randrange(2))]
+    pairs = [(a, b, "similar", 1.0) for a in brand for b in brand if a != b and brand[a] is not None and brand[a] == brand[b]]
+    ups = spark.createDataFrame(up, "user_id int, product_id int, relation string, weight double")
+    form = "source int, target int, relation string, weight double"
+    members = spark.createDataFrame(list(brand.items()), "product_id int, grp string")
+    got = sorted((x.user_id, x.product_id, x.score) for x in commerce.recommend_all(ups, members, spark.createDataFrame(near, form), 0.8).collect())
+    want = sorted((x.user_id, x.product_id, x.score) for x in commerce.recommend(ups, spark.createDataFrame(pairs + near, form)).collect())
+    assert [x[:2] for x in got] == [x[:2] for x in want] and [x[2] for x in got] == pytest.approx([x[2] for x in want], abs=2e-6)
+
+
 def commerce_weights():
     return {"viewed": 0.1, "cart_added": 0.3, "purchased": 1.0, "returned": -0.5, "reviewed": 0.8}
