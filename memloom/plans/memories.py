@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from memloom.functions import text as fn
 from memloom.operators import dedup, messages
+from memloom.operators.shared import stored
 from memloom.plans.registry import query
 from memloom.plans.views import Tables
 
@@ -54,7 +55,7 @@ SELECT id FROM f UNION SELECT unnest(gone) FROM (SELECT gone FROM s ORDER BY k D
 def dedup_insert(t: Tables) -> DataFrame:
     """Rated memories as the insert batch, the others as the store; a wide distance, as the tables' vectors don't follow their texts."""
     heads = t.base("documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 100).alias("content"))  # cut before texts are joined
-    m = heads.join(t.base("embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding"), "id")
+    m = stored(heads.join(t.base("embeddings").where("embedding IS NOT NULL").select(F.col("vec_id").alias("id"), "embedding"), "id"), "heads")  # texts are read once
     rated = t.base("labels").select(F.col("doc_id").alias("id"))
     return dedup.insert_duplicates(m.join(rated, "id", "left_semi"), m.join(rated, "id", "left_anti"), distance=1.15)
 
