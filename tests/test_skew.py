@@ -81,3 +81,40 @@ def test_all_recommendations_are_those_of_all_pairs(spark, seed, size, side, mon
 
 def commerce_weights():
     return {"viewed": 0.1, "cart_added": 0.3, "purchased": 1.0, "returned": -0.5, "reviewed": 0.8}
+
+
+def shuffled(plan):
+    """Rows that each shuffle of a plan that ran has written."""
+    kind = plan.getClass().getSimpleName()
+    if kind == "AdaptiveSparkPlanExec":
+        return shuffled(plan.executedPlan())
+    if kind.endswith("QueryStageExec"):
+        return shuffled(plan.plan())
+    below = plan.children()
+    out = [n for k in range(below.size()) for n in shuffled(below.apply(k))]
+    return out + ([plan.metrics().apply("shuffleRecordsWritten").value()] if kind == "ShuffleExchangeExec" else [])
+
+
+def test_no_pair_of_a_sum_and_a_list_is_shuffled(spark, monkeypatch):
+    """60 users meet 300 lists of a product or two; before, each of these pairs was a row that two joins shuffled."""
+    monkeypatch.setattr(commerce, "LIST", 1)
+    ups = spark.createDataFrame([(u, u % 3, "viewed", 0.1) for u in range(60)], "user_id int, product_id int, relation string, weight double")
+    members = spark.range(300).selectExpr("CAST(id AS INT) AS product_id", "'x' AS grp")
+    edges = spark.createDataFrame([], "source int, target int, relation string, weight double")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        df = commerce.recommend_all(ups, members, edges, 0.8)
+        assert len(df.collect()) == 60 * 299
+        assert 0 < max(shuffled(df._jdf.queryExecution().executedPlan())) < 60 * 300 / 4
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_rows_without_a_user_are_scored_alike(spark):
+    """SQL sums them as one user, who has bought nothing as no key equals theirs."""
+    ups = spark.createDataFrame([(None, 1, "purchased", 1.0), (None, 2, "viewed", 0.1), (7, 1, "purchased", 1.0), (7, 2, "viewed", 0.1)], "user_id int, product_id int, relation string, weight double")
+    members = spark.createDataFrame([(p, "x") for p in range(1, 5)], "product_id int, grp string")
+    near = spark.createDataFrame([(2, 3, "complementary", 1.0)], "source int, target int, relation string, weight double")
+    got = {(x.user_id, x.product_id): x.score for x in commerce.recommend_all(ups, members, near, 0.8).collect()}
+    score = {1: 0.08, 2: 0.8, 3: 1.0, 4: 0.88}
+    assert got == pytest.approx({(u, p): s for u in (None, 7) for p, s in score.items() if (u, p) != (7, 1)}, abs=2e-6)
